@@ -17,6 +17,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlab.llm.secret_scan import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spreadlab.llm.toxicity import toxicity
 
@@ -29,10 +35,18 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlab.llm.language import language_held_out
+
+    return language_held_out(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
     "op4_toxicity": op4_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_language": op7_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
