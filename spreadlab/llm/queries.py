@@ -41,12 +41,30 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_held_out(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spreadlab.llm.bpe import bpe_digest
+
+    return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spreadlab.llm.token_store import stored_digest
+
+    return stored_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
     "op4_toxicity": op4_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_language": op7_language,
+    "op9_bpe": op9_bpe,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
