@@ -139,14 +139,15 @@ def profile(batches, n_words: int):
 
 
 #: kind of a posted row: a subset key of the smaller, the larger or both sizes; a list's member; a member of a frequent element's list.
-SMALLER, LARGER, SAME, MEMBER, HOT = range(5)
+#: PREFIX: not a posting, but a class's prefix on its way to the same table, as the low 32 bits of its elements.
+SMALLER, LARGER, SAME, MEMBER, HOT, PREFIX = range(6)
 #: salt: 0, or a class, so that a frequent element's rows are dealt all over.
-_POST = "key long, salt long, kind int, fp long, n long, hub long, hub_n long"
+_POST = "key long, salt long, kind int, fp long, n long, hub long, hub_n long, prefix binary"
 
 
-def _post_batch(key, kind, fp, n, hub=None, hub_n=None) -> pa.RecordBatch:
+def _post_batch(key, kind, fp, n, hub=None, hub_n=None, prefix=None) -> pa.RecordBatch:
     zero = np.zeros(len(key), np.int64)
-    return pa.record_batch({"key": pa.array(key.view(np.int64)), "salt": pa.array(fp.view(np.int64) if kind == HOT else zero), "kind": pa.array(np.full(len(key), kind, np.int32)), "fp": pa.array(fp.view(np.int64)), "n": pa.array(n.astype(np.int64)), "hub": pa.array(zero if hub is None else hub.view(np.int64)), "hub_n": pa.array(zero if hub_n is None else hub_n.astype(np.int64))})
+    return pa.record_batch({"key": pa.array(key.view(np.int64)), "salt": pa.array(fp.view(np.int64) if kind >= HOT else zero), "kind": pa.array(np.full(len(key), kind, np.int32)), "fp": pa.array(fp.view(np.int64)), "n": pa.array(n.astype(np.int64)), "hub": pa.array(zero if hub is None else hub.view(np.int64)), "hub_n": pa.array(zero if hub_n is None else hub_n.astype(np.int64)), "prefix": pa.nulls(len(key), pa.binary()) if prefix is None else pa.array(prefix, pa.binary())})
 
 
 def post(batches, n_words: int, num: int, den: int, boundary: int, hot):
@@ -176,7 +177,9 @@ def post(batches, n_words: int, num: int, den: int, boundary: int, hot):
                 pick.append((np.argsort(order, kind="stable")[:k] if k < b - a else np.arange(b - a)) + a)
             if not pick:
                 continue
-            row = np.repeat(np.searchsorted(bounds, [x[0] for x in pick], side="right") - 1, [len(x) for x in pick])
+            own = np.searchsorted(bounds, [x[0] for x in pick], side="right") - 1
+            yield _post_batch(np.zeros(len(own), np.uint64), PREFIX, fp[own], n[own], prefix=[np.sort(g[x].astype(np.uint32)).tobytes() for x in pick])
+            row = np.repeat(own, [len(x) for x in pick])
             e = g[np.concatenate(pick)]
             where = np.minimum(np.searchsorted(hot_e, e), max(len(hot_e) - 1, 0))
             is_hot = hot_e[where] == e if len(hot_e) else np.zeros(len(e), bool)
@@ -201,20 +204,25 @@ def _subsets(g, bounds, fp, n, num: int, den: int, boundary: int):
 
 
 def scan(batches, num: int, den: int, boundary: int):
-    """One partition of posted rows, by key: hub pairs (what 0), links of light sets (1), lists for the second round (2).
+    """One partition of posted rows, by key: hub pairs (what 0), links of light sets (1), lists for the second round (2), prefixes (3).
 
     Arrays of 28 bytes a row; a key's rows are few, as frequent elements come salted and are passed on.
     """
     parts = []
     for batch in batches:
         key, kind, fp, n, hub, hub_n = (_column(batch, c).to_numpy() for c in ("key", "kind", "fp", "n", "hub", "hub_n"))
-        hot = kind == HOT
+        hot, extra = kind == HOT, kind == PREFIX
+        if extra.any():
+            keep = pa.array(extra)
+            zero = np.zeros(int(extra.sum()), np.int64)
+            yield _scan_batch(3, zero, fp[extra], zero, n[extra], _column(batch, "prefix").filter(keep))
         if hot.any():
             fits = hot & (num * np.maximum(n, hub_n) <= den * np.minimum(n, hub_n)) & (np.maximum(n, hub_n) > boundary) & (fp != hub)
             p = np.unique(np.sort(np.stack([hub[fits], fp[fits]], axis=1), axis=1), axis=0)
             yield _scan_batch(0, np.zeros(len(p), np.int64), p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
             yield _scan_batch(2, key[hot], fp[hot], np.zeros(int(hot.sum()), np.int64), n[hot])
-        parts.append((key[~hot], kind[~hot], fp[~hot], n[~hot]))
+        rest = ~(hot | extra)
+        parts.append((key[rest], kind[rest], fp[rest], n[rest]))
     if not parts:
         return
     key, kind, fp, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -261,11 +269,11 @@ def scan(batches, num: int, den: int, boundary: int):
         yield _scan_batch(2, np.repeat([x[0] for x in some], [len(x[1]) for x in some]), np.concatenate([x[1] for x in some]), np.zeros(sum(len(x[1]) for x in some), np.int64), np.concatenate([x[2] for x in some]))
 
 
-_SCAN = "what int, key long, a long, b long, n long"
+_SCAN = "what int, key long, a long, b long, n long, prefix binary"
 
 
-def _scan_batch(what, key, a, b, n) -> pa.RecordBatch:
-    return pa.record_batch({"what": pa.array(np.full(len(a), what, np.int32)), "key": pa.array(np.asarray(key, np.int64)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n)})
+def _scan_batch(what, key, a, b, n, prefix=None) -> pa.RecordBatch:
+    return pa.record_batch({"what": pa.array(np.full(len(a), what, np.int32)), "key": pa.array(np.asarray(key, np.int64)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n), "prefix": pa.nulls(len(a), pa.binary()) if prefix is None else prefix})
 
 
 def _light(key, kind, fp):
@@ -292,6 +300,27 @@ def texts_of(batches, n_words: int):
             yield pa.RecordBatch.from_arrays([_column(batch, "fp").slice(lo, hi - lo), _column(batch, "text").slice(lo, hi - lo)], ["fp", "text"]).filter(pa.array(same))
 
 
+def prune(batches, num: int, den: int):
+    """The pairs that can link by their prefixes.
+
+    Of the P first elements of a set of n, all but n - c are common, if c are; and of the two prefixes,
+    the one that ends earlier in the order has its common elements in the other.
+    So prefixes of linked sets share min(P_a - (n - c), P_b - (m - c)) elements at least.  Only the low bits are
+    compared, which can but add to what is shared.
+    """
+    for batch in batches:
+        n, m = _column(batch, "n_a").to_numpy(), _column(batch, "n_b").to_numpy()
+        c = -(-num * (n + m) // (den + num))
+        good = np.zeros(len(n), bool)
+        for i, (x, y) in enumerate(zip(_column(batch, "prefix_a"), _column(batch, "prefix_b"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+            both = np.concatenate([x, y])
+            both.sort()
+            good[i] = (both[1:] == both[:-1]).sum() >= max(1, min(len(x) - n[i] + c[i], len(y) - m[i] + c[i]))
+        keep = pa.array(good)
+        yield pa.RecordBatch.from_arrays([_column(batch, "a").filter(keep), _column(batch, "b").filter(keep)], ["a", "b"])
+
+
 def verify(batches, n_words: int, num: int, den: int):
     """The pairs (a, b) whose texts really link."""
     for batch in batches:
@@ -339,13 +368,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     p = docs.select("text").mapInArrow(shipped(post, n_words=n_words, num=num, den=den, boundary=boundary, hot=hot), _POST)
     scanned = spool(p.repartition(partitions_of(docs), "key", "salt").mapInArrow(shipped(scan, num=num, den=den, boundary=boundary), _SCAN), "lists")
-    first = scanned.where("what = 0").select("a", "b").distinct()
-    links = spool(_checked(docs, classes, first, n_words, num, den), "links").unionByName(scanned.where("what = 1").select("a", "b"))
+    prefixes = scanned.where("what = 3").select(F.col("a").alias("fp"), "n", "prefix").dropDuplicates(["fp"])
+    first = spool(scanned.where("what = 0").select("a", "b").distinct(), "first")
+    links = spool(_checked(docs, classes, prefixes, first, n_words, num, den), "links").unionByName(scanned.where("what = 1").select("a", "b"))
     comp = spool(connected(links), "components")
 
     lists = scanned.where("what = 2").select("key", F.col("a").alias("fp"), "n")
-    second = _residual(lists.distinct(), comp, boundary, num, den)
-    more = spool(_checked(docs, classes, second, n_words, num, den), "links2")
+    second = spool(_residual(lists.distinct(), comp, boundary, num, den).join(first, ["a", "b"], "left_anti"), "second")
+    more = spool(_checked(docs, classes, prefixes, second, n_words, num, den), "links2")
     if not more.isEmpty():
         comp = spool(connected(links.unionByName(more)), "components2")
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
@@ -354,16 +384,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(by_class, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
-    """The pairs of classes that link, by their whole texts; texts are read only of classes in a pair."""
-    pairs = spool(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def _only(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """table ⋈ wanted: by broadcast up to a counted size, else by shuffle."""
+    return table.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted, key)
+
+
+def _both(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of table for either class of each pair, with _a and _b behind their names."""
+    for side in "ba":
+        pairs = pairs.join(table.select(*(F.col(c).alias(side if c == "fp" else f"{c}_{side}") for c in table.columns)), side)
+    return pairs
+
+
+def _checked(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, pairs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
+    """The pairs of classes that link: pruned by prefixes, then compared by their whole texts."""
+    ends = F.explode(F.array("a", "b")).alias("fp")
+    wanted = spool(pairs.select(ends).distinct(), "wanted")
+    near = spool(_only(prefixes, wanted, "fp"), "prefixes")
+    pairs = spool(_both(pairs, near).mapInArrow(shipped(prune, num=num, den=den), "a long, b long"), "pairs")
+    wanted = pairs.select(ends).distinct()
     wanted = spool(classes.join(wanted, "fp", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"), "fp"), "wanted")
-    ids = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
-    texts = docs.join(ids, "doc_id").select("fp", "text").mapInArrow(shipped(texts_of, n_words=n_words), "fp long, text string").dropDuplicates(["fp"])
+    texts = _only(docs, wanted, "doc_id").select("fp", "text").mapInArrow(shipped(texts_of, n_words=n_words), "fp long, text string").dropDuplicates(["fp"])
     texts = spool(texts, "texts")
-    both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(shipped(verify, n_words=n_words, num=num, den=den), "a long, b long")
+    return _both(pairs, texts).select("a", "b", "text_a", "text_b").mapInArrow(shipped(verify, n_words=n_words, num=num, den=den), "a long, b long")
 
 
 def _residual(lists: DataFrame, comp: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
