@@ -25,10 +25,10 @@ def oracle(edges: DataFrame, sims: DataFrame, vertices: list[int], max_rounds: i
     return S.spread(S.cascade(spool(live_edges(edges, sims)), S.at_seeds(vertices, sims), max_rounds=max_rounds), n)
 
 
-def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], dict[int, float]], commit: Callable[[int], float | None], batch: int = 64, ahead: int = 1024):
+def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], dict[int, float]], commit: Callable[[int], float | None], batch: int = 64, ahead: int = 1024, exact: bool = True):
     """Lazy selection: (step, vertex, gain, tries) in turn.
 
-    bounds (v, gain) hold upper bounds of all gains.  The driver keeps the ``ahead`` largest, and twice as many when
+    bounds (v, gain) hold upper bounds of all gains; exact: they are the gains of the first step.  The driver keeps the ``ahead`` largest, and twice as many when
     the best one that is re-scored falls below them.  Each round re-scores up to ``batch`` of the largest stale gains.
     """
     bounds = spool(bounds)
@@ -38,7 +38,7 @@ def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], d
         return {r.v: r.gain for r in rows[:n]}, (rows[n].gain if len(rows) > n else None)
 
     held, floor = largest(ahead)
-    stamp, taken, tries = dict.fromkeys(held, 0), set(), 0
+    stamp, taken, tries = dict.fromkeys(held, 0 if exact else -1), set(), 0
     for step in range(k):
         while True:
             order = sorted((v for v in held if v not in taken), key=lambda v: (-held[v], v))
@@ -47,7 +47,7 @@ def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], d
                 more, floor = largest(ahead)
                 for v, g in more.items():
                     if v not in held:
-                        held[v], stamp[v] = g, 0
+                        held[v], stamp[v] = g, 0 if exact else -1
                 continue
             if not order:
                 return
@@ -161,7 +161,7 @@ def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, b
         visited = spool(S.cascade(live, S.at_seeds([v], sims), visited))
 
     rows, score = [], 0.0
-    for step, v, gain, tries in lazy_greedy(bounds, k, rescore, commit, batch):
+    for step, v, gain, tries in lazy_greedy(bounds, k, rescore, commit, batch, exact=False):
         score += gain
         rows.append((step, v, score, time.time() - began, float(tries)))
     return _result(spark, rows)
