@@ -108,7 +108,7 @@ def _pruned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    word = F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("r")))
+    word = F.bit_or(F.expr("shiftleft(1L, r)"))
     return _cascade(spark, d, SEEDS).groupBy("v").agg(word.alias("word")).select("v", "word", F.bit_count("word").cast("long").alias("sims"))
 
 
@@ -227,7 +227,7 @@ reach AS (SELECT src, v, r FROM walk UNION SELECT id, id, r FROM vertices, sims)
 LABELS = f"{REACH}, labels AS (SELECT v, r, min(src) AS label FROM reach GROUP BY v, r), sizes AS (SELECT r, label, count(*) AS cnt FROM labels GROUP BY r, label)"
 #: Vertices with a live edge, which alone have rows in the sparse tables.
 ENDS = "ends AS (SELECT u AS v, r FROM live UNION SELECT v, r FROM live)"
-REG = f"{REACH}, reg0 AS (SELECT id AS x, r, (SELECT 0) + CASE WHEN h = 0 THEN 64 ELSE 64 - length(bin(h)) END AS val FROM (SELECT id, r, {sql_fmix64(f'18446744073709551615 - (id * {SIMS} + r + {SIMS})::UBIGINT')} AS h FROM vertices, sims)), reg AS (SELECT src AS x, reach.r, max(val) AS val FROM reach JOIN reg0 ON reg0.x = reach.v AND reg0.r = reach.r GROUP BY src, reach.r)"
+REG = f"{REACH}, reg0 AS (SELECT id AS x, r, (CASE WHEN h = 0 THEN 64 ELSE 64 - length(bin(h)) END)::INT AS val FROM (SELECT id, r, {sql_fmix64(f'18446744073709551615 - (id * {SIMS} + r + {SIMS})::UBIGINT')} AS h FROM vertices, sims)), reg AS (SELECT src AS x, reach.r, max(val) AS val FROM reach JOIN reg0 ON reg0.x = reach.v AND reg0.r = reach.r GROUP BY src, reach.r)"
 
 
 def _seed_list(seeds: tuple) -> str:
@@ -319,7 +319,7 @@ UNION ALL SELECT 'Mean', Setting, Approach, round(greatest(0.0, least(1.0, avg(r
 _PARTS = f"SELECT DISTINCT (r // {SIMS // 4})::INT AS part, u, v FROM live"
 _UNIT = "({}) / 2147483648.0"
 _HASHED = {k: _UNIT.format(sql_fmix31(f"xor({sql_edge('s', 't')}, {k}::UBIGINT)")) for k in (42, 43)}
-_IDS = "pos AS (SELECT key, min(p) AS p FROM (SELECT s AS key, 2 * line AS p FROM pairs UNION ALL SELECT t, 2 * line + 1 FROM pairs) GROUP BY key), ids AS (SELECT key, row_number() OVER (ORDER BY p) - 1 AS id FROM pos)"
+_IDS = "pos AS (SELECT key, min(p) AS p FROM (SELECT s AS key, 2 * line AS p FROM pairs UNION ALL SELECT t, 2 * line + 1 FROM pairs) GROUP BY key), ids AS (SELECT key, row_number() OVER (ORDER BY p, key) - 1 AS id FROM pos)"
 
 
 def _reached(seeds: tuple) -> str:
@@ -337,7 +337,7 @@ x AS (SELECT line, string_split(trim(regexp_replace(value, '\s+', ' ', 'g')), '
     "weights_const": f"WITH {COUNTED} SELECT s, t, c, {_weight('0.05')} AS w FROM counted",
     "weights_uniform": f"WITH {COUNTED} SELECT s, t, c, {_weight(f'greatest(0.0, least(0.1, 0.0 + 0.1::DOUBLE * {_HASHED[42]}))')} AS w FROM counted",
     "weights_normal": f"WITH {COUNTED} SELECT s, t, c, {_weight(f'greatest(0.0, least(1.0, 0.05::DOUBLE + 0.025::DOUBLE * sqrt(-2.0 * ln(1.0::DOUBLE - {_HASHED[42]})) * cos(2.0 * pi() * {_HASHED[43]})))')} AS w FROM counted",
-    "csr_offsets": f"WITH {COUNTED}, {VERTICES}, d AS (SELECT id, (SELECT 0) + coalesce(degree, 0) AS degree FROM vertices LEFT JOIN (SELECT s, count(*) AS degree FROM counted GROUP BY s) ON id = s) SELECT id, degree, (sum(degree) OVER (ORDER BY id) - degree)::BIGINT AS first FROM d",
+    "csr_offsets": f"WITH {COUNTED}, {VERTICES}, d AS (SELECT id, coalesce(degree, 0) AS degree FROM vertices LEFT JOIN (SELECT s, count(*) AS degree FROM counted GROUP BY s) ON id = s) SELECT id, degree, (sum(degree) OVER (ORDER BY id) - degree)::BIGINT AS first FROM d",
     "edge_hash": f"WITH {COUNTED} SELECT s, t, {sql_fmix31(sql_edge('s', 't'))} AS h FROM counted",
     "edge_hash_symmetric": f"WITH {COUNTED} SELECT s, t, {sql_fmix31(sql_edge('least(s, t)', 'greatest(s, t)'))} AS h FROM counted",
     "edge_hash_crc32c": f"WITH {COUNTED} SELECT s, t, {sql_crc32c('s', 't')} AS h FROM counted",
