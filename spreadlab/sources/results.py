@@ -38,7 +38,7 @@ def read_fill_rates(spark: SparkSession, glob: str) -> DataFrame:
 
     Files with another name or last line are left out.
     """
-    lines = spark.read.text(glob, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("name"), F.split(F.rtrim("value"), "\n").alias("x"))
+    lines = spark.read.text(glob, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("name"), F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("x"))
     parts, last = F.split("name", "_"), F.split(F.element_at("x", -1), ":")
     rows = lines.where(F.size(parts) == 7).select(F.split(parts[0], r"\.")[0].alias("Dataset"), parts[1].alias("Setting"), F.expr("try_cast(split(name, '_')[5] as int)").alias("R"), F.when(parts[6] == "0", "Naive").when(parts[6] == "1", "Sorted").alias("Approach"), F.when(F.size(last) == 2, F.try_element_at(last, F.lit(2))).alias("rate"))
     return rows.withColumn("Fillrate", F.expr("try_cast(trim(rate) as double)")).drop("rate").where("Fillrate is not null and R is not null and Approach is not null")
