@@ -115,12 +115,22 @@ def decode_ids(ids: bytes, piece: list[str]) -> str:
 
 
 def encode_texts(batches, path: str, common, field: str):
-    """The rows with one more column, ids."""
-    coder = None
+    """The rows, with n_tokens, ids_sha256, decoded_sha256 and token_ids in place of the text."""
+    coder = piece = None
     for batch in batches:
-        coder = coder or Coder(path, common.value)
-        ids = [x for some in _slices(batch.column(batch.schema.get_field_index(field))) for x in coder.encode(some)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "ids"])
+        coder, piece = coder or Coder(path, common.value), piece or pieces(path)
+        i, done = batch.schema.get_field_index(field), 0
+        rest = batch.drop_columns([field])
+        for some in _slices(batch.column(i)):
+            ids = coder.encode(some)
+            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            own = rest.slice(done, len(ids))
+            done += len(ids)
+            new = [pa.array(np.diff(at).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(decode_ids(x, piece).encode()).hexdigest() for x in ids], pa.string()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+            yield pa.RecordBatch.from_arrays([*own.columns, *new], [*own.schema.names, *NEW])
+
+
+NEW = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<int>"}
 
 
 def digest(batches, path: str, common):
@@ -148,23 +158,14 @@ def common_words(docs: DataFrame, path: str, text_col: str = "text", common: flo
     return spark.sparkContext.broadcast(dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)))
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """All rows and columns of docs, and out_col: the ids as an array of int."""
-    rows = docs.withColumn("__text", docs[text_col].cast("string"))
-    rows = rows.select(*docs.columns, "__text")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    out = rows.mapInArrow(shipped(encode_texts, path=path, common=common_words(docs, path, text_col), field="__text"), f"{kinds}, ids binary")
-    back = out.mapInArrow(shipped(_as_arrays), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out_col}` array<int>"]))
-    return back
+def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """All rows of docs; the text gives way to n_tokens, ids_sha256, decoded_sha256 and token_ids.
 
-
-def _as_arrays(batches):
-    for batch in batches:
-        ids = batch.column(batch.num_columns - 1)
-        parts = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int32) for x in ids]
-        at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], [*batch.schema.names[:-2], "out"])
+    Columns of docs that already have one of those names are left out.
+    """
+    rows = docs.drop(*(c for c in NEW if c in docs.columns)).withColumn(text_col, docs[text_col].cast("string"))
+    kinds = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c != text_col), *(f"{c} {t}" for c, t in NEW.items())])
+    return rows.mapInArrow(shipped(encode_texts, path=path, common=common_words(docs, path, text_col), field=text_col), kinds)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

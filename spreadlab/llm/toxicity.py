@@ -104,6 +104,22 @@ def apply(batches, bits: int, model):
             yield pa.record_batch({"doc_id": ids.slice(lo, hi - lo), "score": pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))})
 
 
+def accept(batches, bits: int, model, field: str, threshold: float):
+    """The rows whose texts score below the threshold."""
+    for batch in batches:
+        i = batch.schema.get_field_index(field)
+        plain = pa.record_batch({"doc_id": pa.nulls(batch.num_rows, pa.int64()), "text": batch.column(i)})
+        scores = [r.column(1) for r in apply([plain], bits, model)]
+        if scores:
+            yield batch.filter(pc.less(pa.concat_arrays(scores), threshold))
+
+
+def reject_toxic(docs: DataFrame, model, text_col: str = "text", bits: int = BITS, threshold: float = 0.7) -> DataFrame:
+    """docs with its columns, without the rows whose texts score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(shipped(accept, bits=bits, model=shared, field=text_col, threshold=threshold), docs.schema)
+
+
 def remainder(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
