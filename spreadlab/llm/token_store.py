@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,15 +175,38 @@ class Shard:
 # ---- encoding -------------------------------------------------------------------------------
 
 #: A blank between two characters that are no white space: a token always starts there.
+# Fixed value: the pattern of byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"[^\S \n]|  | \n|\n |\n\n|^[ \n]|[ \n]$")
+#: What makes a text go the careful way: white space other than single blanks and line ends, found by plain search.
+_ODD = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+#: Parts that every version of the Unicode tables classes alike, and that hold no special token.
+_LATIN = re.compile("[\n -;=-~\u00a1-\u024f]*")
+_RANKED: dict[str, object] = {}
+
+
+def ranked(path: str):
+    """The vocabulary as ranks for tiktoken, which merges by rank; ids of a byte-level vocabulary are in the order of its merges."""
+    if path not in _RANKED:
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        special = {t.content for t in tokenizer(path).get_added_tokens_decoder().values()}
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in tokenizer(path).get_vocab().items() if piece not in special}
+        _RANKED[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _RANKED[path]
 
 
 class ByteCoder:
     """Ids by word for a byte-level BPE, in which a token takes at most the one blank before it.
 
     Texts are cut only where the vocabulary's pattern cannot join both sides; each part is encoded once
-    and held, up to LOCAL parts, by the tokenizers library itself.
+    and held, up to LOCAL parts.  Parts of plain Latin text are merged by rank, which gives what the tokenizers library
+    does in a tenth of the time; all others, and special tokens, go through that library.
     """
 
     def __init__(self, path: str, width: int):
@@ -193,13 +217,20 @@ class ByteCoder:
         if len(self.table) + len(new) > LOCAL:
             self.table = {}
             new = list(words)
-        got = tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)
-        self.table.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in got), strict=True))
+        quick, kind = ranked(self.path), "H" if self.kind == "<u2" else "I"
+        slow = []
+        for w in new:
+            if _LATIN.fullmatch(w):
+                self.table[w] = array(kind, quick.encode_ordinary(w)).tobytes()
+            else:
+                slow.append(w)
+        got = tokenizer(self.path).encode_batch_fast(slow, add_special_tokens=False)
+        self.table.update(zip(slow, (np.array(e.ids, self.kind).tobytes() for e in got), strict=True))
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """Parts that make up the text, each with the blank or line end before it."""
-        if not _ODD.search(text):
+        if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _ODD):
             first, *rest = text.replace("\n", " \n").split(" ")
             return [first, *(w if w[0] == "\n" else " " + w for w in rest)]
         first, *rest = _CUT.split(text)
