@@ -179,8 +179,8 @@ def marginal_gains(live: DataFrame, sims: DataFrame, visited: DataFrame, some: l
             break
         parts.append(now)
         now = now.withColumnRenamed("v", "u").join(live, ["u", "r"]).select("seed", "v", "r").distinct().join(visited, ["v", "r"], "left_anti")
-    got = dict.fromkeys(some, 0.0)
+    got = dict.fromkeys(some, 0)
     for p in parts:
         for r in p.groupBy("seed").count().collect():  # a row for each candidate of the batch
-            got[r.seed] += r["count"] / n
-    return got
+            got[r.seed] += r["count"]
+    return {v: k / n for v, k in got.items()}
