@@ -64,7 +64,7 @@ class Coder:
         self.path, self.table, self.shared = path, dict(common), len(common)
 
     def learn(self, words: set[str]) -> None:
-        """Encode what the table lacks.  A word's last stop or comma is a token of its own if letters come before it."""
+        """Encode what the table lacks; a full table starts anew from the shared one.  A word's last stop or comma is a token of its own if letters come before it."""
         table = self.table
         new = [w for w in words if w not in table]
         if len(table) + len(new) > self.shared + LOCAL:
@@ -82,11 +82,21 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.translate(_SPACES).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*words) - self.table.keys())
+        self.learn(set().union(*words))
         get = self.table.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
+_LAST: list = [None, None]
+
+
+def coder_for(path: str, common) -> Coder:
+    """The worker process' coder, held from task to task of one job."""
+    if _LAST[0] is not common.value:
+        _LAST[:] = [common.value, Coder(path, common.value)]
+    return _LAST[1]
+
+
 def _slices(column: pa.Array, size: int = 1 << 21):
     """Texts in runs of about so many bytes."""
     some, held = [], 0
@@ -118,7 +128,7 @@ def encode_texts(batches, path: str, common, field: str):
     """The rows, with n_tokens, ids_sha256, decoded_sha256 and token_ids in place of the text."""
     coder = piece = None
     for batch in batches:
-        coder, piece = coder or Coder(path, common.value), piece or pieces(path)
+        coder, piece = coder or coder_for(path, common), piece or pieces(path)
         i, done = batch.schema.get_field_index(field), 0
         rest = batch.drop_columns([field])
         for some in _slices(batch.column(i)):
@@ -137,7 +147,7 @@ def digest(batches, path: str, common):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), from the ids and what they decode to."""
     coder = piece = None
     for batch in batches:
-        coder, piece = coder or Coder(path, common.value), piece or pieces(path)
+        coder, piece = coder or coder_for(path, common), piece or pieces(path)
         out: list[tuple] = []
         for some in _slices(batch.column(batch.schema.get_field_index("text"))):
             out += [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode_ids(x, piece).encode()).hexdigest()) for x in coder.encode(some)]

@@ -54,6 +54,13 @@ def test_bpe_is_the_tokenizer(docs, texts):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_a_full_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "LOCAL", 5)
+    t, coder = Tokenizer.from_file(WORD), bpe.Coder(WORD, {})
+    for text in ("a b c d", "a b c d e f", "c d g, H. i", "a b"):
+        assert coder.encode([text]) == [np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_bpe_columns_and_decoding_by_join(spark, docs, texts):
     t = Tokenizer.from_file(WORD)
     out = bpe.encode(docs.where("doc_id < 20"), WORD)
