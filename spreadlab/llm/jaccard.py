@@ -45,6 +45,8 @@ MAX_LIGHT = 16
 FREQUENT, MAX_FREQUENT = 48, 1 << 20
 #: Elements that are counted at once to find frequent ones (16 bytes each).
 WINDOW = 1 << 21
+#: Members of a list that are compared with each other in one group.
+BLOCK = 1024
 #: Up to so many ids (16 bytes each) the ids of candidate documents are broadcast; else they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: What a check of one candidate costs, in rows of a list.
@@ -142,12 +144,13 @@ def profile(batches, n_words: int):
 #: PREFIX: not a posting, but a class's prefix on its way to the same table, as the low 32 bits of its elements.
 SMALLER, LARGER, SAME, MEMBER, HOT, PREFIX = range(6)
 #: salt: 0, or a class, so that a frequent element's rows are dealt all over.
-_POST = "key long, salt long, kind int, fp long, n long, hub long, hub_n long, prefix binary"
+#: pos: how many elements of the set come before this one in the common order.
+_POST = "key long, salt long, kind int, fp long, n long, pos int, hub long, hub_n long, prefix binary"
 
 
-def _post_batch(key, kind, fp, n, hub=None, hub_n=None, prefix=None) -> pa.RecordBatch:
+def _post_batch(key, kind, fp, n, hub=None, hub_n=None, prefix=None, pos=None) -> pa.RecordBatch:
     zero = np.zeros(len(key), np.int64)
-    return pa.record_batch({"key": pa.array(key.view(np.int64)), "salt": pa.array(fp.view(np.int64) if kind >= HOT else zero), "kind": pa.array(np.full(len(key), kind, np.int32)), "fp": pa.array(fp.view(np.int64)), "n": pa.array(n.astype(np.int64)), "hub": pa.array(zero if hub is None else hub.view(np.int64)), "hub_n": pa.array(zero if hub_n is None else hub_n.astype(np.int64)), "prefix": pa.nulls(len(key), pa.binary()) if prefix is None else pa.array(prefix, pa.binary())})
+    return pa.record_batch({"key": pa.array(key.view(np.int64)), "salt": pa.array(fp.view(np.int64) if kind >= HOT else zero), "kind": pa.array(np.full(len(key), kind, np.int32)), "fp": pa.array(fp.view(np.int64)), "n": pa.array(n.astype(np.int64)), "pos": pa.array(np.zeros(len(key), np.int32) if pos is None else pos.astype(np.int32)), "hub": pa.array(zero if hub is None else hub.view(np.int64)), "hub_n": pa.array(zero if hub_n is None else hub_n.astype(np.int64)), "prefix": pa.nulls(len(key), pa.binary()) if prefix is None else pa.array(prefix, pa.binary())})
 
 
 def post(batches, n_words: int, num: int, den: int, boundary: int, hot):
@@ -174,19 +177,20 @@ def post(batches, n_words: int, num: int, den: int, boundary: int, hot):
                     is_hot = hot_e[where] == e
                     if is_hot.any():
                         order[is_hot] = np.uint64(1 << 63) | (np.minimum(hot_k[where[is_hot]], 2**31 - 1).astype(np.uint64) << np.uint64(32)) | (e[is_hot] >> np.uint64(32))
-                pick.append((np.argsort(order, kind="stable")[:k] if k < b - a else np.arange(b - a)) + a)
+                pick.append(np.argsort(order, kind="stable")[:k] + a)
             if not pick:
                 continue
             own = np.searchsorted(bounds, [x[0] for x in pick], side="right") - 1
             yield _post_batch(np.zeros(len(own), np.uint64), PREFIX, fp[own], n[own], prefix=[np.sort(g[x].astype(np.uint32)).tobytes() for x in pick])
             row = np.repeat(own, [len(x) for x in pick])
+            pos = np.concatenate([np.arange(len(x)) for x in pick])
             e = g[np.concatenate(pick)]
             where = np.minimum(np.searchsorted(hot_e, e), max(len(hot_e) - 1, 0))
             is_hot = hot_e[where] == e if len(hot_e) else np.zeros(len(e), bool)
             for kind in (MEMBER, HOT):
                 p = np.flatnonzero(is_hot == (kind == HOT))
                 if len(p):
-                    yield _post_batch(e[p], kind, fp[row[p]], n[row[p]], *((hot_fp[where[p]], hot_n[where[p]]) if kind == HOT else ()))
+                    yield _post_batch(e[p], kind, fp[row[p]], n[row[p]], *((hot_fp[where[p]], hot_n[where[p]]) if kind == HOT else ()), pos=pos[p])
 
 
 def _subsets(g, bounds, fp, n, num: int, den: int, boundary: int):
@@ -203,77 +207,116 @@ def _subsets(g, bounds, fp, n, num: int, den: int, boundary: int):
             yield _post_batch(key.ravel(), SAME if other == size else SMALLER if size < other else LARGER, np.repeat(fp[rows], many), np.full(key.size, size))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with its columns; of each component the document with the smallest id stays.
+
+    Rows without id stay.  Rows that share id and text are one document, of which one row stays; of rows that share
+    an id alone, each text stays if its component is the id's own.
+    """
+    found = spool(jaccard_components(docs, id_col, text_col, **options), "found")
+    own = docs[id_col].cast("long")
+    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.expr("component_id != doc_id")).alias("gone"), F.count("*").alias("rows"))
+    gone, again = gone.where("gone").select(F.col("doc_id").alias("__id")), gone.where("not gone and rows > 1").select(F.col("doc_id").alias("__id"))
+
+    def sized(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+    kept = docs.join(sized(spool(gone, "gone")), own == F.col("__id"), "left_anti")
+    again = spool(again, "again")
+    if again.isEmpty():
+        return kept
+    again = sized(again)
+    once = kept.join(again, own == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, own == F.col("__id"), "left_anti").unionByName(once)
+
+
+def fits(n, m, num: int, den: int, boundary: int, *left):
+    """Sizes that can link, at least one of them heavy, with ``left`` elements still to come on a side.
+
+    If the first common element has p elements before it, no more than n - p can be common.
+    """
+    ok = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (np.maximum(n, m) > boundary)
+    c = -(-num * (n + m) // (den + num))
+    for x in left:
+        ok &= x >= c
+    return ok
+
+
 def scan(batches, num: int, den: int, boundary: int):
     """One partition of posted rows, by key: hub pairs (what 0), links of light sets (1), lists for the second round (2), prefixes (3).
 
-    Arrays of 28 bytes a row; a key's rows are few, as frequent elements come salted and are passed on.
+    Arrays of 32 bytes a row; a key's rows are few, as frequent elements come salted and are passed on.
     """
     parts = []
     for batch in batches:
-        key, kind, fp, n, hub, hub_n = (_column(batch, c).to_numpy() for c in ("key", "kind", "fp", "n", "hub", "hub_n"))
+        key, kind, fp, n, pos, hub, hub_n = (_column(batch, c).to_numpy() for c in ("key", "kind", "fp", "n", "pos", "hub", "hub_n"))
         hot, extra = kind == HOT, kind == PREFIX
         if extra.any():
             keep = pa.array(extra)
-            zero = np.zeros(int(extra.sum()), np.int64)
-            yield _scan_batch(3, zero, fp[extra], zero, n[extra], _column(batch, "prefix").filter(keep))
+            yield _scan_batch(3, np.zeros(int(extra.sum()), np.int64), fp[extra], 0, n[extra], 0, _column(batch, "prefix").filter(keep))
         if hot.any():
-            fits = hot & (num * np.maximum(n, hub_n) <= den * np.minimum(n, hub_n)) & (np.maximum(n, hub_n) > boundary) & (fp != hub)
-            p = np.unique(np.sort(np.stack([hub[fits], fp[fits]], axis=1), axis=1), axis=0)
-            yield _scan_batch(0, np.zeros(len(p), np.int64), p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
-            yield _scan_batch(2, key[hot], fp[hot], np.zeros(int(hot.sum()), np.int64), n[hot])
+            near = hot & fits(n, hub_n, num, den, boundary) & (fp != hub)
+            yield _pairs(np.stack([hub[near], fp[near]], axis=1), 0)
+            yield _scan_batch(2, key[hot], fp[hot], 0, n[hot], pos[hot])
         rest = ~(hot | extra)
-        parts.append((key[rest], kind[rest], fp[rest], n[rest]))
+        parts.append((key[rest], kind[rest], fp[rest], n[rest], pos[rest]))
     if not parts:
         return
-    key, kind, fp, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, kind, fp, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     listed = kind == MEMBER
     yield from _light(key[~listed], kind[~listed], fp[~listed])
-    key, fp, n = key[listed], fp[listed], n[listed]
+    key, fp, n, pos = key[listed], fp[listed], n[listed], pos[listed]
     order = np.argsort(key, kind="stable")
     alone = np.ones(len(key), bool)
     same = key[order[1:]] == key[order[:-1]]
     alone[1:] &= ~same
     alone[:-1] &= ~same
     order = order[~alone]
-    key, fp, n = key[order], fp[order], n[order]
+    key, fp, n, pos = key[order], fp[order], n[order], pos[order]
     order = np.lexsort((fp, n, key))
-    key, fp, n = key[order], fp[order], n[order]
+    key, fp, n, pos = key[order], fp[order], n[order], pos[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])  # a class comes once from each partition
-    key, fp, n = key[new], fp[new], n[new]
+    key, fp, n, pos = key[new], fp[new], n[new], pos[new]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
 
     two = start[size == 2]
-    a, b = n[two], n[two + 1]
-    two = two[(num * b <= den * a) & (b > boundary)]
-    pairs, lists, known = [np.stack([fp[two], fp[two + 1]], axis=1)], [], set()
+    two = two[fits(n[two], n[two + 1], num, den, boundary, n[two] - pos[two], n[two + 1] - pos[two + 1])]
+    pairs, lists = [np.stack([fp[two], fp[two + 1]], axis=1)], {}
     more = size > 2
     for s, k in zip(start[more].tolist(), size[more].tolist(), strict=True):
-        own, sizes = fp[s : s + k], n[s : s + k]
+        own, sizes, at = fp[s : s + k], n[s : s + k], pos[s : s + k]
         name = own.tobytes()
-        if name in known:
+        if name in lists:  # one of equal lists is enough, with the least positions of all
+            np.minimum(lists[name][3], at, out=lists[name][3])
             continue
-        known.add(name)
+        lists[name] = (int(key[s]), own, sizes, at.copy())
         for hub in {int(own.argmin()), int(own.argmax())}:
-            least, most = np.minimum(sizes, sizes[hub]), np.maximum(sizes, sizes[hub])
-            near = (num * most <= den * least) & (most > boundary)
+            near = fits(sizes, sizes[hub], num, den, boundary)
             near[hub] = False
             pairs.append(np.stack([np.full(int(near.sum()), own[hub]), own[near]], axis=1))
-        lists.append((int(key[s]), own, sizes))
-    p = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-    yield _scan_batch(0, np.zeros(len(p), np.int64), p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
-    for i in range(0, len(lists), 4096):
-        some = lists[i : i + 4096]
-        yield _scan_batch(2, np.repeat([x[0] for x in some], [len(x[1]) for x in some]), np.concatenate([x[1] for x in some]), np.zeros(sum(len(x[1]) for x in some), np.int64), np.concatenate([x[2] for x in some]))
+    yield _pairs(np.concatenate(pairs), 0)
+    kept = list(lists.values())
+    for i in range(0, len(kept), 4096):
+        some = kept[i : i + 4096]
+        yield _scan_batch(2, np.repeat([x[0] for x in some], [len(x[1]) for x in some]), np.concatenate([x[1] for x in some]), 0, np.concatenate([x[2] for x in some]), np.concatenate([x[3] for x in some]))
+
+
+def _pairs(p: np.ndarray, what: int) -> pa.RecordBatch:
+    p = np.unique(np.sort(p, axis=1), axis=0)
+    return _scan_batch(what, 0, p[:, 0], p[:, 1], 0, 0)
 
 
-_SCAN = "what int, key long, a long, b long, n long, prefix binary"
+_SCAN = "what int, key long, a long, b long, n long, pos int, prefix binary"
 
 
-def _scan_batch(what, key, a, b, n, prefix=None) -> pa.RecordBatch:
-    return pa.record_batch({"what": pa.array(np.full(len(a), what, np.int32)), "key": pa.array(np.asarray(key, np.int64)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n), "prefix": pa.nulls(len(a), pa.binary()) if prefix is None else prefix})
+def _scan_batch(what, key, a, b, n, pos, prefix=None) -> pa.RecordBatch:
+    def full(x, kind=np.int64):
+        return pa.array(np.broadcast_to(np.asarray(x, kind), len(a)).copy())
+
+    return pa.record_batch({"what": full(what, np.int32), "key": full(key), "a": full(a), "b": full(b), "n": full(n), "pos": full(pos, np.int32), "prefix": pa.nulls(len(a), pa.binary()) if prefix is None else prefix})
 
 
 def _light(key, kind, fp):
@@ -287,8 +330,7 @@ def _light(key, kind, fp):
     both = (np.maximum.reduceat(kind, start) == SAME) | (np.minimum.reduceat(kind, start) != np.maximum.reduceat(kind, start))
     hub = np.repeat(fp[start], size)
     keep = np.repeat(both, size) & (hub != fp)
-    p = np.unique(np.stack([hub[keep], fp[keep]], axis=1), axis=0)
-    yield _scan_batch(1, np.zeros(len(p), np.int64), p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
+    yield _pairs(np.stack([hub[keep], fp[keep]], axis=1), 1)
 
 
 def texts_of(batches, n_words: int):
@@ -300,27 +342,80 @@ def texts_of(batches, n_words: int):
             yield pa.RecordBatch.from_arrays([_column(batch, "fp").slice(lo, hi - lo), _column(batch, "text").slice(lo, hi - lo)], ["fp", "text"]).filter(pa.array(same))
 
 
-def prune(batches, num: int, den: int):
-    """The pairs that can link by their prefixes.
+def shared_least(p, q, n, m, num: int, den: int):
+    """What prefixes of p and q elements share at least, if their sets of n and m elements link.
 
-    Of the P first elements of a set of n, all but n - c are common, if c are; and of the two prefixes,
-    the one that ends earlier in the order has its common elements in the other.
-    So prefixes of linked sets share min(P_a - (n - c), P_b - (m - c)) elements at least.  Only the low bits are
-    compared, which can but add to what is shared.
+    Of the p first elements all but n - c are common, if c are; and of two prefixes, the one that ends
+    earlier in the order has its common elements in the other.
     """
+    c = -(-num * (n + m) // (den + num))
+    return np.maximum(1, np.minimum(p - n + c, q - m + c))
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements in both; only low bits are compared, which can but add to them."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _prefix_list(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
+
+
+def prune(batches, num: int, den: int):
+    """The pairs that can link by their prefixes."""
     for batch in batches:
         n, m = _column(batch, "n_a").to_numpy(), _column(batch, "n_b").to_numpy()
-        c = -(-num * (n + m) // (den + num))
         good = np.zeros(len(n), bool)
-        for i, (x, y) in enumerate(zip(_column(batch, "prefix_a"), _column(batch, "prefix_b"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-            both = np.concatenate([x, y])
-            both.sort()
-            good[i] = (both[1:] == both[:-1]).sum() >= max(1, min(len(x) - n[i] + c[i], len(y) - m[i] + c[i]))
+        for i, (x, y) in enumerate(zip(_prefix_list(_column(batch, "prefix_a")), _prefix_list(_column(batch, "prefix_b")), strict=True)):
+            good[i] = shared(x, y) >= shared_least(len(x), len(y), n[i], m[i], num, den)
         keep = pa.array(good)
         yield pa.RecordBatch.from_arrays([_column(batch, "a").filter(keep), _column(batch, "b").filter(keep)], ["a", "b"])
 
 
+def prune_lists(batches, num: int, den: int, boundary: int):
+    """The pairs of a list, or of two blocks of it, that are in different components and can link by their prefixes.
+
+    Rows come sorted by (key, i, j); a group has two blocks at most, so what is held has a bound.
+    """
+    group: tuple = ()
+    rows: list[tuple] = []
+    done: set[tuple[int, int]] = set()
+
+    def pairs():
+        fp, n, pos, comp, block = (np.array(x) for x in list(zip(*rows, strict=True))[:5])
+        prefix = [r[5] for r in rows]
+        size = np.array([len(x) for x in prefix])
+        left, right = (np.flatnonzero(block == g) for g in group[1:])
+        out = []
+        for a in left.tolist():
+            to = right[right > a] if group[1] == group[2] else right
+            to = to[fits(n[to], n[a], num, den, boundary, n[to] - pos[to], np.full(len(to), n[a] - pos[a])) & (comp[to] != comp[a])]
+            least = shared_least(size[a], size[to], n[a], n[to], num, den)
+            for b, k in zip(to.tolist(), least.tolist(), strict=True):
+                pair = (min(fp[a], fp[b]), max(fp[a], fp[b]))
+                if pair not in done:
+                    done.add(pair)
+                    if shared(prefix[a], prefix[b]) >= k:
+                        out.append(pair)
+        if len(done) > 1 << 20:
+            done.clear()
+        p = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        columns = [_column(batch, c).to_pylist() for c in ("key", "i", "j", "fp", "n", "pos", "comp", "block")]
+        for x, prefix in zip(zip(*columns, strict=True), _prefix_list(_column(batch, "prefix")), strict=True):
+            if x[:3] != group:
+                if rows:
+                    yield pairs()
+                group, rows = x[:3], []
+            rows.append((*x[3:], prefix))
+    if rows:
+        yield pairs()
+
+
 def verify(batches, n_words: int, num: int, den: int):
     """The pairs (a, b) whose texts really link."""
     for batch in batches:
@@ -373,9 +468,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = spool(_checked(docs, classes, prefixes, first, n_words, num, den), "links").unionByName(scanned.where("what = 1").select("a", "b"))
     comp = spool(connected(links), "components")
 
-    lists = scanned.where("what = 2").select("key", F.col("a").alias("fp"), "n")
-    second = spool(_residual(lists.distinct(), comp, boundary, num, den).join(first, ["a", "b"], "left_anti"), "second")
-    more = spool(_checked(docs, classes, prefixes, second, n_words, num, den), "links2")
+    lists = scanned.where("what = 2").select("key", F.col("a").alias("fp"), "n", "pos")
+    second = _residual(lists.distinct(), comp, prefixes, partitions_of(docs), boundary, num, den).join(first, ["a", "b"], "left_anti")
+    more = spool(_compared(docs, classes, spool(second, "second"), n_words, num, den), "links2")
     if not more.isEmpty():
         comp = spool(connected(links.unionByName(more)), "components2")
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
@@ -398,23 +493,37 @@ def _both(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 def _checked(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, pairs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     """The pairs of classes that link: pruned by prefixes, then compared by their whole texts."""
-    ends = F.explode(F.array("a", "b")).alias("fp")
-    wanted = spool(pairs.select(ends).distinct(), "wanted")
+    wanted = spool(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted")
     near = spool(_only(prefixes, wanted, "fp"), "prefixes")
     pairs = spool(_both(pairs, near).mapInArrow(shipped(prune, num=num, den=den), "a long, b long"), "pairs")
-    wanted = pairs.select(ends).distinct()
+    return _compared(docs, classes, pairs, n_words, num, den)
+
+
+def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
+    """The pairs of classes whose whole texts link; only texts of classes in a pair are read on."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = spool(classes.join(wanted, "fp", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"), "fp"), "wanted")
     texts = _only(docs, wanted, "doc_id").select("fp", "text").mapInArrow(shipped(texts_of, n_words=n_words), "fp long, text string").dropDuplicates(["fp"])
     texts = spool(texts, "texts")
     return _both(pairs, texts).select("a", "b", "text_a", "text_b").mapInArrow(shipped(verify, n_words=n_words, num=num, den=den), "a long, b long")
 
 
-def _residual(lists: DataFrame, comp: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
-    """Pairs of one list that fit by size and are in different components so far."""
-    lists = lists.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("comp", "fp").alias("comp"))
-    lists = spool(lists, "residual")
-    tally = lists.groupBy("key", "comp").count().groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major")).where("comps > 1").select("key", "major")
-    x = lists.join(tally, "key").where("comp != major").select("key", "fp", "n", "comp")
-    y = lists.join(tally, "key").select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.expr("comp = major").alias("of_major"))
-    pairs = x.join(y, "key").where(f"comp != comp2 and (of_major or fp < fp2) and {num} * greatest(n, n2) <= {den} * least(n, n2) and greatest(n, n2) > {boundary}")
-    return pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
+def _residual(lists: DataFrame, comp: DataFrame, prefixes: DataFrame, parts: int, boundary: int, num: int, den: int) -> DataFrame:
+    """Pairs of one list that are in different components so far and can link by size, position and prefix.
+
+    A list is dealt in blocks of about BLOCK members; each two blocks meet in one group, so pairs are made where they are
+    pruned, and no group grows with its list.
+    """
+    lists = spool(lists.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("comp", "fp").alias("comp")), "residual")
+    tally = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo != hi").select("key", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    rows = lists.join(tally, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    rows = rows.join(_sized(prefixes.select("fp", "prefix"), rows.select("fp").distinct()), "fp")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "n", "pos", "comp", "block", "prefix")
+    rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(shipped(prune_lists, num=num, den=den, boundary=boundary), "a long, b long").distinct()
+
+
+def _sized(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of table whose fp is wanted."""
+    return _only(table, spool(wanted, "wanted"), "fp")
