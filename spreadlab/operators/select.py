@@ -120,7 +120,8 @@ def sketch_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int
     visited, taken, rows = None, [], []
     score = base = old = 0.0
     for step in range(k):
-        best = sketch.argmax(sketch.estimates(reg, mask, n), taken)
+        known = vertices.select(F.col("id").alias("u")).join(sketch.estimates(reg, mask, n), "u", "left")  # all of a vertex's registers may be taken out
+        best = sketch.argmax(known.select("u", F.coalesce("total", F.lit(sum(mask.values()))).alias("total")), taken)
         if best is None:
             break
         seed, estimate = best.u, 2.0 ** (best.total / n)
