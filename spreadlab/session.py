@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one stands in only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir.
+
+    Where that setting is absent a temporary folder stands in, but only if driver and executors are one process (tests):
+    on a cluster each machine would see files of its own, so that is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/checkpoints"
+        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def spool(df: DataFrame) -> DataFrame:
+def spool(df: DataFrame, name: str = "table") -> DataFrame:
     """df, computed once and written as Parquet to the shared folder: an iteration's lineage ends here.
 
     Lost executors cost nothing, since no executor holds the only copy.
     """
-    path = f"{shared_dir(df.sparkSession)}/table"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
