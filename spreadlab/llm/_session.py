@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from spreadlab.session import shared_dir, spool  # noqa: F401
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -17,6 +20,7 @@ def shipped(fn: Callable, **kw) -> Callable:
 
     The closure goes by value and imports the module by name, so that module-level caches live
     as long as the Python worker, and executors need the package only on their path or at ROOT.
+    At a task's end the worker, which waits for the next one, gives its free memory back.
     """
     module, name, root = fn.__module__, fn.__qualname__, ROOT
 
@@ -26,27 +30,28 @@ def shipped(fn: Callable, **kw) -> Callable:
 
         if root not in sys.path:
             sys.path.append(root)
-        yield from getattr(importlib.import_module(module), name)(batches, **kw)
+        own = importlib.import_module("spreadlab.llm._session")
+        own.plain_memory()
+        try:
+            yield from getattr(importlib.import_module(module), name)(batches, **kw)
+        finally:
+            own.release()
 
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def plain_memory() -> None:
+    """Arrow takes its memory from the C library, which can give it back."""
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
-def spool(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: computed once, lineage cut."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release() -> None:
+    """Free pages of this process go back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def partitions_of(df: DataFrame, per_partition: int = 1) -> int:
@@ -57,3 +62,13 @@ def partitions_of(df: DataFrame, per_partition: int = 1) -> int:
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, renamed, so that further or clashing columns of df do no harm."""
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as set them apart from all columns of df."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -1,14 +1,13 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Words are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII.  A benchmark item's windows are its
-runs of 13 words, or all its words if it has fewer.  Each window is known by one anchor: of its runs of three
-words (fewer in shorter windows) the one with the least hash.  A document is scanned once: at each
-position the hash of three words is looked up in the set of anchors, which is part of the plan.
-Only hits go on: they meet the windows of their anchor, and the words on both sides are compared, so no
-window is missed and none is reported by hash alone.
+runs of 13 words, or all its words if it has fewer.  The distinct windows, with a hash of each, are the broadcast
+side of a hash join; the other side are the documents' own windows, one for each position and size of window, of which only the
+hash is computed.  Where a hash is met the words themselves are compared, so none is reported by hash alone.
+Positions are made, joined and dropped within one stage: what leaves it are hits, and one row for each document.
 
-The set of anchors is sent in blocks of at most BLOCK, all of which each position is held against; the
-windows are broadcast up to BROADCAST rows, and beyond that joined by shuffle.
+A broadcast holds at most BLOCK_BYTES.  Windows beyond that are dealt out by hash over as many blocks as it takes,
+each a broadcast of its own that all documents are held against.
 
 Nulls, ties and odd rows: a null text has no words; a null item text has no windows; an item without id marks words but
 is not counted; items with one id count once; repeated documents are rows of their own.  Empty tables of documents or
@@ -18,69 +17,77 @@ items give an empty result or clean documents.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window, words of an anchor, anchors in one set, windows that are broadcast at most.
-WINDOW, ANCHOR, BLOCK, BROADCAST = 13, 3, 100_000, 1_000_000
+from spreadlab.llm._session import spool, unused
+
+#: Words of a window, and bytes that are broadcast at once.
+WINDOW, BLOCK_BYTES = 13, 48 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# What words are made of, in lower and in either case, and what parts them.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE, BETWEEN_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """The words of a text; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text.cast("string"), UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text; none for null.
+
+    Texts are split, as regexp_extract_all copies the whole text for each match.
+    """
+    return F.coalesce(F.array_remove(F.split(F.translate(text.cast("string"), UPPER, LOWER), BETWEEN), ""), F.array().cast("array<string>"))
 
 
-def _gram(w: Column, i: Column, k: int) -> Column:
-    return F.xxhash64(*(F.get(w, i + j) for j in range(k)))
+def hashes(w: Column) -> Column:
+    """A hash of each word; the hash of a window is that of its words' hashes."""
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item_id, words, size, k, anchor, at): each window, its anchor of k words and where in the window that is."""
-    items = benchmark.select(benchmark[id_col].alias("item_id"), words(benchmark[text_col]).alias("w")).where("size(w) > 0")
+    """(item_id, win, size, h): each item's distinct windows, their words joined by blanks (which no word has), and hashes."""
+    items = benchmark.select(benchmark[id_col].cast("string").alias("item_id"), words(benchmark[text_col]).alias("w")).where("size(w) > 0")
     size = F.size("w")
     cut = F.when(size >= window, F.transform(F.sequence(F.lit(1), F.greatest(size - window + 1, F.lit(1))), lambda i: F.slice("w", i, window))).otherwise(F.array("w"))
-    rows = items.select("item_id", F.explode(cut).alias("words")).distinct().withColumn("size", F.size("words")).withColumn("k", F.least("size", F.lit(ANCHOR)))
+    return items.select("item_id", F.explode(cut).alias("words")).select("item_id", F.array_join("words", " ").alias("win"), F.size("words").alias("size"), F.xxhash64(hashes(F.col("words"))).alias("h")).distinct()
 
-    def least(k: int) -> Column:
-        return F.array_min(F.transform(F.sequence(F.lit(0), F.col("size") - k), lambda i: F.struct(_gram(F.col("words"), i, k).alias("anchor"), i.alias("at"))))
 
-    best = reduce(lambda rest, k: F.when(F.col("k") == k, least(k)).otherwise(rest), range(1, ANCHOR), least(ANCHOR))
-    return rows.withColumn("best", best).select("item_id", "words", "size", "k", "best.anchor", "best.at")
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """df to be broadcast if its measured ``size`` in bytes allows; else joins shuffle."""
+    return F.broadcast(df) if size <= BLOCK_BYTES else df.hint("merge")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each document: key columns, n_words, hits (start and size of each window found) and items."""
-    found = windows(benchmark, window=window)
-    anchors: dict[int, list[int]] = {}
-    for k, h in found.select("k", "anchor").distinct().collect():  # no more than the benchmark has windows
-        anchors.setdefault(k, []).append(h)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), words(docs[text_col]).alias("w")).withColumn("n_words", F.size("w").cast("long"))
-
-    def places(k: int, known: list[int]) -> Column:
-        def is_anchor(i: Column) -> Column:
-            h = _gram(F.col("w"), i, k)
-            return reduce(or_, (h.isin(known[b : b + BLOCK]) for b in range(0, len(known), BLOCK)))
-
-        spots = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0))), is_anchor)
-        around = F.transform(spots, lambda i: F.struct(_gram(F.col("w"), i, k).alias("anchor"), F.lit(k).alias("k"), i.alias("i"), F.greatest(i - window, F.lit(0)).alias("left"), F.slice("w", F.greatest(i - window, F.lit(0)) + 1, F.lit(2 * window + ANCHOR)).alias("near")))
-        return F.when(F.size("w") >= k, around)
-
-    some = [F.coalesce(places(k, v), F.array()) for k, v in sorted(anchors.items())]
-    if not some:
-        return rows.select("row", "doc_id", "text_hash", "n_words", F.array().cast("array<struct<start:int,size:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    spread = rows.select("row", "doc_id", "text_hash", "n_words", F.explode_outer(F.concat(*some) if len(some) > 1 else some[0]).alias("p")).select("row", "doc_id", "text_hash", "n_words", "p.*")
-    right = found.select(F.col("anchor").alias("a2"), F.col("k").alias("k2"), "item_id", "words", "size", "at")
-    if right.count() <= BROADCAST:
-        right = F.broadcast(right)
-    start = F.col("i") - F.col("at")
-    same = (F.col("anchor") == F.col("a2")) & (F.col("k") == F.col("k2")) & (start >= F.col("left")) & (start + F.col("size") <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("left"), F.lit(0)) + 1, F.col("size")) == F.col("words"))
-    met = spread.join(right, same, "left").withColumn("hit", F.when(F.col("size").isNotNull(), F.struct(start.alias("start"), F.col("size").alias("size"))))
-    return met.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_set("hit").alias("hits"), F.collect_set(F.when(F.col("size").isNotNull(), F.col("item_id").cast("string"))).alias("items"))
+    found = spool(windows(benchmark, window=window), "windows")
+    known = found.select("win", "size", "h").distinct()
+    total = known.agg(F.sum(F.octet_length("win") + 64).alias("bytes"), F.collect_set("size").alias("sizes")).first()  # sizes: WINDOW numbers at most
+    owned = found.agg(F.sum(F.octet_length("win") + F.octet_length("item_id") + 64)).first()[0] or 0
+    sizes, blocks = sorted(total.sizes, reverse=True) or [window], max(1, -(-(total.bytes or 0) // BLOCK_BYTES))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), words(docs[text_col]).alias("w"))
+    if blocks > 1:
+        rows = spool(rows, "words")  # all blocks see the same rows
+    key = ["row", "doc_id", "text_hash", "n_words"]
+
+    def block(k: int) -> DataFrame:
+        """Hits of the windows in one block; the first block also keeps a row for each document."""
+        own = known if blocks == 1 else known.where(F.pmod("h", F.lit(blocks)) == k)
+        own = own.select(F.col("h").alias("own_h"), F.col("size").alias("own_size"), F.col("win"))
+        spots = rows.select("row", "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "w", hashes(F.col("w")).alias("x"))
+        spots = spots.select(*key, "w", "x", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)))).alias("i"))
+        spots = spots.withColumn("k", F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(F.lit, sizes))))
+        spots = spots.withColumn("h", F.xxhash64(F.slice("x", F.col("i") + 1, F.col("k"))))
+        # of equal numbers of words, one is the other's beginning only if they are equal; an equation would become a key, made at each position
+        same = (F.col("h") == F.col("own_h")) & (F.col("k") == F.col("own_size")) & F.concat(F.array_join(F.slice("w", F.col("i") + 1, F.col("k")), " "), F.lit(" ")).startswith(F.concat("win", F.lit(" ")))
+        met = spots.join(F.broadcast(own), same, "left")
+        met = met.where(F.col("win").isNotNull() | ((F.col("i") == 0) & (F.col("k") == sizes[0])) if k == 0 else F.col("win").isNotNull())
+        return met.select(*key, F.when(F.col("win").isNotNull(), F.struct(F.col("i").alias("start"), F.col("k").alias("size"))).alias("hit"), "win")
+
+    met = reduce(DataFrame.unionByName, map(block, range(blocks)))
+    own = met.groupBy(*key).agg(F.collect_set("hit").alias("hits"), F.collect_set("win").alias("wins"))
+    owners = found.select("win", "item_id").where("item_id is not null")
+    named = own.select(*key, "hits", F.explode_outer("wins").alias("win")).join(_small(owners, owned), "win", "left")
+    return named.groupBy(*key).agg(F.first("hits").alias("hits"), F.collect_set("item_id").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:
@@ -97,20 +104,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: str = "documents") -> DataFrame:
     """docs with its columns, without contaminated documents, or without the words inside windows (remove="spans").
 
-    Decisions join back by id and text; they are broadcast up to BROADCAST of them.
+    Decisions are written to the shared folder and join back by id and text, broadcast if their size allows.
     """
-    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated" if remove == "documents" else "n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hit_words").alias("__hit")).dropDuplicates(["__id", "__hash"])
-    if remove == "documents":
-        bad = bad.drop("__hit")
-    small = F.broadcast(bad) if bad.count() <= BROADCAST else bad
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
-    if remove == "documents":
-        return docs.join(small, same, "left_anti")
+    key, mark, hit = unused(docs, "key", "mark", "hit")
+    whole = remove == "documents"
+    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated" if whole else "n_hit > 0")
+    bad = bad.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark), *([] if whole else [F.col("hit_words").alias(hit)]))
+    bad = spool(bad.dropDuplicates([key, mark]), "decisions")
+    size = bad.agg(F.sum(F.lit(64) if whole else 64 + 4 * F.size(hit))).first()[0] or 0
+    same = docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(mark))
+    if whole:
+        return docs.join(_small(bad, size), same, "left_anti")
     text = docs[text_col]
-    own, gaps = F.regexp_extract_all(text, F.lit(ANY_CASE), F.lit(0)), F.split(text, ANY_CASE)
-    left = F.concat(F.array_join(F.transform(own, lambda w, i: F.concat(F.get(gaps, i), F.when(F.array_contains("__hit", i), "").otherwise(w))), ""), F.element_at(gaps, -1))
-    out = docs.join(small, same, "left")
-    return out.select(*(F.when(F.col("__hit").isNull(), docs[c]).otherwise(left).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    own, gaps = F.array_remove(F.split(text, BETWEEN_ANY), ""), F.split(text, ANY_CASE)
+    left = F.concat(F.array_join(F.transform(own, lambda w, i: F.concat(F.get(gaps, i), F.when(F.array_contains(hit, i), "").otherwise(w))), ""), F.element_at(gaps, -1))
+    out = docs.join(_small(bad, size), same, "left")
+    return out.select(*(F.when(F.col(hit).isNull(), docs[c]).otherwise(left).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 #: DuckDB SQL for the rows of op5.

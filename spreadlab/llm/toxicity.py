@@ -2,8 +2,8 @@
 
 Features of a text are the distinct hashes (modulo 2**bits) of its words, of neighbouring word pairs,
 of pairs one word apart, and of word stems, also as seen twice and thrice; a word is a run of letters, digits and characters beyond ASCII, in lower
-case.  Learning uses at most ``max_rows`` labelled documents, those first by a hash of their id, in
-that order, and features that ``least`` of those documents have; per-coordinate rates and the L1 term leave few weights, which are broadcast.
+case.  Learning uses at most ``max_rows`` labelled documents, those first by a hash of their id, in that order, of which
+the first with ``max_features`` features together; and features that ``least`` of those documents have; per-coordinate rates and the L1 term leave few weights, which are broadcast.
 
 Nulls, ties and odd rows: a null or wordless text gets the score of the intercept alone; a null label or id
 teaches nothing; an id with several labels teaches each of them, on each row of that id; repeated rows get equal
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from spreadlab.llm import _text as T
 from spreadlab.llm._session import shipped, two_columns
 
-#: Bound of the labelled sample.
-MAX_ROWS = 20_000
+#: Bounds of the labelled sample: documents, and their features (4 bytes each in the task that learns).
+MAX_ROWS, MAX_FEATURES = 20_000, 48_000_000
 BITS = 20
 #: Bytes of a word that count as its stem.
 STEM = 6
+#: A gap of this many is a unit that stands for no feature.
+WIDE = 65_535
 
 
 def features(column: pa.Array, bits: int):
@@ -45,28 +47,62 @@ def features(column: pa.Array, bits: int):
         yield lo, hi, f.astype(np.int64), np.concatenate([row, two_row, row[:-2][apart] if len(h) > 2 else row[:0], row, *(z for _, z in again)])
 
 
+def pack(f: np.ndarray) -> bytes:
+    """Ascending numbers as gaps of 16 bits; a gap's multiples of WIDE are units of their own."""
+    many, rest = np.divmod(np.diff(f, prepend=0), WIDE)
+    out = np.full(int(many.sum()) + len(f), WIDE, np.uint16)
+    out[np.cumsum(many + 1) - 1] = rest
+    return out.tobytes()
+
+
+def unpack(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(data, dtype=np.int64)[data != WIDE]
+
+
 def featurise(batches, bits: int):
-    """(turn, label, f): the distinct features of each labelled text, as 32-bit integers."""
+    """(turn, label, f): the distinct features of each labelled text, packed."""
     for batch in batches:
         turn, label, text = (batch.column(batch.schema.get_field_index(c)) for c in ("turn", "label", "text"))
         for lo, hi, f, row in features(text, bits):
             key = np.unique((row << bits) | f)
             cut = np.searchsorted(key >> bits, np.arange(hi - lo + 1))
-            f = (key & ((1 << bits) - 1)).astype(np.int32)
-            yield pa.record_batch({"turn": turn.slice(lo, hi - lo), "label": label.slice(lo, hi - lo), "f": pa.array([f[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+            f = key & ((1 << bits) - 1)
+            yield pa.record_batch({"turn": turn.slice(lo, hi - lo), "label": label.slice(lo, hi - lo), "f": pa.array([pack(f[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
-def train(batches, bits: int, passes: int, alpha: float, beta: float, l1: float, l2: float, least: int):
-    """One task over the bounded sample, in its order; gives the weights that are not zero."""
-    labels, sets = [], []
+def gather(batches, last: int, most: int):
+    """(labels, bounds, flat): the features of all texts in one array of 32-bit integers, each text's closed by ``last``.
+
+    It ends before the text that would make it longer than ``most``; memory is touched only as it fills.
+    """
+    labels, bounds, flat = [], [0], np.empty(most, np.int32)
     for batch in batches:
-        labels += batch.column(batch.schema.get_field_index("label")).to_pylist()
-        sets += [np.frombuffer(x, np.int32) for x in batch.column(batch.schema.get_field_index("f")).to_pylist()]
+        column = batch.column(batch.schema.get_field_index("f"))
+        for y, x in zip(batch.column(batch.schema.get_field_index("label")).to_pylist(), column, strict=True):
+            f = unpack(np.frombuffer(x.as_buffer(), np.uint16))
+            a, b = bounds[-1], bounds[-1] + len(f) + 1
+            if b > most:
+                return labels, bounds, flat
+            flat[a : b - 1], flat[b - 1] = f, last
+            labels.append(y)
+            bounds.append(b)
+    return labels, bounds, flat
+
+
+def train(batches, bits: int, passes: int, alpha: float, beta: float, l1: float, l2: float, least: int, max_features: int):
+    """One task over the bounded sample, in its order; gives the weights that are not zero."""
     size = (1 << bits) + 1  # the last is the intercept, free of L1
-    held = np.zeros(size, np.int32)
-    for f in sets:
-        held[f] += 1
-    sets = [f[held[f] >= least] for f in sets]  # the others would only let a document be learned by heart
+    labels, bounds, flat = gather(batches, size - 1, max_features)
+    held = np.zeros(size, np.int64)
+    for a in range(0, bounds[-1], 1 << 20):
+        held += np.bincount(flat[a : min(a + (1 << 20), bounds[-1])], minlength=size)
+    held[-1] = least
+    end, cut = 0, [0]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):  # in place; the others would only let a document be learned by heart
+        f = flat[a:b][held[flat[a:b]] >= least]
+        flat[end : end + len(f)] = f
+        end += len(f)
+        cut.append(end)
     z, n = np.zeros(size), np.zeros(size)
     thin = np.full(size, l1)
     thin[-1] = 0.0
@@ -76,8 +112,8 @@ def train(batches, bits: int, passes: int, alpha: float, beta: float, l1: float,
         return np.where(np.abs(zi) <= thin[i], 0.0, (np.sign(zi) * thin[i] - zi) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(passes):
-        for y, f in zip(labels, sets, strict=True):
-            i = np.append(f, size - 1)
+        for y, a, b in zip(labels, cut[:-1], cut[1:], strict=True):
+            i = flat[a:b]
             w = weight(i)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             more = n[i] + g * g
@@ -131,12 +167,12 @@ def sample(labels: DataFrame, id_col: str, label_col: str, usable: Column, max_r
     return rows.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "label").limit(max_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, passes: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, least: int = 5):
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, passes: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, least: int = 5, max_features: int = MAX_FEATURES):
     """(features, weights), both arrays, learned from the labelled rows for which ``usable`` (a column of labels) holds."""
     some = F.broadcast(sample(labels, id_col, label_col, usable, max_rows))
     rows = two_columns(docs, id_col, text_col).join(some, "doc_id").select("turn", "label", "text")
     rows = rows.mapInArrow(shipped(featurise, bits=bits), "turn long, label int, f binary").repartition(1).sortWithinPartitions("turn", "label", "f")
-    got = rows.mapInArrow(shipped(train, bits=bits, passes=passes, alpha=alpha, beta=beta, l1=l1, l2=l2, least=least), "f long, w double").toArrow()
+    got = rows.mapInArrow(shipped(train, bits=bits, passes=passes, alpha=alpha, beta=beta, l1=l1, l2=l2, least=least, max_features=max_features), "f long, w double").toArrow()
     return got["f"].to_numpy().astype(np.int64), got["w"].to_numpy().astype(float)
 
 
