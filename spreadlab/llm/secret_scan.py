@@ -60,12 +60,13 @@ def checksum_holds(token: bytes) -> bool:
 
 
 def header_holds(token: bytes) -> bool:
-    """The first part is a JSON object that names an algorithm."""
+    """The first part is a JSON object that names an algorithm; what cannot be read, or nests too deep to be, is none."""
     part = token.split(b".")[0]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
-    except (ValueError, TypeError):
+        header = json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
+    except (ValueError, RecursionError):
         return False
+    return isinstance(header, dict) and "alg" in header
 
 
 HOLDS = {
