@@ -2,10 +2,13 @@
 
 For every participant (a role other than ``system``) the whole dialogue is rendered with that one's turns as the
 assistant's and the others' as users by name; system turns stay what they are.  ``mask`` has the code point spans
-(end exclusive) of the assistant's words, which alone are trained on; ``all_mask`` is their total length.
+(end exclusive) of the assistant's words, which alone are trained on; ``mask_chars`` is their total length.
 
-A conversation of any length is rendered in segments: the turns t with equal floor(t / SEGMENT) make a row, and a
-conversation of up to SEGMENT turns is one.  So no row gathers an unbounded conversation.
+A dialogue is one row for each participant, whatever its length: the rendered text is the result, so a row is as
+long as the dialogue.  Only where the caller names a ``segment`` size, the turns t with equal floor(t / segment) make a row each.
+
+Marks inside a text or a name are no marks: a blank parts their first two signs, and a name's line ends become blanks, so nobody
+can speak as somebody else.
 
 Nulls, ties and odd rows: a null text is empty; a null role is the participant ``unknown``; turns come in the order of
 turn, role and text, a null turn first and in segment 0; repeated rows are rendered as often as they come; a
@@ -15,25 +18,31 @@ its own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 256
-# The marks around a turn.
+# The marks around a turn, and what both begin with, as written inside texts.
 BEGIN, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
+MARK, PARTED = "<|im_", "< |im_"
+
+
+def plain(text: Column) -> Column:
+    """The text without marks in it."""
+    return F.replace(text, F.lit(MARK), F.lit(PARTED))
 
 
-def perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def perspectives(turns: DataFrame, segment: int | None = None) -> DataFrame:
     """(conv_id, perspective, segment, n_turns, n_own, text, mask, mask_chars) for each participant and segment."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(0)).cast("long"))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), plain(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    rows = rows.withColumn("segment", (F.coalesce(F.floor(F.col("turn") / segment), F.lit(0)) if segment else F.lit(0)).cast("long"))
     people = rows.where("role != 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
     parts = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     parts = parts.withColumn("said", F.concat(F.filter("said", lambda x: x["turn"].isNull()), F.filter("said", lambda x: x["turn"].isNotNull())))
     seen = parts.withColumnRenamed("conv_id", "__conv").join(people, F.col("__conv").eqNullSafe(people["conv_id"]))
 
     def head(x):
-        return F.when(x["role"] == "system", F.lit(f"{BEGIN}system{MIDDLE}")).when(x["role"] == F.col("perspective"), F.lit(f"{BEGIN}assistant{MIDDLE}")).otherwise(F.concat(F.lit(f"{BEGIN}user name="), x["role"], F.lit(MIDDLE)))
+        name = plain(F.translate(x["role"], "\r\n", "  "))
+        return F.when(x["role"] == "system", F.lit(f"{BEGIN}system{MIDDLE}")).when(x["role"] == F.col("perspective"), F.lit(f"{BEGIN}assistant{MIDDLE}")).otherwise(F.concat(F.lit(f"{BEGIN}user name="), name, F.lit(MIDDLE)))
 
     def step(state, x):
         first = state["at"] + F.length(head(x))
@@ -49,11 +58,11 @@ def perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 #: DuckDB SQL for the rows of op8.
 ORACLE_SQL = """
-WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(turn // 256, 0)::BIGINT AS segment FROM conversations),
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text, 0::BIGINT AS segment FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
 x AS (
   SELECT r.conv_id, perspective, segment, turn, role, text, role = perspective AND role <> 'system' AS own,
-    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
+    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || replace(translate(role, chr(13) || chr(10), '  '), '<|im_', '< |im_') END || chr(10) AS head
   FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 y AS (
   SELECT *, row_number() OVER w AS k, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
