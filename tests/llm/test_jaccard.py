@@ -61,6 +61,65 @@ def test_components_match_all_pairs(spark, monkeypatch, seed, frequent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
 
 
+def by_rows(rows):
+    """(size, least id of the component) of each row; rows without id take part, but name no component."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return [(i, len(sets[k]), least.get(root(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)]
+
+
+def bridged(n, ids, rng):
+    """Three texts of n words of which only neighbours are close."""
+    words = ["b" + str(rng.randrange(10**6)) for _ in range(n)]
+    k = max(1, round((n - 4) * 0.09))
+    left, right = list(words), list(words)
+    for j in range(k):
+        left[j] = "l" + str(rng.randrange(10**6))
+        right[n - 1 - j] = "r" + str(rng.randrange(10**6))
+    return list(zip(ids, (" ".join(x) for x in (left, words, right)), strict=True))
+
+
+@pytest.mark.parametrize("boundary", [None, 0, 16])
+def test_sets_without_id_carry_links(spark, monkeypatch, boundary):
+    if boundary is not None:
+        monkeypatch.setattr(J, "choose_boundary", lambda *_: boundary)
+    rng = random.Random(8)
+    rows = bridged(15, (1, None, 2), rng) + bridged(16, (5, 6, 7), rng) + bridged(64, (11, None, 12), rng) + bridged(200, (None, None, 21), rng) + bridged(40, (None, None, None), rng)
+    rows += [(None, rows[0][1]), (31, "x y"), (None, "x y"), (None, "  ")]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(by_rows(rows), key=str)
+    assert len({c for i, _, c in by_rows(rows) if i in (11, 12)}) == 1
+
+
+def test_sets_that_share_a_name_are_told_apart(spark):
+    rows = texts(3)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), name_bits=5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
+
+
+def test_a_list_of_very_many_members_and_an_outsider(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = ["c0", "c1", "c2", "c3", "c4", *base[5:]]
+    far = [*near[:55], "d0", "d1", "d2", "d3", "d4"]
+    rows = [(i, " ".join([*base, f"u{i}"])) for i in range(2, 50_000)] + [(1, " ".join(near)), (0, " ".join(far)), (60_000, "alone " * 9)]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {(r.component_id, r["count"]) for r in got.groupBy("component_id").count().collect()} == {(0, 50_000), (60_000, 1)}
+
+
 def test_rows_in_rows_out(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "x"), (None, None, None), (7, "q r s t u v", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
