@@ -1,36 +1,45 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are cut at blanks, tabs and line ends into words, which no token crosses (the vocabulary's tokenizer drops white
-space), so a text's ids are its words' ids in order.  Spark counts the words of the whole
-corpus; those whose share of its characters is at least ``common`` (so at most 1 / common of them, whatever the input)
-form a table, each encoded once, that is broadcast.  A word beyond that table is encoded once for each
-task that meets it.  Ids join back by position.  Decoding joins each id with its piece.
+space), so a text's ids are its words' ids in order.
 
-A table of all distinct words is not shared: it grows with the corpus, so it could be neither broadcast
-nor, with every position of every text, shuffled within the size of the input.
+1. Each input partition numbers its distinct words by first appearance, in blocks of about ``LOCAL`` words, and sends
+   them on as (word, block, number).
+2. Sorted by word, the words of all blocks meet: each distinct word of the corpus is encoded once, and its ids go
+   back to every (block, number) that asked.  A word has one row for each block at most, however often it comes.
+3. The answers of a block, by number, make its dictionary, a few MB in a file of the shared folder.  The
+   texts are read again, their words numbered in the same way, and ids join back by position.  A block whose words are
+   not those that were numbered before (an input that changes between two reads) is an error.
+
+Decoding joins each id with the vocabulary's table of pieces.
 
 Nulls, ties and odd rows: null counts as empty and has no tokens; words of any length, and special
 tokens spelt out in a text, go through the tokenizer itself; repeated rows get equal results.  An empty table gives an
-empty result.
+empty result.  Input columns named as a new one are kept, and the new ones get underscores before their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from itertools import islice
+import struct
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadlab.llm._session import shipped
+from spreadlab.llm._session import partitions_of, shared_dir, shipped, unused
 
-#: Least share of the corpus' characters for the shared table; words of one task that are held at most.
-COMMON, LOCAL = 3e-7, 200_000
+#: Distinct words from which a block is closed after a text; bits of a block's number within its partition.
+LOCAL, SUB = 250_000, 24
 _SPACES = str.maketrans("\n\t\r", "   ")
 _TOKENIZERS: dict[str, object] = {}
+# Fixed values of the dictionary files.
+MAGIC, ENTRY = b"WORDDIC1", np.dtype([("block", "<i8"), ("at", "<i8"), ("size", "<i8"), ("raw", "<i8"), ("words", "<i8"), ("check", "<i8")])
 
 
 def tokenizer(path: str):
@@ -46,153 +55,312 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _encoded(path: str, words: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+def cut(text: str) -> list[str]:
+    """The words of a text, in order; neighbouring blanks have an empty word between them."""
+    return (text.translate(_SPACES) if "\t" in text or "\r" in text else text.replace("\n", " ")).split(" ")
 
 
-def encode_words(batches, path: str):
-    """(word, ids): each word's ids as little-endian 32-bit integers."""
-    for batch in batches:
-        words = batch.column(0).to_pylist()
-        yield pa.record_batch({"word": pa.array(words, pa.string()), "ids": pa.array(_encoded(path, words), pa.binary())})
-
-
-class Coder:
-    """Ids of texts by word: the shared table, then the words that this task has met."""
-
-    def __init__(self, path: str, common: dict[str, bytes]):
-        self.path, self.table, self.shared = path, dict(common), len(common)
-
-    def learn(self, words: set[str]) -> None:
-        """Encode what the table lacks; a full table starts anew from the shared one.  A word's last stop or comma is a token of its own if letters come before it."""
-        table = self.table
-        new = [w for w in words if w not in table]
-        if len(table) + len(new) > self.shared + LOCAL:
-            self.table = table = dict(islice(table.items(), self.shared))
-            new = [w for w in words if w not in table]
-        stem = {w: (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[:-1].isalpha() and w[:-1].isascii() else None for w in new}
-        plain = {w: (s[0] if s else w) for w, s in stem.items()}
-        folded = {w: x.lower() if x.isascii() and x.isalpha() else x for w, x in plain.items()}
-        todo = list({x for x in folded.values() if x not in table} | {s[1] for s in stem.values() if s})
-        got = dict(zip(todo, _encoded(self.path, todo), strict=True))
-        for w in new:
-            x = folded[w]
-            ids = table[x] if x in table else got[x]
-            table[w] = ids + got[stem[w][1]] if stem[w] else ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.translate(_SPACES).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*words))
-        get = self.table.__getitem__
-        return [b"".join(map(get, w)) for w in words]
-
-
-_LAST: list = [None, None]
-
-
-def coder_for(path: str, common) -> Coder:
-    """The worker process' coder, held from task to task of one job."""
-    if _LAST[0] is not common.value:
-        _LAST[:] = [common.value, Coder(path, common.value)]
-    return _LAST[1]
-
-
-def _slices(column: pa.Array, size: int = 1 << 21):
-    """Texts in runs of about so many bytes."""
-    some, held = [], 0
-    for x in column:
-        some.append(x.as_py() or "")
-        held += len(some[-1])
-        if held >= size:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
-
-
-def pieces(path: str) -> list[str]:
+def pieces(path: str) -> pa.Array:
     """The piece of each id."""
     vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
     out = [""] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
         out[i] = piece
-    return out
+    return pa.array(out, pa.string())
 
 
-def decode_ids(ids: bytes, piece: list[str]) -> str:
-    """Pieces of the ids, parted by blanks: what a tokenizer file without a decoder gives."""
-    return " ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decoded(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """Each list's ids joined with their pieces, which blanks part: what a tokenizer file without a decoder gives."""
+    ids = ids.fill_null([]) if ids.null_count else ids
+    flat = pa.ListArray.from_arrays(ids.offsets, table.take(ids.values))
+    return pc.binary_join(flat, " ")
 
 
-def encode_texts(batches, path: str, common, field: str):
-    """The rows, with n_tokens, ids_sha256, decoded_sha256 and token_ids in place of the text."""
-    coder = piece = None
+# Texts that a vocabulary is tried on.
+PROBES = ("It's 5 o'clock, don't  panic!!\n(see: a.b/c) Émile_x 東京タワー, naïve ﬁ 1,234.50", "x\ty\r\nZ <|endoftext|> ... --- 　 q.", "")
+
+
+def vouch(path: str) -> None:
+    """Raises where a vocabulary's texts are not their words' ids, or decode to other than pieces and blanks."""
+    t, table = tokenizer(path), pieces(path)
+    for text in PROBES:
+        ids = t.encode(text, add_special_tokens=False).ids
+        if ids != [i for w in cut(text) for i in t.encode(w, add_special_tokens=False).ids]:
+            raise ValueError(f"{path}: its tokens cross blanks, so texts cannot be encoded by word")
+        if t.decode(ids, skip_special_tokens=False) != decoded(pa.array([ids], pa.list_(pa.int32())), table)[0].as_py():
+            raise ValueError(f"{path}: it decodes to other than its pieces, parted by blanks")
+
+
+# ---- words, in blocks ------------------------------------------------------------------------
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def requests(batches, local: int):
+    """(word, block, at) of each distinct word of each block, and a row without word that has their check."""
+    numbers: dict[str, int] = {}
+    part = sub = 0
+
+    def block():
+        words = list(numbers)
+        for lo in range(0, len(words), 10_000):
+            some = words[lo : lo + 10_000]
+            yield pa.record_batch({"word": pa.array(some, pa.string()), "block": pa.array(np.full(len(some), part << SUB | sub)), "at": pa.array(np.arange(lo, lo + len(some), dtype=np.int64))})
+        yield pa.record_batch({"word": pa.nulls(1, pa.string()), "block": pa.array([part << SUB | sub]), "at": pa.array([len(words) << 32 | check(words)])})
+
     for batch in batches:
-        coder, piece = coder or coder_for(path, common), piece or pieces(path)
-        i, done = batch.schema.get_field_index(field), 0
-        rest = batch.drop_columns([field])
-        for some in _slices(batch.column(i)):
-            ids = coder.encode(some)
-            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            own = rest.slice(done, len(ids))
-            done += len(ids)
-            new = [pa.array(np.diff(at).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(decode_ids(x, piece).encode()).hexdigest() for x in ids], pa.string()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
-            yield pa.RecordBatch.from_arrays([*own.columns, *new], [*own.schema.names, *NEW])
+        for x in _column(batch, "text"):
+            part = _column(batch, "part")[0].as_py()
+            for w in dict.fromkeys([w for w in cut(x.as_py() or "") if w not in numbers]):
+                numbers[w] = len(numbers)
+            if len(numbers) >= local:
+                yield from block()
+                numbers.clear()
+                sub += 1
+    if numbers:
+        yield from block()
 
 
-NEW = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<int>"}
+def check(words) -> int:
+    return zlib.crc32("\n".join(words).encode())
 
 
-def digest(batches, path: str, common):
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), from the ids and what they decode to."""
-    coder = piece = None
+def encode_words(batches, path: str, width: int):
+    """(block, at, ids) of requests sorted by word: neighbouring equal words are encoded once."""
+    t, last, last_ids = tokenizer(path), None, b""
+    for batch in batches:
+        words, block, at = (_column(batch, c) for c in ("word", "block", "at"))
+        marks = words.null_count  # rows without word come first
+        if marks:
+            yield pa.record_batch({"block": block.slice(0, marks), "at": pa.array(np.full(marks, 2**31 - 1, np.int64)), "ids": pa.array([struct.pack("<q", x) for x in at.slice(0, marks).to_pylist()], pa.binary())})
+            words, block, at = (c.slice(marks) for c in (words, block, at))
+        if not len(words):
+            continue
+        runs = pc.run_end_encode(words)
+        distinct, size = runs.values.to_pylist(), np.diff(runs.run_ends.to_numpy(), prepend=0)
+        todo = distinct[1:] if distinct[0] == last else distinct
+        ids = [np.array(e.ids, f"<u{width}").tobytes() for e in t.encode_batch_fast(todo, add_special_tokens=False)]
+        if len(todo) < len(distinct):
+            ids.insert(0, last_ids)
+        last, last_ids = distinct[-1], ids[-1]
+        yield pa.record_batch({"block": block, "at": at, "ids": pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), size)))})
+
+
+def place(files, draft: str, name: str) -> None:
+    """Gives a whole file its name; another attempt's file of that name has the same content."""
+    from pyarrow import fs
+
+    if files.get_file_info(name).type == fs.FileType.NotFound:
+        files.move(draft, name)
+    else:
+        files.delete_file(draft)
+
+
+def write_dictionaries(batches, folder: str):
+    """Answers, sorted by (slot, block, at), to a file for each slot; (blocks) of each file."""
+    from spreadlab.llm.token_store import filesystem
+
+    files, root = filesystem(folder)
+    codec = pa.Codec("zstd", 1)
+    slot = out = draft = block = None
+    entries: list[tuple] = []
+    sizes: list[np.ndarray] = []
+    data: list[bytes] = []
+
+    def end_block():
+        lengths = np.concatenate(sizes)
+        n = len(lengths) - 1  # the last row is the block's check
+        whole = b"".join(data)
+        (want,) = struct.unpack("<q", whole[-8:])
+        if want >> 32 != n:
+            raise ValueError("a block's words are not all there")
+        raw = lengths[:-1].astype("<u4").tobytes() + whole[:-8]
+        packed = codec.compress(raw, asbytes=True)
+        entries.append((block, out.tell(), len(packed), len(raw), n, want & 0xFFFFFFFF))
+        out.write(packed)
+        sizes.clear()
+        data.clear()
+
+    def end_slot():
+        end_block()
+        out.write(np.array(entries, ENTRY).tobytes() + struct.pack("<Q", len(entries)) + MAGIC)
+        out.close()
+        place(files, draft, f"{root}/{_name(slot)}")
+        entries.clear()
+
+    for batch in batches:
+        slots, blocks, ids = (_column(batch, c) for c in ("slot", "block", "ids"))
+        slots, blocks = slots.to_numpy(), blocks.to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (slots[1:] != slots[:-1])]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
+            if out is not None and (slots[a], blocks[a]) != (slot, block):
+                end_block() if slots[a] == slot else end_slot()
+            if slots[a] != slot:
+                slot = int(slots[a])
+                files.create_dir(root, recursive=True)
+                draft = f"{root}/.{_name(slot)}.{uuid.uuid4().hex}"
+                out = files.open_output_stream(draft)
+            block = int(blocks[a])
+            some = ids.slice(a, b - a)
+            at = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+            sizes.append(np.diff(at))
+            data.append(some.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes() if at[-1] > at[0] else b"")
+    if out is not None:
+        end_slot()
+        yield pa.record_batch({"files": pa.array([1], pa.int64())})
+
+
+def _name(slot: int) -> str:
+    return f"words-{slot:06d}.dic"
+
+
+def _slot(part: int, sub: int, slots: int) -> int:
+    return (part + 7919 * sub) % slots
+
+
+class Dictionary:
+    """The words of a block, numbered as they come, and their ids."""
+
+    def __init__(self, folder: str, part: int, sub: int, slots: int):
+        from spreadlab.llm.token_store import filesystem
+
+        files, root = filesystem(folder)
+        block = part << SUB | sub
+        with files.open_input_file(f"{root}/{_name(_slot(part, sub, slots))}") as f:
+            f.seek(f.size() - 16)
+            count, magic = struct.unpack("<Q8s", f.read(16))
+            if magic != MAGIC:
+                raise ValueError("not a file of words")
+            f.seek(f.size() - 16 - count * ENTRY.itemsize)
+            entry = np.frombuffer(f.read(count * ENTRY.itemsize), ENTRY)
+            entry = entry[entry["block"] == block]
+            if not len(entry):
+                raise ValueError("the input is not the one whose words were numbered")
+            f.seek(int(entry["at"][0]))
+            raw = pa.Codec("zstd", 1).decompress(f.read(int(entry["size"][0])), int(entry["raw"][0]), asbytes=True)
+        n, self.check = int(entry["words"][0]), int(entry["check"][0])
+        self.at = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)]).tolist()
+        self.ids, self.table = memoryview(raw)[4 * n :], {}
+
+    def encode(self, words: list[str]) -> bytes:
+        table, at = self.table, self.at
+        for w in dict.fromkeys([w for w in words if w not in table]):
+            k = len(table)
+            if k + 1 >= len(at):
+                raise ValueError("the input is not the one whose words were numbered")
+            table[w] = bytes(self.ids[at[k] : at[k + 1]])
+        return b"".join(map(table.__getitem__, words))
+
+    def close(self) -> None:
+        if len(self.table) != len(self.at) - 1 or check(self.table) != self.check:
+            raise ValueError("the input is not the one whose words were numbered")
+
+
+def encoded(batches, folder: str, local: int, slots: int, width: int, field: str, part_field: str):
+    """(rows, ids of their texts as a list array): runs of rows of about 2 MB of text."""
+    book, sub, part = None, 0, 0
     for batch in batches:
-        coder, piece = coder or coder_for(path, common), piece or pieces(path)
-        out: list[tuple] = []
-        for some in _slices(batch.column(batch.schema.get_field_index("text"))):
-            out += [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode_ids(x, piece).encode()).hexdigest()) for x in coder.encode(some)]
-        n, a, b = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.record_batch({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
+        done, held, some = 0, 0, []
+
+        def run(done, some):
+            at = np.concatenate([[0], np.cumsum([len(x) // width for x in some])]).astype(np.int32)
+            flat = np.frombuffer(b"".join(some), f"<u{width}").astype("<i4")
+            return batch.slice(done, len(some)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))  # noqa: B023
+
+        for x in _column(batch, field):
+            part = _column(batch, part_field)[0].as_py()
+            book = book or Dictionary(folder, part, sub, slots)
+            text = x.as_py() or ""
+            some.append(book.encode(cut(text)))
+            held += len(text)
+            if len(book.table) >= local:
+                book.close()
+                book, sub = None, sub + 1
+            if held >= 1 << 21:
+                yield run(done, some)
+                done, held, some = done + len(some), 0, []
+        if some:
+            yield run(done, some)
+    if book is not None:
+        book.close()
+
+
+def _digests(ids: pa.ListArray, table: pa.Array) -> list[pa.Array]:
+    """n_tokens, ids_sha256 and decoded_sha256 of each list."""
+    at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+    texts = decoded(ids, table)
+    ends, raw = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].tolist(), memoryview(texts.buffers()[2] or b"")
+    own = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    back = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [pa.array(np.diff(at).astype(np.int64)), pa.array(own, pa.string()), pa.array(back, pa.string())]
+
+
+def encode_texts(batches, path: str, field: str, part_field: str, names: list[str], **kw):
+    """The rows, with n_tokens, ids_sha256, decoded_sha256 and token_ids in place of the text."""
+    table = pieces(path)
+    for rows, ids in encoded(batches, field=field, part_field=part_field, **kw):
+        own = rows.drop_columns([field, part_field])
+        yield pa.RecordBatch.from_arrays([*own.columns, *_digests(ids, table), ids], [*own.schema.names, *names])
 
 
-def common_words(docs: DataFrame, path: str, text_col: str = "text", common: float = COMMON):
-    """Broadcast table word -> ids of the words that hold a share of ``common`` of all characters.
+def digest(batches, path: str, **kw):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), from the ids and what they decode to."""
+    table = pieces(path)
+    for rows, ids in encoded(batches, field="text", part_field="part", **kw):
+        yield pa.RecordBatch.from_arrays([_column(rows, "doc_id"), *_digests(ids, table)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    A word that comes k times holds k characters at least, so the table has at most 1 / common words.
-    """
-    spark = docs.sparkSession
-    text = docs[text_col].cast("string")
-    least = common * (docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0)
-    words = docs.select(F.explode(F.split(text, "[ \\n\\t\\r]")).alias("word")).groupBy("word").count().where(F.col("count") >= max(least, 2)).select("word")
-    got = words.mapInArrow(shipped(encode_words, path=path), "word string, ids binary").toArrow()
-    return spark.sparkContext.broadcast(dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)))
 
+def read_back(batches, table: list[str], ids_field: str, out_field: str):
+    """The rows, with what their ids decode to."""
+    table = pa.array(table, pa.string())
+    for batch in batches:
+        ids = _column(batch, ids_field).cast(pa.list_(pa.int32()))
+        for lo in range(0, batch.num_rows, 256):
+            own = batch.slice(lo, 256)
+            some = ids.slice(lo, 256)
+            some = pa.array(some.to_pylist(), some.type) if some.offset else some
+            yield pa.RecordBatch.from_arrays([*own.columns, decoded(some, table)], [*own.schema.names, out_field])
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All rows of docs; the text gives way to n_tokens, ids_sha256, decoded_sha256 and token_ids.
 
-    Columns of docs that already have one of those names are left out.
-    """
-    rows = docs.drop(*(c for c in NEW if c in docs.columns)).withColumn(text_col, docs[text_col].cast("string"))
-    kinds = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c != text_col), *(f"{c} {t}" for c, t in NEW.items())])
-    return rows.mapInArrow(shipped(encode_texts, path=path, common=common_words(docs, path, text_col), field=text_col), kinds)
+# ---- Spark -----------------------------------------------------------------------------------
 
 
-def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """All rows and columns of tokens, and out_col: the pieces of the ids, parted by blanks.
+def dictionaries(rows: DataFrame, path: str, local: int) -> dict:
+    """Encodes the distinct words of rows (part, text) and writes each block's; what ``encoded`` needs to read them."""
+    vouch(path)
+    width, n, folder = (2 if len(pieces(path)) <= 1 << 16 else 4), partitions_of(rows), shared_dir(rows.sparkSession)
+    asked = rows.select("part", "text").mapInArrow(shipped(requests, local=local), "word string, block long, at long")
+    got = asked.repartition(n, "word", F.when(F.col("word").isNull(), F.col("block"))).sortWithinPartitions(F.asc_nulls_first("word")).mapInArrow(shipped(encode_words, path=path, width=width), "block long, at long, ids binary")
+    slot = F.pmod(F.shiftright("block", SUB) + 7919 * F.col("block").bitwiseAND((1 << SUB) - 1), F.lit(n)).cast("int")
+    got = got.withColumn("slot", slot).repartition(n, "slot").sortWithinPartitions("slot", "block", "at")
+    got.mapInArrow(shipped(write_dictionaries, folder=folder), "files long").groupBy().sum("files").first()
+    return {"folder": folder, "local": local, "slots": n, "width": width}
 
-    The vocabulary (a fixed number of ids) is the table that the ids join with by position.
-    """
-    table = F.broadcast(_piece_row(tokens, path))
-    return tokens.crossJoin(table).withColumn(out_col, F.array_join(F.transform(ids_col, lambda i: F.element_at("__pieces", i + 1)), " ")).drop("__pieces")
+
+NEW = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<int>"}
 
 
-def _piece_row(df: DataFrame, path: str) -> DataFrame:
-    """One row: the vocabulary's pieces by id."""
-    return df.sparkSession.createDataFrame([(pieces(path),)], "__pieces array<string>")
+def encode(docs: DataFrame, path: str, text_col: str = "text", local: int = LOCAL) -> DataFrame:
+    """All rows and columns of docs, a table that reads the same twice; the text gives way to n_tokens, ids_sha256, decoded_sha256 and token_ids."""
+    (part,), names = unused(docs, "part"), unused(docs, *NEW)
+    rows = docs.withColumn(text_col, docs[text_col].cast("string")).withColumn(part, F.spark_partition_id())
+    book = dictionaries(rows.select(F.col(part).alias("part"), F.col(text_col).alias("text")), path, local)
+    kinds = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != text_col), *(f"{c} {t}" for c, t in zip(names, NEW.values(), strict=True))])
+    return rows.mapInArrow(shipped(encode_texts, path=path, field=text_col, part_field=part, names=names, **book), kinds)
 
 
-def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(shipped(digest, path=path, common=common_words(rows, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """All rows and columns of tokens, and out_col: their ids joined with the vocabulary's pieces, which blanks part; null for null."""
+    vouch(path)
+    kinds = ", ".join([*(f"`{c}` {t}" for c, t in tokens.dtypes), f"{out_col} string"])
+    out = tokens.mapInArrow(shipped(read_back, table=pieces(path).to_pylist(), ids_field=ids_col, out_field=out_col), kinds)
+    return out.withColumn(out_col, F.when(F.col(ids_col).isNotNull(), F.col(out_col)))
+
+
+def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs, a table that reads the same twice."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    book = dictionaries(rows, path, local)
+    return rows.mapInArrow(shipped(digest, path=path, **book), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
