@@ -10,12 +10,13 @@ the next level; a key's slot is the number of bits set before its own.  A lookup
 a level, one slot and one record, whatever the shard's size; the fingerprint turns away keys that
 are not there.  A key that comes several times has one slot, which names its first record and their number.
 
-Documents are dealt to shards by ranges of (key, hash of text), so a key with very many rows spreads over
-shards.  Where a shard starts in the whole sequence is the sum of those before it.
+Documents are dealt to shards by ranges of (key, hash of text, row), so a key with very many rows spreads over
+shards.  Where a shard starts in the whole sequence is the sum of those before it.  ``lookup`` sends keys to the
+shards whose range of keys has them, and finds them there through the hash.
 
 Nulls, ties and odd rows: a null text counts as empty, with the end id alone; null keys come first and are not
-in the index; rows of one key are ordered by their text.  Repeated rows are stored as often as they come.  An
-empty table gives no shards and an empty result.
+in the index (``without_key`` reads them); rows of one key are ordered by their text.  Repeated rows are stored as often
+as they come.  An empty table gives no shards and an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 
 from spreadlab.llm import _text as T
 from spreadlab.llm._session import partitions_of, shared_dir, shipped
-from spreadlab.llm.bpe import _slices, tokenizer
+from spreadlab.llm.bpe import PROBES, tokenizer
 
 # Fixed values of the file format.
 MAGIC = b"TOKSHRD1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # ids, bytes of an id, records, slots, levels, first byte of the records, magic
 RECORD = np.dtype([("key", "<i8"), ("null", "<u8"), ("start", "<u8"), ("count", "<u8")])
 SLOT = np.dtype([("fingerprint", "<u4"), ("record", "<u4"), ("repeats", "<u8")])
-#: Bits of a level for each key on it; words of a task that are held at most.
-GAMMA, LOCAL = 2, 300_000
+#: Bits of a level for each key on it; parts of texts of which ids are held before older ones may go; bytes of ids in a batch that is read.
+GAMMA, LOCAL, BATCH = 2, 400_000, 4 << 20
 
 
 # ---- minimal perfect hash -------------------------------------------------------------------
@@ -100,26 +100,30 @@ def filesystem(uri: str):
 
 
 class ShardWriter:
-    """Ids are written as they come; 32 bytes for each record stay in memory."""
+    """Ids are written as they come; 25 bytes for each record stay in memory."""
 
     def __init__(self, out, width: int):
-        self.out, self.kind, self.records, self.ids = out, np.dtype(f"<u{width}"), [], 0
+        self.out, self.kind, self.ids = out, np.dtype(f"<u{width}"), 0
+        self.key, self.null, self.start, self.count = array("q"), array("B"), array("Q"), array("Q")
         out.write(MAGIC)
 
     def add(self, key: int | None, ids: bytes) -> None:
         n = len(ids) // self.kind.itemsize
-        self.records.append((key or 0, key is None, self.ids, n))
+        for column, x in ((self.key, key or 0), (self.null, key is None), (self.start, self.ids), (self.count, n)):
+            column.append(x)
         self.ids += n
         self.out.write(ids)
 
     def close(self) -> None:
-        records = np.array(self.records, RECORD) if self.records else np.zeros(0, RECORD)
+        records = np.zeros(len(self.key), RECORD)
+        for name in RECORD.names:
+            records[name] = np.frombuffer(getattr(self, name), getattr(self, name).typecode) if len(records) else 0
         keyed = np.flatnonzero(records["null"] == 0)
-        keys, first, repeats = np.unique(records["key"][keyed], return_index=True, return_counts=True)
-        levels = build_index(keys)
-        slots = np.zeros(len(keys), SLOT)
-        at = slot_of(keys, levels)
-        slots["fingerprint"][at], slots["record"][at], slots["repeats"][at] = fingerprint(keys), keyed[first], repeats
+        self.keys, first, repeats = np.unique(records["key"][keyed], return_index=True, return_counts=True)
+        levels = build_index(self.keys)
+        slots = np.zeros(len(self.keys), SLOT)
+        at = slot_of(self.keys, levels)
+        slots["fingerprint"][at], slots["record"][at], slots["repeats"][at] = fingerprint(self.keys), keyed[first], repeats
         self.out.write(records.tobytes())
         for bits, before in levels:
             self.out.write(struct.pack("<Q", len(bits)) + bits.tobytes() + before.astype("<u8").tobytes())
@@ -148,15 +152,15 @@ class Shard:
             at += 8 + 16 * words
         self.slots = np.frombuffer(rest, SLOT, slots, at)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The first record of each key, -1 where the shard does not have it."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first record of each key, and how many there are; -1 and 0 where the shard does not have it."""
         at = slot_of(keys, self.levels)
         if not len(self.slots):
-            return at
+            return at, np.zeros(len(keys), np.int64)
         slot = self.slots[np.maximum(at, 0)]
-        ok = (at >= 0) & (slot["fingerprint"] == fingerprint(keys))
-        found = np.where(ok, slot["record"].astype(np.int64), -1)
-        return np.where((found >= 0) & (self.records["key"][found] == keys), found, -1)
+        found = slot["record"].astype(np.int64)
+        ok = (at >= 0) & (slot["fingerprint"] == fingerprint(keys)) & (self.records["key"][found] == keys) & (self.records["null"][found] == 0)
+        return np.where(ok, found, -1), np.where(ok, slot["repeats"].astype(np.int64), 0)
 
     def payload(self, record: int) -> np.ndarray:
         r = self.records[record]
@@ -165,76 +169,45 @@ class Shard:
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each document under a key."""
-        first = int(self.find(np.array([key], np.int64))[0])
-        if first < 0:
-            return []
-        repeats = int(self.slots[slot_of(np.array([key], np.int64), self.levels)[0]]["repeats"])
-        return [self.payload(i) for i in range(first, first + repeats)]
+        first, n = (int(x[0]) for x in self.find(np.array([key], np.int64)))
+        return [self.payload(i) for i in range(first, first + n)]
 
 
 # ---- encoding -------------------------------------------------------------------------------
 
 #: A blank between two characters that are no white space: a token always starts there.
-# Fixed value: the pattern of byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: What makes a text go the careful way: white space other than single blanks and line ends, found by plain search.
 _ODD = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
-#: Parts that every version of the Unicode tables classes alike, and that hold no special token.
-_LATIN = re.compile("[\n -;=-~\u00a1-\u024f]*")
-_RANKED: dict[str, object] = {}
-
-
-def ranked(path: str):
-    """The vocabulary as ranks for tiktoken, which merges by rank; ids of a byte-level vocabulary are in the order of its merges."""
-    if path not in _RANKED:
-        import tiktoken
-
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {t.content for t in tokenizer(path).get_added_tokens_decoder().values()}
-        ranks = {bytes(byte[c] for c in piece): i for piece, i in tokenizer(path).get_vocab().items() if piece not in special}
-        _RANKED[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _RANKED[path]
-
-
 class ByteCoder:
-    """Ids by word for a byte-level BPE, in which a token takes at most the one blank before it.
+    """Ids by part for a byte-level BPE, in which a token takes at most the one blank before it.
 
-    Texts are cut only where the vocabulary's pattern cannot join both sides; each part is encoded once
-    and held, up to LOCAL parts.  Parts of plain Latin text are merged by rank, which gives what the tokenizers library
-    does in a tenth of the time; all others, and special tokens, go through that library.
+    Texts are cut only where the vocabulary's pattern cannot join both sides; each part is encoded by the tokenizers
+    library, and its ids are held until LOCAL newer parts have come and it was not met among them.
     """
 
     def __init__(self, path: str, width: int):
-        self.path, self.kind, self.table = path, f"<u{width}", {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.table]
-        if len(self.table) + len(new) > LOCAL:
-            self.table = {}
-            new = list(words)
-        quick, kind = ranked(self.path), "H" if self.kind == "<u2" else "I"
-        slow = []
-        for w in new:
-            if _LATIN.fullmatch(w):
-                self.table[w] = array(kind, quick.encode_ordinary(w)).tobytes()
-            else:
-                slow.append(w)
-        got = tokenizer(self.path).encode_batch_fast(slow, add_special_tokens=False)
-        self.table.update(zip(slow, (np.array(e.ids, self.kind).tobytes() for e in got), strict=True))
+        self.path, self.kind, self.table, self.older = path, "H" if width == 2 else "I", {}, {}
+
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.table) > LOCAL:
+            self.table, self.older = {}, self.table
+        table, older = self.table, self.older
+        new = parts.difference(table)
+        table.update([(w, older[w]) for w in new if w in older])
+        new = [w for w in new if w not in table]
+        whole = [w if w[0] == "\n" else w[1:] if w[0] == " " else " " + w for w in new]
+        got = tokenizer(self.path).encode_batch_fast(whole, add_special_tokens=False)
+        table.update(zip(new, [array(self.kind, e.ids).tobytes() for e in got], strict=True))
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Parts that make up the text, each with the blank or line end before it."""
+        """Names of the parts that make up the text: the first one after a blank, those after a line end with it, all others without the blank before them."""
         if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _ODD):
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return [first, *(w if w[0] == "\n" else " " + w for w in rest)]
-        first, *rest = _CUT.split(text)
-        return [first, *(" " + w for w in rest)]
+            return _named(text.replace("\n", " \n").split(" "))
+        return _named(_CUT.split(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.cut(t) for t in texts]
@@ -243,37 +216,58 @@ class ByteCoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
+def _named(parts: list[str]) -> list[str]:
+    parts[0] = " " + parts[0]
+    return parts
+
+
+def vouch(path: str, width: int, end_id: int) -> None:
+    """Raises where a vocabulary's texts are not their parts' ids, or ids do not fit."""
+    t, texts = tokenizer(path), [*PROBES, *(x.replace(" ", "  ") for x in PROBES), " a\n\n b \n", "x\ny z"]
+    if max(end_id, *t.get_vocab(with_added_tokens=True).values()) >= 1 << 8 * width:
+        raise ValueError(f"ids of {path} do not fit {width} bytes")
+    if [np.frombuffer(x, f"<u{width}").tolist() for x in ByteCoder(path, width).encode(texts)] != [t.encode(x, add_special_tokens=False).ids for x in texts]:
+        raise ValueError(f"{path}: its tokens cross the blanks between words, so texts cannot be encoded by part")
+
+
 _CODERS: dict[tuple[str, int], ByteCoder] = {}
 
 
+def _slices(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
+    """(keys, texts) in runs of about so many characters."""
+    keys, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
+    lo, some, held = 0, [], 0
+    for x in texts:
+        some.append(x.as_py() or "")
+        held += len(some[-1])
+        if held >= size:
+            yield keys.slice(lo, len(some)).to_pylist(), some
+            lo, some, held = lo + len(some), [], 0
+    if some:
+        yield keys.slice(lo, len(some)).to_pylist(), some
+
+
 def write_shards(batches, path: str, folder: str, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    """One row for this partition: (name, ids, documents); the file appears under its name when it is whole."""
+    """One row for this partition: (part, name, ids, documents, first, last); the file appears under its name when it is whole."""
     files, root = filesystem(folder)
     writer, coder = None, _CODERS.setdefault((path, width), ByteCoder(path, width))  # kept by the worker process
     end = np.array([end_id], f"<u{width}").tobytes()
     for batch in batches:
-        keys = iter(batch.column(batch.schema.get_field_index("doc_id")).to_pylist())
-        for some in _slices(batch.column(batch.schema.get_field_index("text"))):
+        for keys, texts in _slices(batch):
             if writer is None:
                 part = _partition_id()
-                name = f"shard-{part:06d}.tok"
+                name = f"shard-{part:06d}-{uuid.uuid4().hex[:12]}.tok"  # another attempt writes another file, which nobody names
                 files.create_dir(root, recursive=True)
-                draft = f"{root}/.{name}.{uuid.uuid4().hex}"
-                stream = files.open_output_stream(draft)
+                stream = files.open_output_stream(f"{root}/.{name}")
                 writer = ShardWriter(stream, width)
-            for key, ids in _pairs(keys, coder.encode(some)):
+            for key, ids in zip(keys, coder.encode(texts), strict=True):
                 writer.add(key, ids + end)
     if writer is not None:
         writer.close()
         stream.close()
-        files.move(draft, f"{root}/{name}")
-        yield pa.record_batch({"part": pa.array([part], pa.int32()), "name": pa.array([name]), "ids": pa.array([writer.ids], pa.int64()), "documents": pa.array([len(writer.records)], pa.int64())})
-
-
-def _pairs(keys, ids):
-    """Each id list with its key; takes from keys only what belongs to ids."""
-    for x in ids:
-        yield next(keys), x
+        files.move(f"{root}/.{name}", f"{root}/{name}")
+        own = writer.keys
+        yield pa.record_batch({"part": pa.array([part], pa.int32()), "name": pa.array([name]), "ids": pa.array([writer.ids], pa.int64()), "documents": pa.array([len(writer.key)], pa.int64()), "first": pa.array([int(own[0]) if len(own) else None], pa.int64()), "last": pa.array([int(own[-1]) if len(own) else None], pa.int64())})
 
 
 def _partition_id() -> int:
@@ -283,45 +277,112 @@ def _partition_id() -> int:
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, width: int = 2) -> DataFrame:
-    """Writes docs as shards in ``folder`` and returns (name, start, ids, documents) for each.
+    """Writes docs as shards in ``folder`` and returns (name, start, ids, documents, first, last) for each, the last two its least and largest key.
 
     Ids must fit ``width`` bytes.  Range partitions follow the input's own splits.
     """
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.repartitionByRange(partitions_of(docs), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    found = rows.mapInArrow(shipped(write_shards, path=path, folder=folder, width=width, end_id=end_id), "part int, name string, ids long, documents long").toPandas().sort_values("part")
-    found["start"] = found["ids"].cumsum() - found["ids"]
-    return spark.createDataFrame([(n, int(s), int(i), int(d)) for n, s, i, d in zip(found["name"], found["start"], found["ids"], found["documents"], strict=True)], "name string, start long, ids long, documents long")
+    vouch(path, width, end_id)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    rows = rows.repartitionByRange(partitions_of(docs), *order, "row").sortWithinPartitions(*order, "text", "row").select("doc_id", "text")
+    found = rows.mapInArrow(shipped(write_shards, path=path, folder=folder, width=width, end_id=end_id), "part int, name string, ids long, documents long, first long, last long").collect()  # a row for each shard
+    start, out = 0, []
+    for r in sorted(found, key=lambda r: r.part):
+        out.append((r.name, start, r.ids, r.documents, r.first, r.last))
+        start += r.ids
+    return docs.sparkSession.createDataFrame(out, "name string, start long, ids long, documents long, first long, last long")
+
+
+def route(batches, firsts: list[int], lasts: list[int], shards: list[int]):
+    """(shard, key) for each shard that may have a key: ranges ascend, and neighbours may share a key."""
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        lo, hi = np.searchsorted(lasts, keys, side="left"), np.searchsorted(firsts, keys, side="right")
+        n = np.maximum(hi - lo, 0)
+        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.record_batch({"shard": pa.array(np.asarray(shards, np.int32)[at]), "key": pa.array(np.repeat(keys, n))})
+
+
+def _documents(shard: Shard, base: int, records: np.ndarray):
+    """Batches (doc_id, start, n_tokens, ids) of a shard's records, of bounded size."""
+    held, size = [], 0
+    for k, i in enumerate(records.tolist()):
+        held.append(shard.payload(i).astype("<u4").tobytes())
+        size += len(held[-1])
+        if size >= BATCH or k + 1 == len(records):
+            own = shard.records[records[k + 1 - len(held) : k + 1]]
+            yield pa.record_batch({"doc_id": pa.array(own["key"].astype(np.int64), mask=own["null"] == 1), "start": pa.array(base + own["start"].astype(np.int64)), "n_tokens": pa.array(own["count"].astype(np.int64)), "ids": pa.array(held, pa.binary())})
+            held, size = [], 0
+
+
+def find_keys(batches, folder: str, shards: list[tuple[str, int]]):
+    """The documents under keys that come sorted by shard, each found through its shard's hash."""
+    files, root = filesystem(folder)
+
+    def of(number: int, keys: np.ndarray):
+        name, base = shards[number]
+        with files.open_input_file(f"{root}/{name}") as file:
+            shard = Shard(file)
+            first, n = shard.find(np.unique(keys))
+            yield from _documents(shard, base, np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+
+    current, held = None, []
+    for batch in batches:
+        number, keys = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("shard", "key"))
+        for a, b in zip(*_runs(number), strict=True):
+            if number[a] != current and held:
+                yield from of(current, np.concatenate(held))
+                held = []
+            current = int(number[a])
+            held.append(keys[a:b])
+    if held:
+        yield from of(current, np.concatenate(held))
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return first.tolist(), [*first[1:].tolist(), len(x)][: len(first)]
 
 
-def read_shards(batches, folder: str):
-    """(doc_id, start, n_tokens, ids_crc32) of each document, each found by its key."""
+def read_nulls(batches, folder: str):
+    """The documents without a key, which come first in their shards."""
     files, root = filesystem(folder)
     for batch in batches:
         for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             with files.open_input_file(f"{root}/{name}") as file:
                 shard = Shard(file)
-                r = shard.records
-                keyed = r["null"] == 0
-                first = np.flatnonzero(np.concatenate([[True], (r["key"][1:] != r["key"][:-1]) | ~keyed[1:] | ~keyed[:-1]])) if len(r) else np.zeros(0, np.int64)
-                group = np.repeat(first, np.diff(np.append(first, len(r))))
-                if (shard.find(r["key"][keyed].astype(np.int64)) != group[keyed]).any():
-                    raise ValueError(f"{name}: a key leads to another record")
-                for lo in range(0, len(r), 1024):
-                    own = range(lo, min(lo + 1024, len(r)))
-                    crc = [zlib.crc32(shard.payload(i).astype("<u4").tobytes()) for i in own]
-                    some = r[lo : lo + 1024]
-                    yield pa.record_batch({"doc_id": pa.array(some["key"].astype(np.int64), mask=some["null"] == 1), "start": pa.array(base + some["start"].astype(np.int64)), "n_tokens": pa.array(some["count"].astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
+                yield from _documents(shard, base, np.flatnonzero(shard.records["null"] == 1))
+
+
+DOCUMENT = "doc_id long, start long, n_tokens long, ids binary"
+
+
+def lookup(keys: DataFrame, shards: DataFrame, folder: str, key_col: str = "doc_id") -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of all documents under the distinct ``keys``; ids as little-endian 32-bit integers.
+
+    Keys that no shard has, and null, have no row.
+    """
+    known = shards.orderBy("start", "name").collect()  # a row for each shard
+    keyed = [i for i, r in enumerate(known) if r["first"] is not None]
+    wanted = keys.select(keys[key_col].cast("long").alias("key")).where("key is not null").distinct()
+    if not keyed:
+        return keys.sparkSession.createDataFrame([], DOCUMENT)
+    sent = wanted.mapInArrow(shipped(route, firsts=[known[i]["first"] for i in keyed], lasts=[known[i]["last"] for i in keyed], shards=keyed), "shard int, key long")
+    sent = sent.repartition(min(len(keyed), partitions_of(wanted)), "shard").sortWithinPartitions("shard")
+    return sent.mapInArrow(shipped(find_keys, folder=folder, shards=[(r["name"], r["start"]) for r in known]), DOCUMENT)
 
 
-def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32), read from the files that ``shards`` names."""
-    tasks = max(1, min(shards.count(), partitions_of(shards)))
-    return shards.select("name", "start").repartition(tasks).mapInArrow(shipped(read_shards, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+def without_key(shards: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the documents whose key is null."""
+    some = shards.where(F.col("documents") > 0).select("name", "start")
+    return some.repartition(max(1, min(some.count(), partitions_of(some)))).mapInArrow(shipped(read_nulls, folder=folder), DOCUMENT)
 
 
 def stored_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs to shards in the shared folder, and reads them back."""
+    """Writes docs to shards in the shared folder, and reads back each document by its key."""
     folder = shared_dir(docs.sparkSession)
-    return read_tokens(write_tokens(docs, path, folder, id_col, text_col), folder)
+    shards = write_tokens(docs, path, folder, id_col, text_col)
+    found = lookup(docs, shards, folder, id_col)
+    if docs.where(docs[id_col].isNull()).limit(1).count():
+        found = found.unionByName(without_key(shards, folder))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
