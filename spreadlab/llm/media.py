@@ -2,8 +2,9 @@
 
 ``write_media`` stores each payload, filled up with blanks to whole rows of ROW bytes, as an 8-bit grey PNG
 (lossless) that is a member of a ZIP archive in a folder that driver and executors share.
-``archive_members`` is a data source over such a folder: it plans byte ranges of the archives from their
-sizes alone, and each task takes from its archive's directory the members that start in its range.  Members are
+A manifest, written when all tasks are done, names the archives that count: what a lost attempt has left behind is never read.
+``archive_members`` is a data source over such a folder: it plans byte ranges of the archives from the manifest's
+sizes, and each task takes from its archive's directory the members that start in its range.  Members are
 read one by one at their offsets and checked against the directory's CRC-32; one that fails is tried again on a newly
 opened file, without the others, and the rest stream on in Arrow batches of bounded size.
 
@@ -24,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spreadlab.llm._session import ROOT, shared_dir, shipped
@@ -31,6 +33,8 @@ from spreadlab.llm.token_store import _partition_id, filesystem
 
 ROW = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: The table of a folder's archives.
+MANIFEST = "manifest"
 #: Bytes after which a new archive is begun, and of one range.
 ARCHIVE, RANGE = 64 << 20, 16 << 20
 #: Bytes of payload in one Arrow batch.
@@ -79,23 +83,23 @@ def from_png(image: bytes) -> tuple[bytes, int]:
 
 
 def write_archives(batches, folder: str):
-    """One row for each archive of this partition; an archive appears under its name when it is whole."""
+    """One row for each archive of this partition; an archive appears under its name, which no other attempt uses, when it is whole."""
     files, root = filesystem(folder)
-    part, number, at, archive = _partition_id(), 0, 0, None
+    part, number, at, archive, own = _partition_id(), 0, 0, None, uuid.uuid4().hex[:12]
 
     def finish():
         archive.close()
         stream.close()
         files.move(draft, f"{root}/{name}")
-        return pa.record_batch({"name": pa.array([name]), "members": pa.array([at], pa.int64())})
+        return pa.record_batch({"name": pa.array([name]), "members": pa.array([at], pa.int64()), "size": pa.array([files.get_file_info(f"{root}/{name}").size], pa.int64())})
 
     for batch in batches:
         ids, text = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
         for key, x in zip(ids.to_pylist(), text, strict=True):
             if archive is None:
                 files.create_dir(root, recursive=True)
-                name, at = f"media-{part:06d}-{number:04d}.zip", 0
-                draft = f"{root}/.{name}.{uuid.uuid4().hex}"
+                name, at = f"media-{part:06d}-{number:04d}-{own}.zip", 0
+                draft = f"{root}/.{name}"
                 stream = files.open_output_stream(draft)
                 archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
             member = zipfile.ZipInfo(f"{at:09d}_{'null' if key is None else key}.png")  # a fixed date: equal rows, equal bytes
@@ -111,21 +115,26 @@ def write_archives(batches, folder: str):
 def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Stores the texts of docs as archives in ``folder``; returns how many members there are."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(shipped(write_archives, folder=folder), "name string, members long").groupBy().sum("members").first()[0] or 0
+    rows.mapInArrow(shipped(write_archives, folder=folder), "name string, members long, size long").write.parquet(f"{folder}/{MANIFEST}")
+    return docs.sparkSession.read.parquet(f"{folder}/{MANIFEST}").agg(F.sum("members")).first()[0] or 0
 
 
 # ---- reading --------------------------------------------------------------------------------
 
 
 def plan(options: dict) -> list[tuple[str, int, int]]:
-    """(archive, first byte, byte after the last): ranges of each archive by its size; no directory is read on the driver."""
-    from pyarrow import fs
+    """(archive, first byte, byte after the last): ranges of each archive by its size; no archive is opened on the driver."""
+    from pyarrow import fs, parquet
 
     size = int(options.get("rangebytes", RANGE))
     files, root = filesystem(options["path"])
-    found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    archives = [f for f in sorted(found, key=lambda f: f.base_name) if f.base_name.endswith(".zip") and not f.base_name.startswith(".")]
-    return [(f.base_name, at, min(at + size, f.size)) for f in archives for at in range(0, f.size, size)] or [("", 0, 0)]
+    if files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.Directory:
+        table = parquet.read_table(f"{root}/{MANIFEST}", columns=["name", "size"], filesystem=files)
+        archives = sorted(zip(table["name"].to_pylist(), table["size"].to_pylist(), strict=True))
+    else:  # archives of another origin
+        found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        archives = sorted((f.base_name, f.size) for f in found if f.base_name.endswith(".zip") and not f.base_name.startswith("."))
+    return [(name, at, min(at + size, whole)) for name, whole in archives for at in range(0, whole, size)] or [("", 0, 0)]
 
 
 def read_range(options: dict, name: str, start: int, end: int):
