@@ -5,8 +5,8 @@ scores by its log frequency in each language.  An unknown one scores at each of
 the longest known n-gram that starts there, of five characters down to one, its ends marked.
 The language with the largest sum wins; the score is its share of the likelihood.
 
-Learning uses at most ``max_rows`` documents with a language, those first by a hash of their id; the
-model keeps the ``max_words`` most frequent words and the n-grams of the ``gram_words`` most frequent.
+Learning uses at most ``max_rows`` documents with a language, those first by a hash of their id, which bounds the model.
+All their words and n-grams are learned, unless ``max_words`` or ``max_grams`` (of each length) ask for the most frequent alone.
 
 Nulls, ties and odd rows: a null text, or one without any letter, gives ``und`` and score 0; so does every
 text if nothing could be learned.  Equal sums give the language first by name.  Rows with null lang
@@ -25,7 +25,8 @@ from spreadlab.llm import _text as T
 from spreadlab.llm._session import shipped
 from spreadlab.llm.toxicity import remainder
 
-MAX_ROWS, MAX_WORDS, GRAM_WORDS, LONGEST = 10_000, 100_000, 60_000, 5
+#: Bound of the learned sample, and characters of the longest n-grams.
+MAX_ROWS, LONGEST = 4_000, 5
 
 
 def _words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
@@ -40,18 +41,20 @@ def _words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
 
 
 def _grams(marked: str):
-    """For n = LONGEST .. 1: (n, hash of the n-gram at each character, whether it stays in its word), and the word of each character."""
+    """For n = LONGEST .. 1, in turn: (hash of the n-gram at each character, whether it stays in its word); and the word of each character."""
     c = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
     word = np.cumsum(c == 2) - 1
-    out = []
-    for n in range(LONGEST, 0, -1):
-        h = np.full(len(c), n, np.uint64)
-        for k in range(n):
-            h[: len(c) - k] = T.mix(h[: len(c) - k] * T.M3 + c[k:])
-        ok = np.zeros(len(c), bool)
-        ok[: len(c) - n + 1] = word[: len(c) - n + 1] == word[n - 1 :]
-        out.append((n, h, ok))
-    return out, word
+
+    def each():
+        for n in range(LONGEST, 0, -1):
+            h = np.full(len(c), n, np.uint64)
+            for k in range(n):
+                h[: len(c) - k] = T.mix(h[: len(c) - k] * T.M3 + c[k:])
+            ok = np.zeros(len(c), bool)
+            ok[: len(c) - n + 1] = word[: len(c) - n + 1] == word[n - 1 :]
+            yield h, ok
+
+    return each(), word
 
 
 def count_words(batches):
@@ -68,20 +71,19 @@ def count_words(batches):
                 yield pa.record_batch({"lang": own.dictionary.take(pa.array(own.indices.to_numpy()[w.row[first]])).cast(pa.string()), "word": pa.array(spelt, pa.string()), "n": pa.array(n.astype(np.int64))})
 
 
-def _logs(key: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int, most: int):
-    """Sorted keys and their smoothed log frequencies in each language, of the most frequent keys."""
+def _logs(key: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int, most: int | None):
+    """Sorted keys and their smoothed log frequencies in each language; of the ``most`` frequent keys, or of all."""
     keys, inverse = np.unique(key, return_inverse=True)
-    table = np.zeros((len(keys), langs))
-    np.add.at(table, (inverse, lang), n)
-    logs = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * max(len(keys), 1)))
-    total = table.sum(axis=1)
-    keep = np.sort(np.lexsort((keys, -total))[:most]) if len(keys) > most else np.arange(len(keys))
-    keep = keep[total[keep] > 1] if (total > 1).any() else keep
-    return keys[keep], logs[keep].astype(np.float32)
+    table = np.bincount(inverse * langs + lang, weights=n, minlength=len(keys) * langs).reshape(len(keys), langs)
+    logs = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * max(len(keys), 1))).astype(np.float32)
+    if most is None or len(keys) <= most:
+        return keys, logs
+    keep = np.sort(np.lexsort((keys, -table.sum(axis=1)))[:most])
+    return keys[keep], logs[keep]
 
 
-def build(lang: list[str], word: list[str], n: np.ndarray):
-    """The model of word counts: (languages, word table, n-gram tables)."""
+def build(lang: list[str], word: list[str], n: np.ndarray, max_words: int | None = None, max_grams: int | None = None):
+    """The model of word counts: (languages, word table, n-gram tables).  A word's n-grams count 1 + log(how often it comes)."""
     langs = sorted(set(lang))
     code = {x: i for i, x in enumerate(langs)}
     of = np.array([code[x] for x in lang], np.int64)
@@ -89,14 +91,10 @@ def build(lang: list[str], word: list[str], n: np.ndarray):
     size = np.array([len(x.encode()) for x in word], np.int64)
     end = np.cumsum(size)
     buf = np.frombuffer(data, np.uint8)
-    h = T.spans_hash(buf, end - size, end)
-    words = _logs(h, of, n, len(langs), MAX_WORDS)
-    top = np.argsort(-n, kind="stable")[:GRAM_WORDS]
-    marked = _words(buf, (end - size)[top], end[top])
-    grams, word_of = _grams(marked)
-    weight = 1 + np.log(n[top])
-    tables = [(size_, *_logs(g[ok], of[top][word_of[ok]], weight[word_of[ok]], len(langs), 4 * GRAM_WORDS)) for size_, g, ok in grams]
-    return langs, words, tables
+    words = _logs(T.spans_hash(buf, end - size, end), of, n, len(langs), max_words)
+    grams, word_of = _grams(_words(buf, end - size, end))
+    weight = 1 + np.log(n)
+    return langs, words, [_logs(g[ok], of[word_of[ok]], weight[word_of[ok]], len(langs), max_grams) for g, ok in grams]
 
 
 def _lookup(keys: np.ndarray, of: np.ndarray):
@@ -121,7 +119,7 @@ def apply(batches, model):
             if len(rest):
                 grams, word_of = _grams(_words(buf, w.start[first[rest]], w.end[first[rest]]))
                 value, open_ = np.zeros((len(word_of), len(langs)), np.float32), np.ones(len(word_of), bool)
-                for (_, g, ok), (_, keys, lg) in zip(grams, tables, strict=True):
+                for (g, ok), (keys, lg) in zip(grams, tables, strict=True):
                     todo = np.flatnonzero(open_ & ok)
                     p, hit = _lookup(keys, g[todo])
                     value[todo[hit]] = lg[p[hit]]
@@ -139,13 +137,13 @@ def apply(batches, model):
             yield pa.record_batch({"doc_id": ids.slice(lo, hi - lo), "lang_pred": pa.array([langs[b] if x else "und" for b, x in zip(best.tolist(), letters.tolist(), strict=True)], pa.string()), "score": pa.array(np.where(letters, share, 0.0))})
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS):
-    """Model from rows of docs for which ``usable`` holds, or None if there is nothing to learn from."""
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, **limits):
+    """Model from rows of docs for which ``usable`` holds, or None if there is nothing to learn from; limits: max_words, max_grams."""
     named = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), usable.alias("usable")).where("usable and lang is not null and doc_id is not null")
     turn = named.select("doc_id").distinct().select("doc_id", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").limit(max_rows).select("doc_id")
     counts = named.join(F.broadcast(turn), "doc_id", "left_semi").select("lang", "text").mapInArrow(shipped(count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     got = counts.orderBy("lang", "word").toArrow()
-    return build(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_numpy()) if len(got) else None
+    return build(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_numpy(), **limits) if len(got) else None
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
