@@ -54,17 +54,33 @@ def test_bpe_is_the_tokenizer(docs, texts):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_a_full_table_starts_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "LOCAL", 5)
-    t, coder = Tokenizer.from_file(WORD), bpe.Coder(WORD, {})
-    for text in ("a b c d", "a b c d e f", "c d g, H. i", "a b"):
-        assert coder.encode([text]) == [np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+def test_blocks_of_any_size(docs, texts):
+    t = Tokenizer.from_file(WORD)
+    for local in (1, 7, 500):
+        rows = bpe.bpe_digest(docs.where("doc_id < 40"), WORD, local=local).collect()
+        assert {r.doc_id: r.ids_sha256 for r in rows} == {i: hashlib.sha256(np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for i, x in texts.items() if i < 40}
+
+
+def test_very_many_distinct_words(spark):
+    t, rows = Tokenizer.from_file(WORD), [(i, " ".join(f"w{i * 5000 + k:x}q" for k in range(5000))) for i in range(40)]
+    got = bpe.bpe_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3).persist(), WORD, local=30_000).collect()
+    assert {r.doc_id: r.ids_sha256 for r in got} == {i: hashlib.sha256(np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for i, x in rows}
+
+
+def test_vocabularies_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError, match="cross blanks"):
+        bpe.vouch(BYTE)
+    with pytest.raises(ValueError, match="do not fit"):
+        token_store.vouch(BYTE, 1, 2)
+    bpe.vouch(WORD)
+    token_store.vouch(BYTE, 2, 2)
 
 
 def test_bpe_columns_and_decoding_by_join(spark, docs, texts):
     t = Tokenizer.from_file(WORD)
-    out = bpe.encode(docs.where("doc_id < 20"), WORD)
-    assert out.columns == ["doc_id", "ids", *bpe.NEW]
+    out = bpe.encode(docs.where("doc_id < 20").withColumn("n_tokens", F.lit("kept")), WORD)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "_n_tokens", *list(bpe.NEW)[1:]]
+    assert {r.n_tokens for r in out.collect()} == {"kept"}
     for r in bpe.decode(out, WORD).collect():
         assert r.token_ids == t.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.decoded == t.decode(r.token_ids, skip_special_tokens=False)
@@ -81,19 +97,23 @@ def test_token_store_is_the_tokenizer(docs, texts):
         start += len(ids)
 
 
-def test_plain_parts_merge_as_the_library_does():
+def test_parts_are_what_the_library_makes_of_texts(monkeypatch):
+    monkeypatch.setattr(token_store, "LOCAL", 2000)
     rng = random.Random(3)
-    junk = ["".join(rng.choice("abcdefABC012 .,!?'\"-_éüßñ\n#@()[]|/<>") for _ in range(rng.randrange(60))) for _ in range(1500)]
-    junk += [c * n for n in range(1, 60) for c in "a!z0"]
+    junk = ["".join(rng.choice("abcdefABC012 .,!?'\"-_éüßñ\n#@()[]|/<>\t\u3000 ") for _ in range(rng.randrange(60))) for _ in range(1500)]
+    junk += [c * n for n in range(1, 60) for c in "a!z0 \n"] + ["a\nb <|endoftext|>c", "<|endoftext|>", "\n<|endoftext|> x"]
     want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(BYTE).encode_batch(junk, add_special_tokens=False)]
-    assert token_store.ByteCoder(BYTE, 2).encode(junk) == want
+    coder = token_store.ByteCoder(BYTE, 2)
+    for _ in range(2):
+        assert [x for k in range(0, len(junk), 100) for x in coder.encode(junk[k : k + 100])] == want
 
 
 def test_repeated_and_null_keys(spark, tmp_path):
     rows = [(5, "b"), (5, "a"), (None, "z"), (None, None), (9, "c c"), (5, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")
     folder = f"file://{tmp_path}/s"
-    out = token_store.read_tokens(token_store.write_tokens(docs, BYTE, folder), folder).orderBy("start").collect()
+    shards = token_store.write_tokens(docs, BYTE, folder)
+    out = sorted(token_store.lookup(docs, shards, folder).unionByName(token_store.without_key(shards, folder)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in out] == [None, None, 5, 5, 5, 9] and [r.start for r in out] == list(np.cumsum([0, *(r.n_tokens for r in out[:-1])]))
     found = []
     for path in sorted((tmp_path / "s").glob("shard-*.tok")):
@@ -102,7 +122,20 @@ def test_repeated_and_null_keys(spark, tmp_path):
             found += [x.tolist() for x in token_store.Shard(f).get(5)]
             assert token_store.Shard(f).get(6) == []
     assert sorted(found) == sorted([*Tokenizer.from_file(BYTE).encode(x).ids, 2] for x in "aab")
-    assert token_store.stored_digest(docs.limit(0), BYTE).count() == 0
+    assert token_store.stored_digest(docs, BYTE).count() == 6 and token_store.stored_digest(docs.limit(0), BYTE).count() == 0
+
+
+def test_lookup_of_some_keys_across_shards(spark, tmp_path):
+    t, rng = Tokenizer.from_file(BYTE), random.Random(2)
+    rows = [(rng.randrange(-500, 500), f"text {i} of many") for i in range(600)] + [(7, f"hot {i}") for i in range(400)] + [(None, "no key")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = f"file://{tmp_path}/s"
+    shards = token_store.write_tokens(docs, BYTE, folder)
+    assert shards.count() > 1 and shards.where("first <= 7 and last >= 7").count() > 1  # one key in several shards
+    keys = [7, 7, -3, 100, 99_999, -(2**63), None, *range(0, 500, 9)]
+    got = token_store.lookup(spark.createDataFrame([(k,) for k in keys], "k long"), shards, folder, "k").collect()
+    want = sorted((i, np.array([*t.encode(x).ids, 2], "<u4").tobytes()) for i, x in rows if i in keys and i is not None)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == want and all(r.n_tokens * 4 == len(r.ids) for r in got)
 
 
 def test_perfect_hash_is_minimal_and_turns_strangers_away():
@@ -137,6 +170,55 @@ def test_members_are_read_by_range_and_retried(spark, tmp_path):
         media.read_media(spark, folder, tries=1).count()
 
 
+def test_what_a_lost_attempt_left_is_not_read(spark, tmp_path):
+    folder, docs = f"file://{tmp_path}/m", spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    media.write_media(docs, folder)
+    (archive,) = (tmp_path / "m").glob("*.zip")
+    (tmp_path / "m" / "media-000000-0001-lost.zip").write_bytes(archive.read_bytes())
+    assert media.read_media(spark, folder).count() == 20
+
+
+def test_one_member_is_tried_again_without_the_others(tmp_path, monkeypatch):
+    docs = [f"text {i}".encode() * 9 for i in range(6)]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_STORED) as z:
+        for i, x in enumerate(docs):
+            z.writestr(f"{i:09d}_{i}.png", media.to_png(x))
+    real, tried = media.member_at, []
+
+    def shaky(file, member):
+        tried.append(member.filename)
+        if member.filename.startswith("000000003") and tried.count(member.filename) < 3:
+            raise OSError("gone")
+        return real(file, member)
+
+    monkeypatch.setattr(media, "member_at", shaky)
+    monkeypatch.setattr(media.time, "sleep", lambda _: None)
+    got = [x for b in media.read_range({"path": f"file://{tmp_path}"}, "a.zip", 0, 1 << 40) for x in b.column(3).to_pylist()]
+    assert [media.from_png(x) for x in got] == [(x + b" " * (-len(x) % 192), len(x)) for x in docs]
+    assert [tried.count(x) for x in dict.fromkeys(tried)] == [1, 1, 1, 3, 1, 1]
+
+
+def test_media_columns_against_plain_libraries(spark):
+    rows = [(1, "é" * 300), (1, "é" * 300), (2, None), (None, "x"), (3, "a b " * 4000)]
+    got = media.media_features(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, member long")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "None"]
+    for r in got:
+        raw = next((t or "") for i, t in rows if i == r.doc_id).encode()
+        full = raw + b" " * (-len(raw) % 192) or b" " * 192
+        lines = b"".join(b"\0" + full[k : k + 192] for k in range(0, len(full), 192))
+
+        def chunk(kind, data):
+            return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+        head = (192).to_bytes(4, "big") + (len(full) // 192).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"Bytes\0%d" % len(raw)) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        mean = sum(full) / len(full)
+        dev = (sum(x * x for x in full) / len(full) - mean**2) ** 0.5
+        bins = ",".join(str(sum(x // 32 == k for x in full)) for k in range(8))
+        assert r.feature == f"n={len(full)};mean={mean:.6f};dev={dev:.6f};bins={bins}"
+
+
 def secrets(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
