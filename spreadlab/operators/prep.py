@@ -101,14 +101,23 @@ def csr_offsets(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return degree.withColumn("inside", inside).join(base, "bucket").select("id", "degree", (F.col("base") + F.col("inside")).alias("first"))
 
 
-def prepare(lines: DataFrame, weighting: tuple, is_undirected: bool = False, fix_ids: bool = False, skip: int = 0) -> DataFrame:
-    """Raw lines to (s, t, c, w).  weighting: ("p", p), ("U", a, b) or ("N", mean, deviation)."""
+def count(lines: DataFrame, is_undirected: bool = False, fix_ids: bool = False, skip: int = 0) -> DataFrame:
+    """Raw lines to (s, t, c): cleaned, with new ids or both directions if asked for, each edge once."""
     pairs = clean(lines, skip)
     if fix_ids:
         pairs = spool(pairs)
         pairs = relabel(pairs, dense_ids(pairs))
     else:
         pairs = pairs.select("line", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"))
-    pairs = undirected(pairs) if is_undirected else pairs.select("s", "t")
+    return multiplicity(undirected(pairs) if is_undirected else pairs.select("s", "t"))
+
+
+def weigh(edges: DataFrame, weighting: tuple) -> DataFrame:
+    """(s, t, c, w).  weighting: ("p", p), ("U", a, b) or ("N", mean, deviation)."""
     kind, *numbers = weighting
-    return {"p": weigh_constant, "U": weigh_uniform, "N": weigh_normal}[kind](multiplicity(pairs), *numbers)
+    return {"p": weigh_constant, "U": weigh_uniform, "N": weigh_normal}[kind](edges, *numbers)
+
+
+def prepare(lines: DataFrame, weighting: tuple, is_undirected: bool = False, fix_ids: bool = False, skip: int = 0) -> DataFrame:
+    """Raw lines to (s, t, c, w), with one weighting."""
+    return weigh(count(lines, is_undirected, fix_ids, skip), weighting)

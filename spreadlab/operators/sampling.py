@@ -40,15 +40,21 @@ def live_edges(edges: DataFrame, sims: DataFrame) -> DataFrame:
 
 
 def prune(edges: DataFrame, sims: DataFrame, parts: int) -> DataFrame:
-    """(part, u, v, thr, h): edges live in at least one simulation of each part; part = r div (sims / parts)."""
+    """(part, u, v, thr, h): edges live in at least one simulation of each part; part = r div (sims / parts).
+
+    Edges are read once and stay where they are: each is held against each part's numbers, which the caller's parameter bounds.
+    """
     n = sims.count()
     size = max(1, n // parts)
-    out = None
-    for k in range(parts):
-        some = sims.where((F.col("r") >= k * size) & (F.col("r") < ((k + 1) * size if k < parts - 1 else n)))
-        own = edges.join(F.broadcast(some), F.col("x").bitwiseXOR(F.col("h")) < F.col("thr"), "left_semi").select(F.lit(k).alias("part"), *edges.columns)
-        out = own if out is None else out.unionByName(own)
-    return out
+    own: list[list[int]] = [[] for _ in range(parts)]
+    for r in sims.collect():  # a row for each simulation
+        own[min(r.r // size, parts - 1)].append(r.x)
+
+    def live(k: int) -> Column:
+        numbers = F.array(*(F.lit(x).cast("long") for x in own[k])) if own[k] else F.array().cast("array<bigint>")
+        return F.when(F.exists(numbers, lambda x: x.bitwiseXOR(F.col("h")) < F.col("thr")), F.lit(k))
+
+    return edges.withColumn("part", F.explode(F.array_compact(F.array(*map(live, range(parts)))))).select("part", *edges.columns)
 
 
 def sampled_ratio(pruned: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,3 +67,34 @@ def fill_rate(live: DataFrame, lanes: int = 32) -> DataFrame:
     """One row (filled, taken, fill_rate): live simulations among the lanes of the groups that have any."""
     groups = live.groupBy("u", "v", F.floor(F.col("r") / lanes).alias("g")).agg(F.count("*").alias("c"))
     return groups.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("filled"), (F.count("*") * lanes).alias("taken")).select("filled", "taken", (F.col("filled") / F.when(F.col("taken") > 0, F.col("taken"))).alias("fill_rate"))
+
+
+def fill_rate_of_rounds(start: DataFrame, live: DataFrame, max_rounds: int = 20, lanes: int = 32, active_rate: float = 0.0) -> DataFrame:
+    """One row (filled, taken, fill_rate) over the rounds of register propagation: in each, the live edges to vertices of which a register has
+    changed in the round before (all vertices in the first).
+
+    start (x, r, val) are registers; rounds end as ``propagate``'s do, active_rate being a share of the vertices.
+    """
+    from spreadlab.operators.spread import propagate
+    from spreadlab.session import spool
+
+    live = spool(live.select("u", "v", "r"))
+    now, active = spool(start.select("x", "r", "val")), None
+    vertices = now.select("x").distinct().count()
+    filled = taken = 0
+    for _ in range(max_rounds):
+        visited = live if active is None else live.join(active, "v", "left_semi")
+        row = fill_rate(visited, lanes).first()
+        filled, taken = filled + row.filled, taken + row.taken
+        after = propagate(now, live, "v", "u", "max", max_rounds=1)
+        active = spool(after.join(now.withColumnRenamed("val", "old"), ["x", "r"], "left").where("old is null or old != val").select(F.col("x").alias("v")).distinct())
+        now = after
+        if active.count() <= active_rate * vertices:
+            break
+    return live.sparkSession.createDataFrame([(filled, taken, filled / taken if taken else None)], "filled long, taken long, fill_rate double").coalesce(1)
+
+
+def variant_seeds(spark: SparkSession, n_sims: int, variant: str, size: int = 0, in_order: bool = False) -> DataFrame:
+    """(r, x) by hash: "above" takes the numbers after ``size`` (of vertices), "below" the negative ones from -size downwards."""
+    first = {"above": lambda r: size + r, "below": lambda r: -(size + r)}[variant]
+    return seeds_from([H.py_fmix64(first(r)) & H.MASK31 for r in range(n_sims)], spark, in_order)

@@ -9,6 +9,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +30,29 @@ def oracle(edges: DataFrame, sims: DataFrame, vertices: list[int], max_rounds: i
 def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], dict[int, float]], commit: Callable[[int], float | None], batch: int = 64, ahead: int = 1024, exact: bool = True):
     """Lazy selection: (step, vertex, gain, tries) in turn.
 
-    bounds (v, gain) hold upper bounds of all gains; exact: they are the gains of the first step.  The driver keeps the ``ahead`` largest, and twice as many when
-    the best one that is re-scored falls below them.  Each round re-scores up to ``batch`` of the largest stale gains.
+    bounds (v, gain) hold upper bounds of all gains; exact: they are the gains of the first step.  The driver holds the ``ahead``
+    first by (gain, v) and where the next one stands.  Each round re-scores up to ``batch`` of the largest stale gains.  When the best that is
+    held comes after that next one, what is known goes back into the table, which gives the ``ahead`` first anew.
     """
     bounds = spool(bounds)
+    spark = bounds.sparkSession
 
-    def largest(n: int):
-        rows = bounds.orderBy(F.desc("gain"), "v").limit(n + 1).collect()
-        return {r.v: r.gain for r in rows[:n]}, (rows[n].gain if len(rows) > n else None)
+    def first():
+        rows = bounds.orderBy(F.desc("gain"), "v").limit(ahead + 1).collect()
+        return {r.v: r.gain for r in rows[:ahead]}, ((-rows[ahead].gain, rows[ahead].v) if len(rows) > ahead else None)
 
-    held, floor = largest(ahead)
-    stamp, taken, tries = dict.fromkeys(held, 0 if exact else -1), set(), 0
+    held, after = first()
+    stamp, gone, tries = dict.fromkeys(held, 0 if exact else -1), [], 0
     for step in range(k):
         while True:
-            order = sorted((v for v in held if v not in taken), key=lambda v: (-held[v], v))
-            if floor is not None and (not order or held[order[0]] <= floor):
-                ahead *= 2
-                more, floor = largest(ahead)
-                for v, g in more.items():
-                    if v not in held:
-                        held[v], stamp[v] = g, 0 if exact else -1
+            order = sorted(held, key=lambda v: (-held[v], v))
+            if after is not None and (not order or (-held[order[0]], order[0]) > after):
+                known = spark.createDataFrame([*((v, float(g)) for v, g in held.items()), *((v, None) for v in gone)], "v long, own double")
+                news = F.broadcast(known.withColumn("told", F.lit(True)))  # ahead rows, and those chosen since
+                bounds = spool(bounds.join(news, "v", "left").where("told is null or own is not null").select("v", F.coalesce("own", "gain").alias("gain")))
+                gone = []
+                held, after = first()
+                stamp = {v: stamp.get(v, -1) for v in held}
                 continue
             if not order:
                 return
@@ -58,9 +63,10 @@ def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], d
                 held[v], stamp[v] = g, step
                 tries += 1
         v = order[0]
-        taken.add(v)
         real = commit(v)
-        yield step, v, held[v] if real is None else real, tries
+        gain = held.pop(v)
+        gone.append(v)
+        yield step, v, gain if real is None else real, tries
 
 
 def _result(spark, rows) -> DataFrame:
@@ -115,7 +121,8 @@ def sketch_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int
         live = spool(live_edges(edges, sims))
     first = spool(sketch.registers(vertices, sims, n))
     total = first.count()
-    reg = sketch.propagate_registers(first, live, None, max_rounds, active_rate, total)
+    local = S.fits(first, first, live)  # registers or visits, and edges
+    reg = sketch.propagate_registers(first, live, None, max_rounds, active_rate, total, local)
     mask: dict[int, int] = {}
     visited, taken, rows = None, [], []
     score = base = old = 0.0
@@ -132,21 +139,20 @@ def sketch_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int
             mask = {r: max(mask.get(r, 0), own.get(r, 0)) for r in mask.keys() | own.keys()}
             rows.append((step, seed, score, time.time() - began, 0.0))
             continue
-        visited = S.cascade(live, S.at_seeds([seed], sims), visited, cascade_rounds)
+        visited = S.cascade(live, S.at_seeds([seed], sims), visited, cascade_rounds, local)
         old, score = score, visited.count() / n
         gain = score - base
         err = (estimate - gain) / gain if gain else float("inf")
         rows.append((step, seed, score, time.time() - began, err * 100))
         if rebuild == "always" or err > eps and abs(estimate - gain) / score > tr:
-            visited = spool(visited)
-            reg = sketch.propagate_registers(first, live, visited, max_rounds, active_rate, total)
+            reg = sketch.propagate_registers(first, live, visited, max_rounds, active_rate, total, local)
             mask, base = {}, score
         else:
             mask = {r: max(mask.get(r, 0), own.get(r, 0)) for r in mask.keys() | own.keys()}
     return _result(spark, rows)
 
 
-def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, batch: int = 8) -> DataFrame:
+def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, batch: int = 48) -> DataFrame:
     """First gains from weak components, an upper bound; later ones from cascades of their own on top of the seeds' visits."""
     spark, began, n = edges.sparkSession, time.time(), sims.count()
     live = spool(live_edges(edges, sims))
@@ -159,7 +165,7 @@ def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, b
 
     def commit(v: int) -> None:
         nonlocal visited
-        visited = spool(S.cascade(live, S.at_seeds([v], sims), visited))
+        visited = S.cascade(live, S.at_seeds([v], sims), visited)
 
     rows, score = [], 0.0
     for step, v, gain, tries in lazy_greedy(bounds, k, rescore, commit, batch, exact=False):
@@ -168,9 +174,36 @@ def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, b
     return _result(spark, rows)
 
 
-def marginal_gains(live: DataFrame, sims: DataFrame, visited: DataFrame, some: list[int], n: int) -> dict[int, float]:
+def _added():
+    """For applyInArrow: a simulation's rows (kind 0 edges x to y, 1 candidates x, 2 visited x) to (seed, n) of each candidate."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, x, y = (table[c].to_numpy() for c in ("kind", "x", "y"))
+        edge = kind == 0
+        ids, at = np.unique(np.concatenate([x, y[edge]]), return_inverse=True)
+        src, dst, old = at[: len(x)][edge], at[len(x) :], np.zeros(len(ids), bool)
+        old[at[: len(x)][kind == 2]] = True
+        out = []
+        for one in at[: len(x)][kind == 1].tolist():
+            now = np.zeros(len(ids), bool)
+            now[one] = True
+            out.append((int(ids[one]), int(S.reach(src, dst, old, now).sum() - old.sum())))
+        seed, n = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"seed": pa.array(seed, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return run
+
+
+def marginal_gains(live: DataFrame, sims: DataFrame, visited: DataFrame, some: list[int], n: int, local: bool | None = None) -> dict[int, float]:
     """Mean number of vertices that each candidate adds to visited, all candidates in one cascade of (candidate, v, r)."""
-    now = S.at_seeds(some, sims).select(F.col("v").alias("seed"), "v", "r").join(visited, ["v", "r"], "left_anti")
+    now = S.at_seeds(some, sims)
+    got = dict.fromkeys(some, 0)
+    if S.fits(live, visited) if local is None else local:
+        rows = S._tagged([live.select("r", F.col("u").alias("x"), F.col("v").cast("long").alias("y")), *(t.select("r", F.col("v").alias("x"), F.lit(0).cast("long").alias("y")) for t in (now, visited))])
+        for r in rows.groupBy("r").applyInArrow(_added(), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a row for each candidate of the batch
+            got[r.seed] = r.n
+        return {v: k / n for v, k in got.items()}
+    now = now.select(F.col("v").alias("seed"), "v", "r").join(visited, ["v", "r"], "left_anti")
     parts = []
     while True:
         for p in parts:
@@ -180,7 +213,6 @@ def marginal_gains(live: DataFrame, sims: DataFrame, visited: DataFrame, some: l
             break
         parts.append(now)
         now = now.withColumnRenamed("v", "u").join(live, ["u", "r"]).select("seed", "v", "r").distinct().join(visited, ["v", "r"], "left_anti")
-    got = dict.fromkeys(some, 0)
     for p in parts:
         for r in p.groupBy("seed").count().collect():  # a row for each candidate of the batch
             got[r.seed] += r["count"]

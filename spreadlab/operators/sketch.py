@@ -31,14 +31,14 @@ def registers_harmonic(vertices: DataFrame, sims: DataFrame, n_sims: int, offset
     return rows.select(F.col("id").alias("x"), "r", chain.alias("c")).select("x", "r", F.when(F.col("c.zero"), 0.0).otherwise(CHAIN / F.col("c.inverse")).alias("val"))
 
 
-def propagate_registers(reg: DataFrame, live: DataFrame, blocked: DataFrame | None = None, max_rounds: int | None = None, active_rate: float = 0.0, total: int | None = None) -> DataFrame:
+def propagate_registers(reg: DataFrame, live: DataFrame, blocked: DataFrame | None = None, max_rounds: int | None = None, active_rate: float = 0.0, total: int | None = None, local: bool | None = None) -> DataFrame:
     """(x, r, val): the largest register among all that x reaches; blocked (v, r) are taken out of the graph."""
     if blocked is not None:
         gone = blocked.select(F.col("v").alias("x"), "r")
         reg = reg.join(gone, ["x", "r"], "left_anti")
         for end in ("u", "v"):
             live = live.join(gone.withColumnRenamed("x", end), [end, "r"], "left_anti")
-    return propagate(reg, live, "v", "u", "max", max_rounds, active_rate, total)
+    return propagate(reg, live, "v", "u", "max", max_rounds, active_rate, total, local)
 
 
 def estimates(reg: DataFrame, mask: dict[int, int], n_sims: int) -> DataFrame:

@@ -1,39 +1,153 @@
 """Fixpoints over live edges: cascades, labels and registers, all simulations at once.
 
-Each round only sends what changed, and writes its table to the shared folder.  A round is one join and one
-aggregation on (vertex, simulation), so one hub of the graph is spread over the simulations.
+Simulations do not depend on each other.  Where a count shows that the rows of each of them fit a task (ROWS), one shuffle
+brings each simulation together and a fixpoint is one job.  Where they do not, rounds are Spark jobs: each sends and writes
+only what changed, in one join and one aggregation on (vertex, simulation), to the shared folder.  Both give the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spreadlab.session import spool
 
+#: Rows of edges, values and visits (24 bytes each) of one simulation that a task may hold.
+ROWS = 6_000_000
+#: Tables of changes that are read one by one before they are made one.
+DELTAS = 8
+_KIND = {"min": np.minimum, "max": np.maximum}
+
+
+def _tagged(tables: list[DataFrame]) -> DataFrame:
+    """(r, kind, x, y) of tables with columns (r, x, y), kind being a table's place."""
+    return reduce(DataFrame.unionByName, (t.select("r", F.lit(k).alias("kind"), F.col("x").cast("double" if dict(t.dtypes)["x"] == "double" else "long").alias("x"), F.col("y")) for k, t in enumerate(tables)))
+
+
+def fits(*tables: DataFrame, rows: int | None = None) -> bool:
+    """No simulation has more than ``rows`` rows in all tables together."""
+    every = reduce(DataFrame.unionByName, (t.select("r") for t in tables))
+    most = every.groupBy("r").count().agg(F.max("count")).first()[0]
+    return (most or 0) <= (ROWS if rows is None else rows)
+
+
+def relax(src: np.ndarray, dst: np.ndarray, val: np.ndarray, best, worst, max_rounds: int | None) -> tuple[np.ndarray, list[int]]:
+    """Values after rounds in which each edge offers its source's value to its target, and how many changed in each round."""
+    changed, counts = val != worst, []
+    while max_rounds is None or len(counts) < max_rounds:
+        use = changed[src]
+        new = val.copy()
+        best.at(new, dst[use], val[src[use]])
+        changed = new != val
+        val = new
+        counts.append(int(changed.sum()))
+        if not counts[-1]:
+            break
+    return val, counts
+
+
+def _relaxed(best: str, whole: bool, max_rounds: int | None, report: bool):
+    """For applyInArrow: a simulation's rows (kind 0 edges x to y, 1 values y of x) to its values, or to changes by round."""
 
-def propagate(start: DataFrame, live: DataFrame, source: str, target: str, best: str, max_rounds: int | None = None, active_rate: float = 0.0, total: int | None = None) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        kind, x, y, r = (table[c].to_numpy() for c in ("kind", "x", "y", "r"))
+        x = x.astype(np.int64)
+        edge = kind == 0
+        worst = (np.inf if best == "min" else -np.inf) if not whole else (np.iinfo(np.int64).max if best == "min" else np.iinfo(np.int64).min)
+        ends = y[edge].astype(np.int64)
+        ids, at = np.unique(np.concatenate([x, ends]), return_inverse=True)
+        val = np.full(len(ids), worst, np.int64 if whole else np.float64)
+        _KIND[best].at(val, at[: len(x)][~edge], y[~edge].astype(val.dtype))
+        val, counts = relax(at[: len(x)][edge], at[len(x) :], val, _KIND[best], worst, max_rounds)
+        if report:
+            return pa.table({"r": pa.array(np.full(len(counts), r[0], np.int32)), "round": pa.array(np.arange(len(counts), dtype=np.int64)), "n": pa.array(np.array(counts, np.int64))})
+        has = val != worst
+        return pa.table({"x": ids[has], "r": pa.array(np.full(int(has.sum()), r[0], np.int32)), "val": val[has]})
+
+    return run
+
+
+def propagate(start: DataFrame, live: DataFrame, source: str, target: str, best: str, max_rounds: int | None = None, active_rate: float = 0.0, total: int | None = None, local: bool | None = None) -> DataFrame:
     """(x, r, val): start's values, carried along live edges from source to target, of which the ``best`` (min or max) stays.
 
     Stops when no value changes, after max_rounds, or when no more than active_rate of ``total`` values changed.
+    local: simulations fit a task each; counted if not given.
     """
+    kind = dict(start.dtypes)["val"]
+    if local is None:
+        local = fits(start, live)
+    if not local:
+        return _by_rounds(start, live, source, target, best, max_rounds, active_rate, total)
+    whole = kind not in ("double", "float")
+    rows = _tagged([live.select("r", F.col(source).alias("x"), F.col(target).cast("long" if whole else "double").alias("y")), start.select("r", "x", F.col("val").cast("long" if whole else "double").alias("y"))])
+    if active_rate and total is not None:
+        rows = spool(rows)
+        counts = rows.groupBy("r").applyInArrow(_relaxed(best, whole, max_rounds, True), "r int, round long, n long").groupBy("round").agg(F.sum("n").alias("n")).orderBy("round")
+        few = counts.where(F.col("n") <= active_rate * total).first()
+        max_rounds = few["round"] + 1 if few else max_rounds
+    out = rows.groupBy("r").applyInArrow(_relaxed(best, whole, max_rounds, False), f"x long, r int, val {'long' if whole else 'double'}")
+    return spool(out.select("x", "r", F.col("val").cast(kind).alias("val")))
+
+
+def _by_rounds(start: DataFrame, live: DataFrame, source: str, target: str, best: str, max_rounds: int | None, active_rate: float, total: int | None) -> DataFrame:
     agg = {"min": F.min, "max": F.max}[best]
     arcs = live.select(F.col(source).alias("x"), F.col(target).alias("y"), "r")
-    state = changed = spool(start.select("x", "r", "val"))
+    base = changed = spool(start.select("x", "r", "val"))
+    deltas: list[DataFrame] = []
     done = 0
+    better = F.col("val") < F.col("old") if best == "min" else F.col("val") > F.col("old")
     while max_rounds is None or done < max_rounds:
         sent = changed.join(arcs, ["x", "r"]).groupBy(F.col("y").alias("x"), "r").agg(agg("val").alias("val"))
-        both = state.select("x", "r", "val", F.col("val").alias("old")).unionByName(sent.select("x", "r", "val", F.lit(None).cast(state.schema["val"].dataType).alias("old")))
-        new = spool(both.groupBy("x", "r").agg(agg("val").alias("val"), F.max("old").alias("old")))
-        changed, state, done = new.where("old is null or val != old").select("x", "r", "val"), new.select("x", "r", "val"), done + 1
-        n = changed.count()
+        for table in [base, *deltas]:
+            sent = sent.join(table.select("x", "r", F.col("val").alias("old")), ["x", "r"], "left").where(F.col("old").isNull() | better).select("x", "r", "val")
+        seen = Observation(f"changed-{uuid.uuid4().hex}")
+        changed = spool(sent.observe(seen, F.count(F.lit(1)).alias("n")))
+        deltas, done, n = [*deltas, changed], done + 1, seen.get["n"]
         if n == 0 or total is not None and n <= active_rate * total:
             break
-    return state
+        if len(deltas) > DELTAS:
+            deltas = [spool(reduce(DataFrame.unionByName, deltas).groupBy("x", "r").agg(agg("val").alias("val")))]
+    return spool(reduce(DataFrame.unionByName, [base, *deltas]).groupBy("x", "r").agg(agg("val").alias("val")))
+
+
+def reach(src: np.ndarray, dst: np.ndarray, seen: np.ndarray, now: np.ndarray, max_rounds: int | None = None) -> np.ndarray:
+    """seen, with what the vertices ``now`` reach through vertices that were not seen."""
+    seen, now, done = seen.copy(), now & ~seen, 0
+    while now.any() and (max_rounds is None or done < max_rounds):
+        seen |= now
+        to = np.zeros_like(seen)
+        to[dst[now[src]]] = True
+        now, done = to & ~seen, done + 1
+    return seen | now
 
 
-def cascade(live: DataFrame, frontier: DataFrame, visited: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+def _reached(max_rounds: int | None):
+    """For applyInArrow: a simulation's rows (kind 0 edges x to y, 1 frontier x, 2 visited x) to all visited."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, x, y, r = (table[c].to_numpy() for c in ("kind", "x", "y", "r"))
+        edge = kind == 0
+        ids, at = np.unique(np.concatenate([x, y[edge]]), return_inverse=True)
+        marks = np.zeros((2, len(ids)), bool)
+        for k in (1, 2):
+            marks[k - 1, at[: len(x)][kind == k]] = True
+        out = reach(at[: len(x)][edge], at[len(x) :], marks[1], marks[0], max_rounds)
+        return pa.table({"v": ids[out], "r": pa.array(np.full(int(out.sum()), r[0], np.int32))})
+
+    return run
+
+
+def cascade(live: DataFrame, frontier: DataFrame, visited: DataFrame | None = None, max_rounds: int | None = None, local: bool | None = None) -> DataFrame:
     """(v, r): visited before, and what the frontier (v, r) reaches along live edges, itself included."""
+    tables = [live, frontier, *([] if visited is None else [visited])]
+    if fits(*tables) if local is None else local:
+        rows = _tagged([live.select("r", F.col("u").alias("x"), F.col("v").cast("long").alias("y")), *(t.select("r", F.col("v").alias("x"), F.lit(0).cast("long").alias("y")) for t in tables[1:])])
+        return spool(rows.groupBy("r").applyInArrow(_reached(max_rounds), "v long, r int"))
     parts = [] if visited is None else [visited.select("v", "r")]
 
     def fresh(rows: DataFrame) -> DataFrame:
@@ -44,21 +158,13 @@ def cascade(live: DataFrame, frontier: DataFrame, visited: DataFrame | None = No
     now, done = fresh(frontier.select("v", "r").distinct()), 0
     while not now.isEmpty():
         parts.append(now)
-        if len(parts) > 8:  # few tables to hold the frontier against
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.unionByName(p)
-            parts = [spool(whole)]
+        if len(parts) > DELTAS:  # few tables to hold the frontier against
+            parts = [spool(reduce(DataFrame.unionByName, parts))]
         if max_rounds is not None and done >= max_rounds:
             break
         done += 1
         now = fresh(now.withColumnRenamed("v", "u").join(live, ["u", "r"]).select("v", "r").distinct())
-    if not parts:
-        return now
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return spool(reduce(DataFrame.unionByName, parts)) if parts else now
 
 
 def at_seeds(vertices: list[int], sims: DataFrame) -> DataFrame:

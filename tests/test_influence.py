@@ -163,3 +163,66 @@ def test_prune_and_fill_rate(random_graph):
     assert (row.filled, row.taken) == (len(live), 32 * len(groups))
     empty = sampling.fill_rate(sampling.live_edges(e.limit(0), sims)).first()
     assert (empty.filled, empty.taken, empty.fill_rate) == (0, 0, None)
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_rounds_as_jobs_and_in_one_task_agree(random_graph, monkeypatch, rows):
+    monkeypatch.setattr(S, "ROWS", rows)
+    monkeypatch.setattr(S, "DELTAS", 1)
+    _, n, e, ids, sims, live = random_graph
+    edges, first = spool(sampling.live_edges(e, sims)), py_registers(n)
+    assert S.fits(edges) == bool(rows)
+    got = {(r.x, r.r): r.val for r in sketch.propagate_registers(sketch.registers(ids, sims, n), edges).collect()}
+    assert got == {(i, r): max(first[j, r] for j in py_reach(live, [i], r)) for i in range(N) for r in range(n)}
+    visited = S.cascade(edges, S.at_seeds([0], sims), S.cascade(edges, S.at_seeds([3], sims)))
+    assert {(v.v, v.r) for v in visited.collect()} == {(v, r) for r in range(n) for v in py_reach(live, [0, 3], r)}
+    some = select.marginal_gains(edges, sims, visited, [1, 2], n)
+    old = {(v, r) for r in range(n) for v in py_reach(live, [0, 3], r)}
+    assert some == {v: sum(len({(x, r) for x in py_reach(live, [v], r)} - old) for r in range(n)) / n for v in (1, 2)}
+    assert S.cascade(edges.limit(0), S.at_seeds([5], sims)).count() == n
+    for stop in ({"max_rounds": 1}, {"active_rate": 1.0, "total": N * n}):
+        one = {(r.x, r.r): r.val for r in sketch.propagate_registers(sketch.registers(ids, sims, n), edges, None, **stop).collect()}
+        assert one == {(i, r): max([first[i, r], *(first[v, r] for u, v, q in live if (u, q) == (i, r))]) for i in range(N) for r in range(n)}
+    harmonic = {(r.x, r.r): r.val for r in sketch.registers_harmonic(ids, sims, n).collect()}
+    spread = sketch.propagate_registers(sketch.registers_harmonic(ids, sims, n), edges).collect()
+    assert {(r.x, r.r): r.val for r in spread} == {(i, r): max(harmonic[j, r] for j in py_reach(live, [i], r)) for i in range(N) for r in range(n)}
+
+
+def lazily(spark, gains, k, ahead, monkeypatch, rescored=None):
+    """What lazy_greedy chooses, and the sizes of what it collects."""
+    sizes, collect = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: sizes.append(out := collect(self)) or out)
+    table = spark.createDataFrame(sorted(gains.items()), "v long, gain double")
+    got = [v for _, v, _, _ in select.lazy_greedy(table, k, lambda some, step: {v: (rescored or gains)[v] for v in some}, lambda v: None, batch=4, ahead=ahead, exact=rescored is None)]
+    return got, [len(x) for x in sizes]
+
+
+def test_lazy_selection_holds_few_candidates(spark, monkeypatch):
+    got, sizes = lazily(spark, dict.fromkeys(range(20_000), 1.0), 2, 1024, monkeypatch)
+    assert got == [0, 1] and max(sizes) <= 1025
+
+
+def test_lazy_selection_looks_beyond_what_it_holds(spark, monkeypatch):
+    rng = random.Random(1)
+    bounds = {v: float(rng.randrange(50, 100)) for v in range(200)}
+    real = {v: float(rng.randrange(int(g))) for v, g in bounds.items()}
+    got, sizes = lazily(spark, bounds, 12, 8, monkeypatch, real)
+    assert got == sorted(real, key=lambda v: (-real[v], v))[:12] and max(sizes) <= 9
+
+
+def test_lazy_selection_ends_with_its_vertices(spark, monkeypatch):
+    assert lazily(spark, {3: 1.0, 5: 2.0, 4: 2.0}, 9, 2, monkeypatch)[0] == [4, 5, 3]
+
+
+def test_fill_rate_of_rounds(random_graph):
+    _, n, e, ids, sims, live = random_graph
+    reg, filled, taken, active = py_registers(n), 0, 0, set(range(N))
+    for _ in range(20):
+        use = [(u, v, r) for u, v, r in live if v in active]
+        filled, taken = filled + len(use), taken + 32 * len({(u, v) for u, v, _ in use})
+        after = {(i, r): max([reg[i, r], *(reg[v, r] for u, v, q in live if (u, q) == (i, r))]) for i, r in reg}
+        active, reg = {i for i, r in reg if after[i, r] != reg[i, r]}, after
+        if not active:
+            break
+    row = sampling.fill_rate_of_rounds(sketch.registers(ids, sims, n), sampling.live_edges(e, sims)).first()
+    assert (row.filled, row.taken) == (filled, taken)
