@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spreadlab.session import shared_dir, spool
+
 WEIGHTED = "s long, t long, w float"
+#: Blocks of input files (some 150 bytes each) that are broadcast at most; beyond that, joins shuffle.
+BLOCKS = 200_000
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of text files; lines ascend in the files' order."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    """(line, value) of text files: lines count from 0, by file name and then by place in the file, however the files are packed into tasks."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")  # a row for each block of a file
+    starts = spool(blocks.select("file", "block", (before - F.col("first")).alias("shift")))
+    known = F.broadcast(starts) if starts.count() <= BLOCKS else starts
+    return rows.join(known, ["file", "block"]).select((F.col("at") + F.col("shift")).alias("line"), "value")
 
 
 def read_weighted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -85,18 +94,53 @@ def read_csr(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
 
 
 def write_csr(edges: DataFrame, path: str) -> None:
-    """(u, v, thr) to one binary file, streamed in order through the driver (a file format of one file)."""
+    """(u, v, thr) to one binary file (its format is of one file).
+
+    Tasks pack ranges of offsets and of sorted edges into files of the shared folder; the driver strings their bytes together.
+    """
     from spreadlab.operators.prep import csr_offsets
-    from spreadlab.session import spool
     from spreadlab.sources.files import open_binary
 
+    spark = edges.sparkSession
     edges = spool(edges.select("u", "v", "thr"))
     n, m = edges.agg(F.coalesce(F.greatest(F.max("u"), F.max("v")) + 1, F.lit(0)), F.count("*")).first()
-    first = csr_offsets(edges.select(F.col("u").alias("s"), F.col("v").alias("t")), edges.sparkSession.range(n).toDF("id"))
+    first = csr_offsets(edges.select(F.col("u").alias("s"), F.col("v").alias("t")), spark.range(n).toDF("id"))
+    folder = shared_dir(spark)
+
+    def pack(kind: str, fields: list[tuple[str, str]]):
+        def run(batches):
+            import uuid
+
+            import numpy as np
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            part, out, name = TaskContext.get().partitionId(), None, ""
+            for batch in batches:
+                if out is None:
+                    name = f"{folder}/{kind}-{part:06d}-{uuid.uuid4().hex}"  # of attempts, only the one that ends well is named
+                    out = open_binary(name, "w")
+                rows = np.zeros(batch.num_rows, fields)
+                for c, t in fields:
+                    x = batch.column(batch.schema.get_field_index(c)).to_numpy()
+                    rows[c] = np.minimum(x, 2**31 - 1) if t == "<i4" else x
+                out.write(rows.tobytes())
+            if out is not None:
+                out.close()
+                yield pa.record_batch({"part": pa.array([part]), "name": pa.array([name])})
+
+        return run
+
+    def packed(table: DataFrame, kind: str, fields: list[tuple[str, str]], order: list[str]) -> list[str]:
+        found = table.orderBy(*order).select(*(c for c, _ in fields)).mapInArrow(pack(kind, fields), "part long, name string").collect()  # a row for each task
+        return [r.name for r in sorted(found, key=lambda r: r.part)]
+
+    parts = packed(first, "offsets", [("first", "<u8")], ["id"]), packed(edges, "edges", [("v", "<u4"), ("thr", "<i4")], ["u", "v"])
     with open_binary(path, "w") as f:
         f.write(struct.pack("<QQ", n, m))
-        for r in first.orderBy("id").toLocalIterator():
-            f.write(struct.pack("<Q", r["first"]))
-        f.write(struct.pack("<Q", m))
-        for r in edges.orderBy("u", "v").toLocalIterator():
-            f.write(struct.pack("<Ii", r.v, min(r.thr, 2**31 - 1)))
+        for names, end in zip(parts, (struct.pack("<Q", m), b""), strict=True):
+            for name in names:
+                with open_binary(name) as part:
+                    while data := part.read(1 << 24):
+                        f.write(data)
+            f.write(end)

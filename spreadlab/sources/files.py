@@ -4,7 +4,16 @@ from __future__ import annotations
 
 
 def open_binary(uri: str, mode: str = "r"):
+    """An open file; a file that is written gets its folder."""
+    import posixpath
+    import re
+
     from pyarrow import fs
 
+    if re.match(r"file:/(?!/)", uri):
+        uri = "file://" + uri[5:]
     files, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-    return files.open_input_file(path) if mode == "r" else files.open_output_stream(path)
+    if mode == "r":
+        return files.open_input_file(path)
+    files.create_dir(posixpath.dirname(path), recursive=True)
+    return files.open_output_stream(path)

@@ -33,6 +33,24 @@ def write_seeds(result: DataFrame, path: str, columns: int = 4, percent: bool =
     result.orderBy("step").select(F.concat_ws("\t", *parts).alias("value")).coalesce(1).write.mode("overwrite").text(path)  # K rows
 
 
+def result_lines(result: DataFrame, columns: int = 4, percent: bool = False) -> list[str]:
+    """The K rows of a result as write_seeds writes them."""
+    out = []
+    for r in result.orderBy("step").collect():  # K rows
+        tail = [f"{r.diag:.2f}%" if percent else f"{r.diag:.0f}"] if columns == 4 else []
+        out.append("\t".join([str(r.seed), f"{r.score:.2f}", f"{r.elapsed:.2f}", *tail]))
+    return out
+
+
+def write_result_file(result: DataFrame, path: str, columns: int = 4, percent: bool = True, fill_rate: float | None = None) -> None:
+    """One text file: a row for each seed and, if a fill rate is given, ``fillrate:`` with it as the last line."""
+    from spreadlab.sources.files import open_binary
+
+    lines = result_lines(result, columns, percent) + ([] if fill_rate is None else [f"fillrate:{fill_rate:.9g}"])
+    with open_binary(path, "w") as f:
+        f.write("".join(f"{x}\n" for x in lines).encode())
+
+
 def read_fill_rates(spark: SparkSession, glob: str) -> DataFrame:
     """(Dataset, Setting, R, Approach, Fillrate) of files dataset_p_method_K_eps_R_sorted.txt whose last line is key:value.
 
