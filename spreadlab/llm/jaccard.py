@@ -12,10 +12,10 @@ exact copies cost one row each and no pairs.  Two classes link when |A & B| >= t
   long (groups of near copies) is tied to a known hub where it is read, with no list gathered.
 * The boundary is the one with the least modelled cost over the histogram of set sizes.
 
-Lists are scanned in two rounds.  In the first, each class is checked against one hub, that with which it shares
-most lists; this settles groups of near copies with one comparison for each copy.  In the second, members of a
-list that are still in different components are checked against each other.  Links that cannot change a
-component are the only ones left unchecked.  Pairs are compared by whole texts, in stars around the one of
+Lists are scanned in rounds.  First, each class is checked against one hub, that with which it shares
+most lists; this settles groups of near copies with one comparison for most copies.  Then it is checked against the
+hubs of its other lists that are still in another component, and at last members of a list that still are in different
+components are checked against each other.  Links that cannot change a component are the only ones left unchecked.  Pairs are compared by whole texts, in stars around the one of
 the two that has more pairs: a text travels once for each pair, and a hub's once for each GROUP members.
 
 A class is known by 64 bits of its set's hash.  Sets that share those bits, but not 64 others or their size, get names of their
@@ -124,13 +124,13 @@ def class_of(g: np.ndarray, bounds: np.ndarray, bits: int = 64, others: dict | N
     return fp
 
 
-_PROFILE = "doc_id long, n long, fp long, sum long, e long, k long"
+_PROFILE = "doc_id long, n long, fp long, sum long, e long, k long, share long"
 
 
 def profile(batches, n_words: int, bits: int):
     """Three kinds of row: (doc_id, n, fp, sum) of each document, with the check of its set; (e, k, fp, n) of each element that
-    k > 1 of the classes in a window of this partition hold, with one of those classes; and the same with
-    k = -1 of each element of the classes in the sample.  A last row without fp has the postings (k) and how many of them
+    k > 1 of the classes in a window of this partition hold, with that of those classes of whose elements most (share, in a thousand) are in others
+    of the window, too: among near copies the one that is closest to all; and the same with k = -1 of each element of the classes in the sample.  A last row without fp has the postings (k) and how many of them
     repeat an element (n).
 
     Counts are kept for WINDOW elements at once; what they miss only moves an element in the order.
@@ -139,8 +139,8 @@ def profile(batches, n_words: int, bits: int):
     window: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = total = repeated = 0
 
-    def elements(e, k, fp, n):
-        return pa.record_batch({"doc_id": pa.nulls(len(e), pa.int64()), "n": pa.array(n.astype(np.int64)), "fp": pa.array(fp.view(np.int64)), "sum": pa.nulls(len(e), pa.int64()), "e": pa.array(e.view(np.int64)), "k": pa.array(k.astype(np.int64))})
+    def elements(e, k, fp, n, share):
+        return pa.record_batch({"doc_id": pa.nulls(len(e), pa.int64()), "n": pa.array(n.astype(np.int64)), "fp": pa.array(fp.view(np.int64)), "sum": pa.nulls(len(e), pa.int64()), "e": pa.array(e.view(np.int64)), "k": pa.array(k.astype(np.int64)), "share": pa.array(share.astype(np.int64))})
 
     def counted():
         e, fp, n = (np.concatenate(x) for x in zip(*window, strict=True))
@@ -149,20 +149,23 @@ def profile(batches, n_words: int, bits: int):
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         k = np.diff(np.append(first, len(s)))
         many = k > 1
-        at = order[first[many]]
-        cls = np.searchsorted(np.cumsum(n), at, side="right")
-        return elements(s[first[many]], k[many], fp[cls], n[cls]), len(s), int((k - 1).sum())
+        again = np.empty(len(s), bool)
+        again[order] = np.repeat(many, k)
+        own = np.repeat(np.arange(len(n)), n)
+        share = (1000 * np.bincount(own, again, len(n)) / np.maximum(n, 1)).astype(np.int64)
+        cls = np.maximum.reduceat((share[own] << 32 | own)[order], first)[many] & 0xFFFFFFFF if len(s) else first
+        return elements(s[first[many]], k[many], fp[cls], n[cls], share[cls]), len(s), int((k - 1).sum())
 
     for batch in batches:
         for lo, hi, buf, at in T.chunks(_column(batch, "text")):
             g, bounds = T.shingle_sets(buf, at, n_words)
             fp, n = class_of(g, bounds, bits), np.diff(bounds)
             none = pa.nulls(hi - lo, pa.int64())
-            yield pa.record_batch({"doc_id": _column(batch, "doc_id").slice(lo, hi - lo), "n": pa.array(n.astype(np.int64)), "fp": pa.array(fp.view(np.int64)), "sum": pa.array(check_of(g, bounds).view(np.int64)), "e": none, "k": none})
+            yield pa.record_batch({"doc_id": _column(batch, "doc_id").slice(lo, hi - lo), "n": pa.array(n.astype(np.int64)), "fp": pa.array(fp.view(np.int64)), "sum": pa.array(check_of(g, bounds).view(np.int64)), "e": none, "k": none, "share": none})
             new = np.array([x != 0 and not (x in seen or seen.add(x)) for x in fp.tolist()], bool)
             shown = np.repeat(new & (T.mix(fp + T.M1) % np.uint64(SAMPLE) == 0), n)
             if shown.any():
-                yield elements(g[shown], np.full(int(shown.sum()), -1), np.repeat(fp, n)[shown], np.repeat(n, n)[shown])
+                yield elements(g[shown], np.full(int(shown.sum()), -1), np.repeat(fp, n)[shown], np.repeat(n, n)[shown], np.zeros(int(shown.sum())))
             window.append((g[np.repeat(new, n)], fp[new], n[new]))
             held += len(window[-1][0])
             if held > WINDOW:
@@ -174,7 +177,7 @@ def profile(batches, n_words: int, bits: int):
         yield out
         total, repeated = total + x, repeated + y
     one = pa.nulls(1, pa.int64())
-    yield pa.record_batch({"doc_id": one, "n": pa.array([repeated], pa.int64()), "fp": one, "sum": one, "e": one, "k": pa.array([total], pa.int64())})
+    yield pa.record_batch({"doc_id": one, "n": pa.array([repeated], pa.int64()), "fp": one, "sum": one, "e": one, "k": pa.array([total], pa.int64()), "share": one})
 
 
 #: kind of a posted row: a subset key of the smaller, the larger or both sizes; a list's member; a member of a frequent element's list.
@@ -329,10 +332,10 @@ def scan(batches, num: int, den: int, boundary: int):
             np.minimum(lists[name][3], at, out=lists[name][3])
             continue
         lists[name] = (int(key[s]), own, sizes, at.copy())
-        hub = int(own.argmin())
-        near = fits(sizes, sizes[hub], num, den, boundary)
-        near[hub] = False
-        pairs.append(np.stack([np.full(int(near.sum()), own[hub]), own[near]], axis=1))
+        for hub in {int(np.lexsort((own, at))[0]), int(own.argmin())}:  # the one with fewest rare elements is closest to all near copies
+            near = fits(sizes, sizes[hub], num, den, boundary)
+            near[hub] = False
+            pairs.append(np.stack([np.full(int(near.sum()), own[hub]), own[near]], axis=1))
     if pairs:
         yield _pairs(np.concatenate(pairs), 0)
     kept = list(lists.values())
@@ -515,7 +518,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = {"bits": name_bits, "others": others}
 
     shown = F.sum(F.when(F.col("k") < 0, 1).otherwise(0))
-    counted = seen.where("e is not null").groupBy("e").agg(F.sum(F.when(F.col("k") > 0, F.col("k")).otherwise(0)).alias("k"), (SAMPLE * F.when(shown >= SEEN, shown).otherwise(0)).alias("sampled"), F.min(F.struct("fp", "n")).alias("hub"))
+    counted = seen.where("e is not null").groupBy("e").agg(F.sum(F.when(F.col("k") > 0, F.col("k")).otherwise(0)).alias("k"), (SAMPLE * F.when(shown >= SEEN, shown).otherwise(0)).alias("sampled"), F.max(F.struct("share", "fp", "n")).alias("hub"))
     counted = counted.select("e", F.greatest("k", "sampled").alias("k"), "hub.fp", "hub.n").where(f"k >= {FREQUENT}")
     top = counted.orderBy(F.desc("k"), "e").limit(MAX_FREQUENT).toArrow()
     e = top["e"].to_numpy().astype(np.int64).view(np.uint64)
@@ -537,21 +540,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = scanned.where("what = 1").select("a", "b").unionByName(spool(_compared(pairs=spool(_pruned(first, prefixes, num, den), "near"), **compare), "links"))
     comp = spool(connected(links), "components")
 
-    apart = met.where("what = 4").select("a", "b").join(first, ["a", "b"], "left_anti")
-    for side in "ab":
-        apart = apart.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
-    apart = apart.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    rest = spool(_apart(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), comp), "rest")
+    near = spool(_pruned(rest, prefixes, num, den), "near")
+    more = spool(_compared(pairs=near, **compare), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp = spool(connected(links), "components")
+
     lists = scanned.where("what = 2").select("key", F.col("a").alias("fp"), "n", "pos")
-    second = _pruned(spool(apart, "apart"), prefixes, num, den).unionByName(_residual(lists.distinct(), comp, prefixes, partitions_of(docs), boundary, num, den)).distinct().join(first, ["a", "b"], "left_anti")
-    more = spool(_compared(pairs=spool(second, "second"), **compare), "links2")
+    second = _residual(lists.distinct(), comp, prefixes, partitions_of(docs), boundary, num, den).join(first, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
+    more = spool(_compared(pairs=spool(second, "second"), **compare), "links")
     if not more.isEmpty():
-        comp = spool(connected(links.unionByName(more)), "components2")
+        comp = spool(connected(links.unionByName(more)), "components")
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = named.select("fp", "comp").join(least, "comp").select("fp", "component_id")
     return rows.join(by_class, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes are in different components so far."""
+    for side in "ab":
+        pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
+    return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+
 def _told_apart(rows: DataFrame) -> tuple[DataFrame, dict]:
     """rows (doc_id, n, fp) with a name for each set, and the names of sets that had shared theirs: of 64-bit names a few in 10 ** 10."""
     one = F.struct("sum", "n")
