@@ -4,12 +4,12 @@ Texts are cut at blanks, tabs and line ends into words, which no token crosses (
 space), so a text's ids are its words' ids in order.
 
 1. Each input partition numbers its distinct words by first appearance, in blocks of about ``LOCAL`` words, and sends
-   them on as (word, block, number).
-2. Sorted by word, the words of all blocks meet: each distinct word of the corpus is encoded once, and its ids go
-   back to every (block, number) that asked.  A word has one row for each block at most, however often it comes.
-3. The answers of a block, by number, make its dictionary, a few MB in a file of the shared folder.  The
-   texts are read again, their words numbered in the same way, and ids join back by position.  A block whose words are
-   not those that were numbered before (an input that changes between two reads) is an error.
+   each block's words on, packed by hash into buckets.
+2. A bucket has all rows of its words: each distinct word of the corpus is encoded once there, and the ids of a block's words
+   go back in the order in which these came.  A word has one place in each block, however often it comes.
+3. A block's answers are its dictionary, in a file of the shared folder.  The texts are read again, their words numbered in the
+   same way, and ids join back by position.  A block whose words are not those that were numbered before (an input
+   that changes between two reads) is an error.
 
 Decoding joins each id with the vocabulary's table of pieces.
 
@@ -25,6 +25,8 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spreadlab.llm import _text as T
 from spreadlab.llm._session import partitions_of, shared_dir, shipped, unused
 
-#: Distinct words from which a block is closed after a text; bits of a block's number within its partition.
-LOCAL, SUB = 250_000, 24
+#: Distinct words from which a block is closed after a text; bits of a block's number within its partition; words of which ids are gathered at once.
+LOCAL, SUB, RUN = 400_000, 24, 1 << 18
 _SPACES = str.maketrans("\n\t\r", "   ")
 _TOKENIZERS: dict[str, object] = {}
-# Fixed values of the dictionary files.
-MAGIC, ENTRY = b"WORDDIC1", np.dtype([("block", "<i8"), ("at", "<i8"), ("size", "<i8"), ("raw", "<i8"), ("words", "<i8"), ("check", "<i8")])
+# Fixed values of the dictionary files, and of a packed answer's head: bucket, words, check of the words, bytes packed and unpacked.
+MAGIC, ENTRY, HEAD = b"WORDDIC1", np.dtype([("block", "<i8"), ("at", "<i8"), ("size", "<i8")]), struct.Struct("<IIIII")
 
 
 def tokenizer(path: str):
@@ -98,23 +101,44 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def requests(batches, local: int):
-    """(word, block, at) of each distinct word of each block, and a row without word that has their check."""
-    numbers: dict[str, int] = {}
+class Numbers(dict):
+    """The number of each word: how many others came before it."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def buckets(words: list[str], n: int):
+    """(bucket, places of its words) in ascending order; within a bucket words keep their order."""
+    buf, at = T.flat(pa.array(words, pa.large_string()))
+    bucket = (T.spans_hash(buf, at[:-1], at[1:]) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    for places in np.split(order, cut) if len(order) else []:
+        yield int(bucket[places[0]]), places
+
+
+def requests(batches, local: int, n: int):
+    """(bucket, block, words) of each block: its distinct words of each bucket, packed."""
+    codec, numbers = pa.Codec("zstd", 1), Numbers()
     part = sub = 0
 
     def block():
-        words = list(numbers)
-        for lo in range(0, len(words), 10_000):
-            some = words[lo : lo + 10_000]
-            yield pa.record_batch({"word": pa.array(some, pa.string()), "block": pa.array(np.full(len(some), part << SUB | sub)), "at": pa.array(np.arange(lo, lo + len(some), dtype=np.int64))})
-        yield pa.record_batch({"word": pa.nulls(1, pa.string()), "block": pa.array([part << SUB | sub]), "at": pa.array([len(words) << 32 | check(words)])})
+        words, held = np.array(list(numbers), object), []
+        for bucket, places in buckets(list(numbers), n):
+            raw = "\n".join(words[places]).encode()
+            held.append((bucket, part << SUB | sub, struct.pack("<I", len(raw)) + codec.compress(raw, asbytes=True)))
+            if len(held) >= 256:
+                yield _asked(held)
+                held.clear()
+        if held:
+            yield _asked(held)
 
     for batch in batches:
         for x in _column(batch, "text"):
             part = _column(batch, "part")[0].as_py()
-            for w in dict.fromkeys([w for w in cut(x.as_py() or "") if w not in numbers]):
-                numbers[w] = len(numbers)
+            deque(map(numbers.__getitem__, cut(x.as_py() or "")), maxlen=0)
             if len(numbers) >= local:
                 yield from block()
                 numbers.clear()
@@ -123,29 +147,29 @@ def requests(batches, local: int):
         yield from block()
 
 
-def check(words) -> int:
-    return zlib.crc32("\n".join(words).encode())
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    bucket, block, words = zip(*rows, strict=True)
+    return pa.record_batch({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.int64()), "words": pa.array(words, pa.binary())})
 
 
 def encode_words(batches, path: str, width: int):
-    """(block, at, ids) of requests sorted by word: neighbouring equal words are encoded once."""
-    t, last, last_ids = tokenizer(path), None, b""
+    """(block, bucket, answer) of requests sorted by bucket: each distinct word of a bucket is encoded once."""
+    t, codec, kind = tokenizer(path), pa.Codec("zstd", 1), "H" if width == 2 else "I"
+    current, table = None, {}
     for batch in batches:
-        words, block, at = (_column(batch, c) for c in ("word", "block", "at"))
-        marks = words.null_count  # rows without word come first
-        if marks:
-            yield pa.record_batch({"block": block.slice(0, marks), "at": pa.array(np.full(marks, 2**31 - 1, np.int64)), "ids": pa.array([struct.pack("<q", x) for x in at.slice(0, marks).to_pylist()], pa.binary())})
-            words, block, at = (c.slice(marks) for c in (words, block, at))
-        if not len(words):
-            continue
-        runs = pc.run_end_encode(words)
-        distinct, size = runs.values.to_pylist(), np.diff(runs.run_ends.to_numpy(), prepend=0)
-        todo = distinct[1:] if distinct[0] == last else distinct
-        ids = [np.array(e.ids, f"<u{width}").tobytes() for e in t.encode_batch_fast(todo, add_special_tokens=False)]
-        if len(todo) < len(distinct):
-            ids.insert(0, last_ids)
-        last, last_ids = distinct[-1], ids[-1]
-        yield pa.record_batch({"block": block, "at": at, "ids": pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), size)))})
+        out = []
+        for bucket, packed in zip(_column(batch, "bucket").to_pylist(), _column(batch, "words").to_pylist(), strict=True):
+            if bucket != current:
+                current, table = bucket, {}
+            raw = codec.decompress(packed[4:], struct.unpack_from("<I", packed)[0], asbytes=True)
+            words = raw.decode().split("\n")
+            new = [w for w in words if w not in table]
+            table.update(zip(new, [array(kind, e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+            ids = [table[w] for w in words]
+            answer = np.array([len(x) // width for x in ids], "<u4").tobytes() + b"".join(ids)
+            small = codec.compress(answer, asbytes=True)
+            out.append(HEAD.pack(bucket, len(words), zlib.crc32(raw), len(small), len(answer)) + small)
+        yield pa.record_batch({"block": _column(batch, "block"), "bucket": _column(batch, "bucket"), "answer": pa.array(out, pa.binary())})
 
 
 def place(files, draft: str, name: str) -> None:
@@ -159,54 +183,32 @@ def place(files, draft: str, name: str) -> None:
 
 
 def write_dictionaries(batches, folder: str):
-    """Answers, sorted by (slot, block, at), to a file for each slot; (blocks) of each file."""
+    """Answers, sorted by (slot, block, bucket), to a file for each slot; (files) of each."""
     from spreadlab.llm.token_store import filesystem
 
     files, root = filesystem(folder)
-    codec = pa.Codec("zstd", 1)
-    slot = out = draft = block = None
-    entries: list[tuple] = []
-    sizes: list[np.ndarray] = []
-    data: list[bytes] = []
-
-    def end_block():
-        lengths = np.concatenate(sizes)
-        n = len(lengths) - 1  # the last row is the block's check
-        whole = b"".join(data)
-        (want,) = struct.unpack("<q", whole[-8:])
-        if want >> 32 != n:
-            raise ValueError("a block's words are not all there")
-        raw = lengths[:-1].astype("<u4").tobytes() + whole[:-8]
-        packed = codec.compress(raw, asbytes=True)
-        entries.append((block, out.tell(), len(packed), len(raw), n, want & 0xFFFFFFFF))
-        out.write(packed)
-        sizes.clear()
-        data.clear()
+    slot = out = draft = None
+    entries: list[list[int]] = []
 
     def end_slot():
-        end_block()
-        out.write(np.array(entries, ENTRY).tobytes() + struct.pack("<Q", len(entries)) + MAGIC)
+        out.write(np.array(list(map(tuple, entries)), ENTRY).tobytes() + struct.pack("<Q", len(entries)) + MAGIC)
         out.close()
         place(files, draft, f"{root}/{_name(slot)}")
         entries.clear()
 
     for batch in batches:
-        slots, blocks, ids = (_column(batch, c) for c in ("slot", "block", "ids"))
-        slots, blocks = slots.to_numpy(), blocks.to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (slots[1:] != slots[:-1])]))
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
-            if out is not None and (slots[a], blocks[a]) != (slot, block):
-                end_block() if slots[a] == slot else end_slot()
-            if slots[a] != slot:
-                slot = int(slots[a])
+        for s, block, answer in zip(*(_column(batch, c).to_pylist() for c in ("slot", "block", "answer")), strict=True):
+            if s != slot:
+                if out is not None:
+                    end_slot()
+                slot = s
                 files.create_dir(root, recursive=True)
                 draft = f"{root}/.{_name(slot)}.{uuid.uuid4().hex}"
                 out = files.open_output_stream(draft)
-            block = int(blocks[a])
-            some = ids.slice(a, b - a)
-            at = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
-            sizes.append(np.diff(at))
-            data.append(some.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes() if at[-1] > at[0] else b"")
+            if not entries or entries[-1][0] != block:
+                entries.append([block, out.tell(), 0])
+            out.write(answer)
+            entries[-1][2] += len(answer)
     if out is not None:
         end_slot()
         yield pa.record_batch({"files": pa.array([1], pa.int64())})
@@ -220,71 +222,88 @@ def _slot(part: int, sub: int, slots: int) -> int:
     return (part + 7919 * sub) % slots
 
 
-class Dictionary:
-    """The words of a block, numbered as they come, and their ids."""
-
-    def __init__(self, folder: str, part: int, sub: int, slots: int):
-        from spreadlab.llm.token_store import filesystem
-
-        files, root = filesystem(folder)
-        block = part << SUB | sub
-        with files.open_input_file(f"{root}/{_name(_slot(part, sub, slots))}") as f:
-            f.seek(f.size() - 16)
-            count, magic = struct.unpack("<Q8s", f.read(16))
-            if magic != MAGIC:
-                raise ValueError("not a file of words")
-            f.seek(f.size() - 16 - count * ENTRY.itemsize)
-            entry = np.frombuffer(f.read(count * ENTRY.itemsize), ENTRY)
-            entry = entry[entry["block"] == block]
-            if not len(entry):
-                raise ValueError("the input is not the one whose words were numbered")
-            f.seek(int(entry["at"][0]))
-            raw = pa.Codec("zstd", 1).decompress(f.read(int(entry["size"][0])), int(entry["raw"][0]), asbytes=True)
-        n, self.check = int(entry["words"][0]), int(entry["check"][0])
-        self.at = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)]).tolist()
-        self.ids, self.table = memoryview(raw)[4 * n :], {}
-
-    def encode(self, words: list[str]) -> bytes:
-        table, at = self.table, self.at
-        for w in dict.fromkeys([w for w in words if w not in table]):
-            k = len(table)
-            if k + 1 >= len(at):
-                raise ValueError("the input is not the one whose words were numbered")
-            table[w] = bytes(self.ids[at[k] : at[k + 1]])
-        return b"".join(map(table.__getitem__, words))
-
-    def close(self) -> None:
-        if len(self.table) != len(self.at) - 1 or check(self.table) != self.check:
-            raise ValueError("the input is not the one whose words were numbered")
+CHANGED = "the input is not the one whose words were numbered: it must read the same twice"
+
+
+def dictionary(folder: str, block: int, slots: int, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, count, ids): where the ids of each word of a block begin, how many there are, and all of them."""
+    from pyarrow import fs
+
+    from spreadlab.llm.token_store import filesystem
+
+    files, root = filesystem(folder)
+    name = f"{root}/{_name(_slot(block >> SUB, block & ((1 << SUB) - 1), slots))}"
+    if files.get_file_info(name).type == fs.FileType.NotFound:
+        raise ValueError(CHANGED)
+    with files.open_input_file(name) as f:
+        f.seek(f.size() - 16)
+        count, magic = struct.unpack("<Q8s", f.read(16))
+        if magic != MAGIC:
+            raise ValueError("not a file of words")
+        f.seek(f.size() - 16 - count * ENTRY.itemsize)
+        entry = np.frombuffer(f.read(count * ENTRY.itemsize), ENTRY)
+        entry = entry[entry["block"] == block]
+        if not len(entry):
+            raise ValueError(CHANGED)
+        f.seek(int(entry["at"][0]))
+        data = f.read(int(entry["size"][0]))
+    codec, spelt = pa.Codec("zstd", 1), np.array(words, object)
+    first, size, ids, base, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0, 0
+    for bucket, places in buckets(words, slots):
+        if at >= len(data):
+            raise ValueError(CHANGED)
+        b, n, check, packed, whole = HEAD.unpack_from(data, at)
+        if (b, n, check) != (bucket, len(places), zlib.crc32("\n".join(spelt[places]).encode())):
+            raise ValueError(CHANGED)
+        raw = codec.decompress(data[at + HEAD.size : at + HEAD.size + packed], whole, asbytes=True)
+        at += HEAD.size + packed
+        counts = np.frombuffer(raw, "<u4", n).astype(np.int64)
+        ids.append(np.frombuffer(raw, f"<u{width}", offset=4 * n))
+        size[places], first[places] = counts, base + np.cumsum(counts) - counts
+        base += len(ids[-1])
+    if at != len(data):
+        raise ValueError(CHANGED)
+    return first, size, np.concatenate(ids) if ids else np.zeros(0, f"<u{width}")
 
 
 def encoded(batches, folder: str, local: int, slots: int, width: int, field: str, part_field: str):
-    """(rows, ids of their texts as a list array): runs of rows of about 2 MB of text."""
-    book, sub, part = None, 0, 0
-    for batch in batches:
-        done, held, some = 0, 0, []
+    """(rows, ids of their texts as a list array) in runs of about RUN words.
 
-        def run(done, some):
-            at = np.concatenate([[0], np.cumsum([len(x) // width for x in some])]).astype(np.int32)
-            flat = np.frombuffer(b"".join(some), f"<u{width}").astype("<i4")
-            return batch.slice(done, len(some)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))  # noqa: B023
+    The texts of a block are held as the numbers of their words until its last one is read.
+    """
+    numbers, held, sub, part = Numbers(), [], 0, 0
+
+    def block():
+        first, size, ids = dictionary(folder, part << SUB | sub, slots, list(numbers), width)
+        for rows, texts in held:
+            lo = 0
+            while lo < len(texts):
+                hi, words = lo, 0
+                while hi < len(texts) and (hi == lo or words + len(texts[hi]) <= RUN):
+                    words, hi = words + len(texts[hi]), hi + 1
+                which = np.concatenate(texts[lo:hi])
+                n = size[which]
+                end = np.cumsum(n)
+                flat = ids[np.repeat(first[which] - (end - n), n) + np.arange(int(n.sum()))].astype("<i4")
+                at = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum([len(x) for x in texts[lo:hi]])])]
+                yield rows.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+                lo = hi
 
+    for batch in batches:
+        done, texts = 0, []
         for x in _column(batch, field):
             part = _column(batch, part_field)[0].as_py()
-            book = book or Dictionary(folder, part, sub, slots)
-            text = x.as_py() or ""
-            some.append(book.encode(cut(text)))
-            held += len(text)
-            if len(book.table) >= local:
-                book.close()
-                book, sub = None, sub + 1
-            if held >= 1 << 21:
-                yield run(done, some)
-                done, held, some = done + len(some), 0, []
-        if some:
-            yield run(done, some)
-    if book is not None:
-        book.close()
+            words = cut(x.as_py() or "")
+            texts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            if len(numbers) >= local:
+                held.append((batch.slice(done, len(texts)), texts))
+                yield from block()
+                done, texts, held, sub = done + len(texts), [], [], sub + 1
+                numbers.clear()
+        if texts:
+            held.append((batch.slice(done, len(texts)), texts))
+    if held:
+        yield from block()
 
 
 def _digests(ids: pa.ListArray, table: pa.Array) -> list[pa.Array]:
@@ -331,10 +350,10 @@ def dictionaries(rows: DataFrame, path: str, local: int) -> dict:
     """Encodes the distinct words of rows (part, text) and writes each block's; what ``encoded`` needs to read them."""
     vouch(path)
     width, n, folder = (2 if len(pieces(path)) <= 1 << 16 else 4), partitions_of(rows), shared_dir(rows.sparkSession)
-    asked = rows.select("part", "text").mapInArrow(shipped(requests, local=local), "word string, block long, at long")
-    got = asked.repartition(n, "word", F.when(F.col("word").isNull(), F.col("block"))).sortWithinPartitions(F.asc_nulls_first("word")).mapInArrow(shipped(encode_words, path=path, width=width), "block long, at long, ids binary")
+    asked = rows.select("part", "text").mapInArrow(shipped(requests, local=local, n=n), "bucket int, block long, words binary")
+    got = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shipped(encode_words, path=path, width=width), "block long, bucket int, answer binary")
     slot = F.pmod(F.shiftright("block", SUB) + 7919 * F.col("block").bitwiseAND((1 << SUB) - 1), F.lit(n)).cast("int")
-    got = got.withColumn("slot", slot).repartition(n, "slot").sortWithinPartitions("slot", "block", "at")
+    got = got.withColumn("slot", slot).repartition(n, "slot").sortWithinPartitions("slot", "block", "bucket")
     got.mapInArrow(shipped(write_dictionaries, folder=folder), "files long").groupBy().sum("files").first()
     return {"folder": folder, "local": local, "slots": n, "width": width}
 
