@@ -21,6 +21,7 @@ as they come.  An empty table gives no shards and an empty result.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import uuid
@@ -42,7 +43,7 @@ FOOTER = struct.Struct("<QQQQQQ8s")  # ids, bytes of an id, records, slots, leve
 RECORD = np.dtype([("key", "<i8"), ("null", "<u8"), ("start", "<u8"), ("count", "<u8")])
 SLOT = np.dtype([("fingerprint", "<u4"), ("record", "<u4"), ("repeats", "<u8")])
 #: Bits of a level for each key on it; parts of texts of which ids are held before older ones may go; bytes of ids in a batch that is read.
-GAMMA, LOCAL, BATCH = 2, 400_000, 4 << 20
+GAMMA, LOCAL, BATCH = 2, 700_000, 4 << 20
 
 
 # ---- minimal perfect hash -------------------------------------------------------------------
@@ -178,42 +179,63 @@ class Shard:
 #: A blank between two characters that are no white space: a token always starts there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: What makes a text go the careful way: white space other than single blanks and line ends, found by plain search.
-_ODD = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_ODD_ASCII = ("  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31)))
+_ODD = (*_ODD_ASCII, *(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+#: A part that the pattern cuts into one word of plain letters and one sign: the library's model takes the word as it is.
+_PLAIN = re.compile("([A-Za-z]+)([.,;:!?]?)").fullmatch
+
+
+class Parts(dict):
+    """The ids of each part, encoded when it first comes.  Parts that were not met for LOCAL others are forgotten."""
+
+    def __init__(self, path: str, kind: str):
+        t = tokenizer(path)
+        self.older, self.kind, self.encode, self.word = {}, kind, t.encode, None
+        if t.normalizer is None and re.match(r"ByteLevel\(add_prefix_space=False.*use_regex=True", str(t.pre_tokenizer)):
+            self.word = t.model.tokenize
+            self.sign = {c: array(kind, t.encode(c, add_special_tokens=False).ids).tobytes() for c in ("", *".,;:!?")}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            plain = self.word and _PLAIN(part)
+            if plain:
+                ids = array(self.kind, [x.id for x in self.word("\u0120" + plain[1])]).tobytes() + self.sign[plain[2]]
+            else:
+                whole = part if part[0] == "\n" else part[1:] if part[0] == " " else " " + part
+                ids = array(self.kind, self.encode(whole, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > LOCAL:
+            self.older = dict(self)
+            self.clear()
 
 
 class ByteCoder:
     """Ids by part for a byte-level BPE, in which a token takes at most the one blank before it.
 
-    Texts are cut only where the vocabulary's pattern cannot join both sides; each part is encoded by the tokenizers
-    library, and its ids are held until LOCAL newer parts have come and it was not met among them.
+    Texts are cut only where the vocabulary's pattern cannot join both sides, and each part is encoded by the tokenizers library.
     """
 
     def __init__(self, path: str, width: int):
-        self.path, self.kind, self.table, self.older = path, "H" if width == 2 else "I", {}, {}
-
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.table) > LOCAL:
-            self.table, self.older = {}, self.table
-        table, older = self.table, self.older
-        new = parts.difference(table)
-        table.update([(w, older[w]) for w in new if w in older])
-        new = [w for w in new if w not in table]
-        whole = [w if w[0] == "\n" else w[1:] if w[0] == " " else " " + w for w in new]
-        got = tokenizer(self.path).encode_batch_fast(whole, add_special_tokens=False)
-        table.update(zip(new, [array(self.kind, e.ids).tobytes() for e in got], strict=True))
+        self.parts = Parts(path, "H" if width == 2 else "I")
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """Names of the parts that make up the text: the first one after a blank, those after a line end with it, all others without the blank before them."""
-        if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _ODD):
+        if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in (_ODD_ASCII if text.isascii() else _ODD)):
             return _named(text.replace("\n", " \n").split(" "))
         return _named(_CUT.split(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.cut(t) for t in texts]
-        self._learn(set().union(*parts))
-        get = self.table.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        get = self.parts.__getitem__
+        out = [b"".join(map(get, self.cut(t))) for t in texts]
+        self.parts.age()
+        return out
 
 
 def _named(parts: list[str]) -> list[str]:
@@ -252,6 +274,7 @@ def write_shards(batches, path: str, folder: str, width: int, end_id: int) -> It
     files, root = filesystem(folder)
     writer, coder = None, _CODERS.setdefault((path, width), ByteCoder(path, width))  # kept by the worker process
     end = np.array([end_id], f"<u{width}").tobytes()
+    gc.disable()  # parts make no cycles; at its end the task collects
     for batch in batches:
         for keys, texts in _slices(batch):
             if writer is None:
@@ -262,6 +285,7 @@ def write_shards(batches, path: str, folder: str, width: int, end_id: int) -> It
                 writer = ShardWriter(stream, width)
             for key, ids in zip(keys, coder.encode(texts), strict=True):
                 writer.add(key, ids + end)
+    gc.enable()
     if writer is not None:
         writer.close()
         stream.close()
