@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -334,3 +335,71 @@ def test_long_dialogues_and_forged_marks(spark):
         assert [r.text[a:b] for a, b in spans] == own
         heads = re.findall(r"<\|im_start\|>(.*)\n", r.text)
         assert len(heads) == 600 == r.text.count("<|im_end|>") and heads.count("assistant") == 200
+
+
+def plain_contamination(rows, items):
+    def words(x):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+    wins = {}
+    for k, item in items:
+        t = words(item)
+        for win in [t[a : a + 13] for a in range(max(len(t) - 12, 1))] if t else []:
+            wins.setdefault(tuple(win), set()).add(k)
+    sizes, out = {len(w) for w in wins}, []
+    for i, text in rows:
+        w, hit, own = words(text), set(), set()
+        for n in sizes:
+            for a in range(len(w) - n + 1):
+                if (found := wins.get(tuple(w[a : a + n]))) is not None:
+                    hit |= set(range(a, a + n))
+                    own |= {str(k) for k in found if k is not None}
+        out.append((i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [None, 20_000])
+def test_decontamination_of_long_texts_and_in_blocks(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(12)
+    word = lambda: "v" + str(rng.randrange(4000))
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 13, 20, 60])))) for i in range(40)] + [(50, "same " * 40), (51, "same " * 20), (None, "no id at all here")]
+    rows = []
+    for i in range(30):
+        w = [word() for _ in range(rng.choice([5, 50, 3000]))]
+        for _ in range(rng.randrange(3)):
+            w[len(w) // 2 : len(w) // 2] = rng.choice(items)[1].split()
+        rows.append((i, " ".join(w)))
+    rows += [(100, "same " * 20_000), (101, "x" * 300_000), (None, None), (0, rows[0][1])]
+    docs = spark.createDataFrame([(*r, "a", "b", 1, 2) for r in rows], "doc_id long, text string, key string, mark string, _key int, row int").repartition(3)
+    bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, h int")
+    got = decontaminate.contamination(docs, bench)
+    want = plain_contamination(rows, items)
+    assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == sorted(want, key=str)
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - sum(x[-1] for x in want)
+    cut = decontaminate.decontaminate(docs, bench, remove="spans")
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    left = {r.doc_id: r.text for r in cut.where("doc_id between 1 and 29").collect()}
+    for i, n, hit, *_ in want[1:30]:
+        assert len(left[i].split()) == n - hit
+
+
+def test_decontamination_by_very_many_windows(spark, monkeypatch):
+    bench = spark.range(200_000).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(1, 13), k -> concat('q', id, 'x', k))) as text")
+    docs = spark.createDataFrame([(0, "so " + " ".join(f"q77x{k}" for k in range(1, 14))), (1, " ".join(f"q77x{k}" for k in range(1, 13))), (2, "clean")], "doc_id long, text string")
+    out = decontaminate.contamination(docs, bench)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in out.collect()} == {0: (13, 1), 1: (0, 0), 2: (0, 0)}
+    assert len(out._jdf.queryExecution().logical().toString()) < 100_000
+
+
+@pytest.mark.parametrize("local", [1, 400_000])
+def test_an_input_that_changes_between_reads_is_an_error(spark, local, tmp_path):
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("part", F.spark_partition_id())
+    book = bpe.dictionaries(rows, WORD, local)
+    other = [pa.record_batch({"doc_id": pa.array([1, 2]), "text": pa.array(["a b c", "d f"]), "part": pa.array([0, 0], pa.int32())})]
+    with pytest.raises(ValueError, match="read the same twice"):
+        list(bpe.encoded(other, field="text", part_field="part", **book))

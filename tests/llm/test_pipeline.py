@@ -5,9 +5,12 @@ import re
 import corpus_pipeline as P
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_jaccard import brute
 from tokenizers import Tokenizer
 
+from spreadlab.llm import secret_scan, toxicity
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -37,6 +40,35 @@ def test_toxic_documents_go(spark, stages):
     assert not gone & clean and (gone & toxic or not toxic)
 
 
+def test_toxicity_is_decided_by_the_score(spark, stages):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(stages["input"], labels, F.lit(True))
+    scores = {r.doc_id: r.score for r in toxicity.score(stages["input"], model).collect()}
+    assert ids(stages["toxicity"]) == sorted(i for i, x in scores.items() if x < 0.7)
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    caught = [scores[i] >= 0.7 for i, y in truth.items() if y == 1 and i in scores]
+    assert sum(caught) >= 0.8 * len(caught)
+
+
+ODD = [(None, None), (None, "no id, some words of its own that nobody else has"), (None, "no id, some words of its own that nobody else has"), (7, None), (7, ""), (8, "twice the same words in one row and in another"), (8, "twice the same words in one row and in another"), (9, "é token=abcdefabcdef0 " + "long " * 50_000)]
+
+
+@pytest.mark.parametrize("rows", [[], ODD], ids=["empty", "odd"])
+def test_every_stage_takes_odd_rows(spark, rows, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, part int, fp long"
+    spark.createDataFrame([(i, t, None, None, None, "k", 1, None) for i, t in rows], columns).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    keeps = {"near_duplicates": 1}  # one of the two equal rows of id 8 goes; rows without id stay
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == max(0, len(rows) - keeps.get(name, 0)), name
+        if name != "bpe":
+            assert out.columns == docs.columns
+        else:
+            assert out.columns == [c for c in docs.columns if c != "text"] + ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+            assert out.where("doc_id = 9 and n_tokens >= 50000").count() == min(1, len(rows))
+
+
 def test_one_of_each_group_stays(stages):
     rows = [(r.doc_id, r.text) for r in stages["toxicity"].collect()]
     assert ids(stages["near_duplicates"]) == sorted({c for _, c in brute(rows).values()})
@@ -67,6 +99,15 @@ def test_secrets_are_masked_and_texts_encoded(stages):
     after = {r.doc_id: r.text for r in stages["secrets"].collect()}
     assert before.keys() == after.keys()
     assert not [x for x in after.values() if re.search(r"[0-9a-f]{16,}", x)]
+    keywords = secret_scan.automaton()
+    for i, x in before.items():
+        raw, out, end = x.encode(), b"", 0
+        for a, _, b in secret_scan.spans(raw, keywords):
+            if a >= end:
+                out += raw[end:a] + b"[SECRET]"
+            end = max(end, b)
+        assert after[i] == (out + raw[end:]).decode()
+    assert sum(x != after[i] for i, x in before.items()) > 0
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = stages["bpe"].collect()
     assert {r.doc_id for r in rows} == after.keys()
