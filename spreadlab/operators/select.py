@@ -76,7 +76,7 @@ def _result(spark, rows) -> DataFrame:
 def component_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, batch: int = 64, by_reset: bool = False) -> DataFrame:
     """Gains are sizes of components that no seed covers yet, memoised once; by_reset zeroes covered sizes instead of skipping them."""
     spark, began, n = edges.sparkSession, time.time(), sims.count()
-    labels = spool(S.min_labels(live_edges(edges, sims)))
+    labels = spool(S.min_labels(live_edges(edges, sims)).repartitionByRange("v").sortWithinPartitions("v"))  # few row groups have a candidate
     sizes = spool(S.component_sizes(labels))
     bounds = S.vertex_gains(labels, sizes, vertices, n).select("v", (F.col("total") / n).alias("gain"))
     covered = spark.createDataFrame([], "r int, label long")
@@ -94,7 +94,7 @@ def component_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k:
         every = sims.select("r").join(named, "r", "left").select("r", F.coalesce("label", F.lit(v)).alias("label"))
         covered = spool(covered.unionByName(every).distinct())
         if by_reset:
-            reset = spool(sizes.join(F.broadcast(covered.withColumn("gone", F.lit(True))), ["r", "label"], "left").select("r", "label", F.when(F.col("gone"), 0).otherwise(F.col("cnt")).alias("cnt")))
+            reset = spool(sizes.join(covered.withColumn("gone", F.lit(True)), ["r", "label"], "left").select("r", "label", F.when(F.col("gone"), 0).otherwise(F.col("cnt")).alias("cnt")))
 
     rows, score = [], 0.0
     for step, v, gain, tries in lazy_greedy(bounds, k, rescore, commit, batch):

@@ -26,7 +26,7 @@ _KIND = {"min": np.minimum, "max": np.maximum}
 
 def _tagged(tables: list[DataFrame]) -> DataFrame:
     """(r, kind, x, y) of tables with columns (r, x, y), kind being a table's place."""
-    return reduce(DataFrame.unionByName, (t.select("r", F.lit(k).alias("kind"), F.col("x").cast("double" if dict(t.dtypes)["x"] == "double" else "long").alias("x"), F.col("y")) for k, t in enumerate(tables)))
+    return reduce(DataFrame.unionByName, (t.select("r", F.lit(k).alias("kind"), F.col("x").cast("long").alias("x"), F.col("y")) for k, t in enumerate(tables)))
 
 
 def fits(*tables: DataFrame, rows: int | None = None) -> bool:
@@ -203,11 +203,10 @@ def vertex_gains(labels: DataFrame, sizes: DataFrame, vertices: DataFrame, n_sim
     joined = labels.join(sizes, ["r", "label"])
     held = labels.groupBy("v").agg(F.count("*").alias("held"))
     if covered is not None:
-        # one row for each simulation and seed
-        joined = joined.join(F.broadcast(covered), ["r", "label"], "left_anti")
+        joined = joined.join(covered, ["r", "label"], "left_anti")  # a row for each simulation and seed: Spark goes by its size
     got = joined.groupBy("v").agg(F.sum("cnt").alias("got"))
     out = vertices.select(F.col("id").alias("v")).join(held, "v", "left").join(got, "v", "left").select("v", (F.coalesce("got", F.lit(0)) + F.lit(n_sims) - F.coalesce("held", F.lit(0))).alias("total"))
     if covered is not None:
         single = covered.join(labels.select("r", F.col("v").alias("label"), F.lit(1).alias("has")).distinct(), ["r", "label"], "left").where("has is null").groupBy(F.col("label").alias("v")).agg(F.count("*").alias("own"))
-        out = out.join(F.broadcast(single), "v", "left").select("v", (F.col("total") - F.coalesce("own", F.lit(0))).alias("total"))
+        out = out.join(single, "v", "left").select("v", (F.col("total") - F.coalesce("own", F.lit(0))).alias("total"))
     return out

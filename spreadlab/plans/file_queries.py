@@ -12,6 +12,7 @@ from spreadlab.plans import driver_queries as D
 from spreadlab.plans import experiments
 from spreadlab.session import shared_dir, spool
 from spreadlab.sources import edges, results
+from spreadlab.sources.files import open_binary
 
 VARIANT_SIZE = 100
 
@@ -114,6 +115,29 @@ def _variants(spark: SparkSession) -> DataFrame:
     return above.unionByName(below)
 
 
+def _folder(spark: SparkSession, d: str) -> DataFrame:
+    """Two raw files, prepared by their names' rules: nations with their regions, undirected, and the same with new ids."""
+    raw, out = shared_dir(spark), shared_dir(spark)
+    rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()  # 25 nations
+    for name in ("nations.ungraph.txt", "ego-twitter.txt"):
+        with open_binary(f"{raw}/{name}", "w") as f:
+            f.write("".join(["# nations\n", *(f"{r.n_nationkey + 100} {r.n_regionkey}\n" for r in rows)]).encode())
+    done = experiments.prepare_folder(spark, raw, out, ("0.01",))
+    parts = [_decimal(edges.read_prepared(spark, path)[0]).withColumn("file", F.lit(path.rsplit("/", 1)[-1])) for targets in done.values() for path in targets]
+    return parts[0].unionByName(parts[1])
+
+
+def _defaults(spark: SparkSession, d: str) -> DataFrame:
+    counted = D.counted(spark, d)
+    parts = [prep.weigh(counted, w).select("s", "t", "w", F.lit(w[0]).alias("kind")) for w in (("U", 0.1), ("N", 0.05))]
+    return parts[0].unionByName(parts[1])
+
+
+def _latex(spark: SparkSession, d: str) -> DataFrame:
+    lines = experiments.to_latex(_wide(spark, d)).split("\n")
+    return spark.createDataFrame([(x,) for x in lines if "&" in x], "line string").coalesce(1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raw_lines_files": lambda s, d: edges.raw_lines(s, _raw(s, d)),
     "clean_skip": lambda s, d: prep.clean(D._lines(s, d), skip=7),
@@ -134,6 +158,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "register_by_rounds": _in_rounds,
     "sketch_estimates_harmonic_masked": _masked,
     "sketch_greedy_early_stop_k3": D._select(select.sketch_greedy, rebuild="always", early_stop=1e9),
+    "weighted_order": lambda s, d: edges.raw_lines(s, f"{_weighted(s, d)}/part-*"),
+    "prepared_folder": _folder,
+    "weights_defaults": _defaults,
+    "seeds_offset": lambda s, d: sampling.seeds(s, 64, offset=VARIANT_SIZE),
+    "registers_offset": lambda s, d: sketch.registers(D.vertices(s, d), sampling.seeds(s, D.SIMS), D.SIMS, VARIANT_SIZE),
+    "report_latex": _latex,
     "catalogue": lambda s, d: experiments.catalogue(s).select("file", "is_undirected", "fix_ids"),
 }
 
@@ -145,6 +175,7 @@ _CLEANED = r"x AS (SELECT line, string_split(trim(regexp_replace(value, '\s+', '
 _COUNTED_LINES = f"{_RAW}, {_CLEANED}, both_ways AS (SELECT x[1]::BIGINT AS s, x[2]::BIGINT AS t FROM x WHERE len(x) = 2), counted AS (SELECT s, t, count(*) AS c FROM (SELECT s, t FROM both_ways UNION ALL SELECT t, s FROM both_ways) GROUP BY s, t)"
 _UNIFORM = f"greatest(0.0, least(0.1, 0.0 + 0.1::DOUBLE * {D._HASHED[42]}))"
 _NORMAL = f"greatest(0.0, least(1.0, 0.05::DOUBLE + 0.025::DOUBLE * sqrt(-2.0 * ln(1.0::DOUBLE - {D._HASHED[42]})) * cos(2.0 * pi() * {D._HASHED[43]})))"
+_UNIFORM_DEFAULT = f"greatest(0.05, least(0.1, 0.1 + -0.05::DOUBLE * {D._HASHED[42]}))"
 _REG0 = f"{D._live()}, {D.VERTICES}, reg0 AS (SELECT id AS x, r, (CASE WHEN h = 0 THEN 64 ELSE 64 - length(bin(h)) END)::INT AS val FROM (SELECT id, r, {D.sql_fmix64(f'18446744073709551615 - (id * {D.SIMS} + r + {D.SIMS})::UBIGINT')} AS h FROM vertices, sims))"
 
 
@@ -194,6 +225,15 @@ ORACLE_SQL: dict[str, str] = {
     "register_by_rounds": D.ORACLE_SQL["register_propagation"],
     "sketch_estimates_harmonic_masked": f"WITH {D._harmonic()}, m AS (SELECT x, greatest(val, CASE WHEN r % 2 = 0 THEN 2.0 ELSE -1.0 END) AS val FROM reg) SELECT x AS u, CASE WHEN min(val) = 0 THEN 0.0 ELSE round(count(*) / sum(CASE WHEN val > 0 THEN 1.0::DOUBLE / val END), 9) END AS estimate FROM m GROUP BY x",
     "sketch_greedy_early_stop_k3": f"WITH q AS ({D._sketch_k3('always')}) SELECT step, seed, CASE WHEN step = 2 THEN (SELECT score FROM q WHERE step = 1) ELSE score END AS score FROM q",
+    "weighted_order": f"WITH {D.COUNTED} SELECT row_number() OVER (ORDER BY s, t) - 1 AS line, s || chr(9) || t || chr(9) || {D._weight('0.05')} AS value FROM counted",
+    "prepared_folder": """WITH e AS (SELECT n_nationkey + 100 AS s, n_regionkey AS t, n_nationkey AS k FROM nation),
+p AS (SELECT key, min(p) AS p FROM (SELECT s AS key, 2 * k AS p FROM e UNION ALL SELECT t, 2 * k + 1 FROM e) GROUP BY key), ids AS (SELECT key, row_number() OVER (ORDER BY p, key) - 1 AS id FROM p)
+SELECT s::BIGINT AS s, t::BIGINT AS t, 0.01::DOUBLE AS w, 'nations.ungraph_0.01.txt' AS file FROM (SELECT s, t FROM e UNION ALL SELECT t, s FROM e)
+UNION ALL SELECT a.id, b.id, 0.01::DOUBLE, 'ego-twitter_0.01.txt' FROM e JOIN ids a ON a.key = s JOIN ids b ON b.key = t""",
+    "weights_defaults": f"WITH {D.COUNTED} SELECT s, t, {D._weight(_UNIFORM_DEFAULT)} AS w, 'U' AS kind FROM counted UNION ALL SELECT s, t, {D._weight(_NORMAL)}, 'N' FROM counted",
+    "seeds_offset": f"SELECT r::INT AS r, {D.sql_fmix31(f'r + {VARIANT_SIZE + 1}')} AS x FROM range(64) q(r)",
+    "registers_offset": f"WITH {D.COUNTED}, {D.VERTICES}, {D._sims()} SELECT id AS x, r, (CASE WHEN h = 0 THEN 64 ELSE 64 - length(bin(h)) END)::INT AS val FROM (SELECT id, r, {D.sql_fmix64(f'18446744073709551615 - (id * {D.SIMS} + r + {D.SIMS + VARIANT_SIZE})::UBIGINT')} AS h FROM vertices, sims)",
+    "report_latex": f"WITH w AS ({_pivot_wide()}) SELECT 'dataset & naive & sorted ' || chr(92) || chr(92) AS line UNION ALL SELECT CASE WHEN dataset = 'Mean' THEN dataset ELSE chr(92) || 'tt{{' || dataset || '}}' END || ' & ' || printf('%.0f', naive * 100) || chr(92) || '% & ' || printf('%.0f', sorted * 100) || chr(92) || '% ' || chr(92) || chr(92) FROM w",
     "catalogue": "SELECT * FROM (VALUES "
     + ", ".join(f"('{f}', {'ungraph' in f or f.startswith('amazon')}, false)" for f in experiments.CATALOGUE)
     + ") v(file, is_undirected, fix_ids)",
