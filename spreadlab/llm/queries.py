@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadlab.llm import chat_format, decontaminate
+from spreadlab.llm import chat_format, decontaminate, jaccard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE_SQL, "op8_chat_perspectives": chat_format.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE_SQL, "op6_ngram_jaccard": jaccard.ORACLE_SQL, "op8_chat_perspectives": chat_format.ORACLE_SQL}
