@@ -432,8 +432,8 @@ def prune(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([_column(batch, "a").filter(keep), _column(batch, "b").filter(keep)], ["a", "b"])
 
 
-def prune_lists(batches, num: int, den: int, boundary: int):
-    """The pairs of a block, or of two blocks, of a list that are in different components and can link by their prefixes.
+def compare_lists(batches, num: int, den: int, boundary: int):
+    """The pairs of a block, or of two blocks, of a list that are in different components and can link by size and position.
 
     Rows come sorted by (key, kind, i, j); a group has two halves of a block each at most, so what is held has a bound.
     """
@@ -442,22 +442,18 @@ def prune_lists(batches, num: int, den: int, boundary: int):
     done: set[tuple[int, int]] = set()
 
     def pairs():
-        fp, n, pos, comp, half = (np.array(x) for x in list(zip(*rows, strict=True))[:5])
-        prefix = [r[5] for r in rows]
-        size = np.array([len(x) for x in prefix])
+        fp, n, pos, comp, half = (np.array(x) for x in zip(*rows, strict=True))
         left, right = (np.flatnonzero(half == g) for g in (0, 1))
         alone = group[1] == 1 and group[2] == group[3]  # one block with itself
         out = []
         for a in left.tolist():
             to = left[left > a] if alone else right
             to = to[fits(n[to], n[a], num, den, boundary, n[to] - pos[to], np.full(len(to), n[a] - pos[a])) & (comp[to] != comp[a])]
-            least = shared_least(size[a], size[to], n[a], n[to], num, den)
-            for b, k in zip(to.tolist(), least.tolist(), strict=True):
+            for b in to.tolist():
                 pair = (min(fp[a], fp[b]), max(fp[a], fp[b]))
                 if pair not in done:
                     done.add(pair)
-                    if shared(prefix[a], prefix[b]) >= k:
-                        out.append(pair)
+                    out.append(pair)
         if len(done) > 1 << 20:
             done.clear()
         p = np.array(out, np.int64).reshape(-1, 2)
@@ -465,12 +461,12 @@ def prune_lists(batches, num: int, den: int, boundary: int):
 
     for batch in batches:
         columns = [_column(batch, c).to_pylist() for c in ("key", "kind", "i", "j", "fp", "n", "pos", "comp", "half")]
-        for x, prefix in zip(zip(*columns, strict=True), _prefix_list(_column(batch, "prefix")), strict=True):
+        for x in zip(*columns, strict=True):
             if x[:4] != group:
                 if rows:
                     yield pairs()
                 group, rows = x[:4], []
-            rows.append((*x[4:], prefix))
+            rows.append(x[4:])
     if rows:
         yield pairs()
 
@@ -531,7 +527,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     p = docs.select("text").mapInArrow(shipped(post, n_words=n_words, num=num, den=den, boundary=boundary, hot=hot, **names), _POST)
     scanned = spool(p.repartition(partitions_of(docs), "key", "salt").mapInArrow(shipped(scan, num=num, den=den, boundary=boundary), _SCAN), "lists")
-    prefixes = scanned.where("what = 3").select(F.col("a").alias("fp"), "n", "prefix").dropDuplicates(["fp"])
+    prefixes = scanned.where("what = 3").select(F.col("a").alias("fp"), "n", "prefix")  # a class has one for each partition that holds it
     compare = {"docs": docs, "classes": classes, "names": names, "n_words": n_words, "num": num, "den": den}
 
     met = spool(scanned.where("what in (0, 4)").groupBy("a", "b").agg(F.sum("key").alias("votes"), F.max("what").alias("what")), "met")
@@ -548,8 +544,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comp = spool(connected(links), "components")
 
     lists = scanned.where("what = 2").select("key", F.col("a").alias("fp"), "n", "pos")
-    second = _residual(lists.distinct(), comp, prefixes, partitions_of(docs), boundary, num, den).join(first, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
-    more = spool(_compared(pairs=spool(second, "second"), **compare), "links")
+    second = _residual(lists.distinct(), comp, partitions_of(docs), boundary, num, den).join(first, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
+    near = spool(_pruned(spool(second, "second"), prefixes, num, den), "near")
+    more = spool(_compared(pairs=near, **compare), "links")
     if not more.isEmpty():
         comp = spool(connected(links.unionByName(more)), "components")
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
@@ -592,7 +589,7 @@ def _sized(table: DataFrame, size: int | None = None) -> DataFrame:
 def _pruned(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b), which are written, that can link by their prefixes."""
     wanted = spool(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted")
-    near = spool(prefixes.join(_sized(wanted), "fp"), "prefixes")
+    near = spool(prefixes.join(_sized(wanted), "fp").dropDuplicates(["fp"]), "prefixes")
     for side in "ba":
         pairs = pairs.join(near.select(*(F.col(c).alias(side if c == "fp" else f"{c}_{side}") for c in near.columns)), side)
     return pairs.mapInArrow(shipped(prune, num=num, den=den), "a long, b long")
@@ -623,12 +620,11 @@ def _compared(docs: DataFrame, classes: DataFrame, names: dict, pairs: DataFrame
     return stars.mapInArrow(shipped(verify, n_words=n_words, num=num, den=den), "a long, b long")
 
 
-def _residual(lists: DataFrame, comp: DataFrame, prefixes: DataFrame, parts: int, boundary: int, num: int, den: int) -> DataFrame:
-    """Pairs of one list that are in different components so far and can link by size, position and prefix.
+def _residual(lists: DataFrame, comp: DataFrame, parts: int, boundary: int, num: int, den: int) -> DataFrame:
+    """Pairs of one list that are in different components so far and can link by size and position.
 
     A list's largest component is held against the other members, and those, if they are of several components, against each
-    other, in blocks of about BLOCK members: two blocks meet in one group, so pairs are made where they are pruned, and
-    no group grows with its list.  A million copies and one outsider make a thousand groups, not a million blocks' pairs.
+    other, in blocks of about BLOCK members: two blocks meet in one group, so no group grows with its list.  A million copies and one outsider make a thousand groups, not a million blocks' pairs.
     """
     lists = spool(lists.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("comp", "fp").alias("comp")), "residual")
     tally = lists.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("k").alias("total"), F.max(F.struct("k", "comp")).alias("main")).where("comps > 1")
@@ -643,11 +639,9 @@ def _residual(lists: DataFrame, comp: DataFrame, prefixes: DataFrame, parts: int
     across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mains") - 1), lambda i: group(0, i, block, F.lit(1)))
     among = F.when(F.col("comps") > 2, F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: group(1, F.least(block, j), F.greatest(block, j), block > j))).otherwise(none)
     to = F.when(F.col("is_main"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: group(0, block, j, F.lit(0)))).otherwise(F.concat(across, among))
-    rows = spool(rows.select("key", "fp", "n", "pos", "comp", to.alias("to")), "blocks")
-    near = prefixes.select("fp", "prefix").join(_sized(spool(rows.select("fp").distinct(), "wanted")), "fp")
-    rows = rows.join(near, "fp").select("key", "fp", "n", "pos", "comp", "prefix", F.explode("to").alias("x")).select("key", "x.*", "fp", "n", "pos", "comp", "prefix")
+    rows = rows.select("key", "fp", "n", "pos", "comp", F.explode(to).alias("x")).select("key", "x.*", "fp", "n", "pos", "comp")
     rows = rows.repartition(parts, "key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
-    return rows.mapInArrow(shipped(prune_lists, num=num, den=den, boundary=boundary), "a long, b long").distinct()
+    return rows.mapInArrow(shipped(compare_lists, num=num, den=den, boundary=boundary), "a long, b long").distinct()
 
 
 #: DuckDB SQL for the rows of op6, by all pairs that share a shingle: for small tables.
