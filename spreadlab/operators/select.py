@@ -31,7 +31,8 @@ def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], d
     """Lazy selection: (step, vertex, gain, tries) in turn.
 
     bounds (v, gain) hold upper bounds of all gains; exact: they are the gains of the first step.  The driver holds the ``ahead``
-    first by (gain, v) and where the next one stands.  Each round re-scores up to ``batch`` of the largest stale gains.  When the best that is
+    first by (gain, v) and where the next one stands.  Each round re-scores up to ``batch`` of the largest stale gains, and twice as many in
+    the step's next round, as each round is a job.  When the best that is
     held comes after that next one, what is known goes back into the table, which gives the ``ahead`` first anew.
     """
     bounds = spool(bounds)
@@ -44,6 +45,7 @@ def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], d
     held, after = first()
     stamp, gone, tries = dict.fromkeys(held, 0 if exact else -1), [], 0
     for step in range(k):
+        many = batch
         while True:
             order = sorted(held, key=lambda v: (-held[v], v))
             if after is not None and (not order or (-held[order[0]], order[0]) > after):
@@ -58,7 +60,8 @@ def lazy_greedy(bounds: DataFrame, k: int, rescore: Callable[[list[int], int], d
                 return
             if stamp[order[0]] == step:
                 break
-            stale = [v for v in order[:batch] if stamp[v] != step]
+            stale = [v for v in order[:many] if stamp[v] != step]
+            many = min(2 * many, ahead)
             for v, g in rescore(stale, step).items():
                 held[v], stamp[v] = g, step
                 tries += 1
@@ -159,13 +162,14 @@ def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, b
     labels = spool(S.min_labels(live, both_ways=True))
     bounds = S.vertex_gains(labels, S.component_sizes(labels), vertices, n).select("v", (F.col("total") / n).alias("gain"))
     visited = spark.createDataFrame([], "v long, r int")
+    local = S.fits(live, rows=S.ROWS - vertices.count())  # a simulation's edges, and as many visits as vertices
 
     def rescore(some: list[int], _: int) -> dict[int, float]:
-        return marginal_gains(live, sims, visited, some, n)
+        return marginal_gains(live, sims, visited, some, n, local)
 
     def commit(v: int) -> None:
         nonlocal visited
-        visited = S.cascade(live, S.at_seeds([v], sims), visited)
+        visited = S.cascade(live, S.at_seeds([v], sims), visited, local=local)
 
     rows, score = [], 0.0
     for step, v, gain, tries in lazy_greedy(bounds, k, rescore, commit, batch, exact=False):
