@@ -167,7 +167,7 @@ def sample(labels: DataFrame, id_col: str, label_col: str, usable: Column, max_r
     return rows.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "label").limit(max_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, passes: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, least: int = 5, max_features: int = MAX_FEATURES):
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, passes: int = 6, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, least: int = 5, max_features: int = MAX_FEATURES):
     """(features, weights), both arrays, learned from the labelled rows for which ``usable`` (a column of labels) holds."""
     some = F.broadcast(sample(labels, id_col, label_col, usable, max_rows))
     rows = two_columns(docs, id_col, text_col).join(some, "doc_id").select("turn", "label", "text")
