@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose spans are found together.
+RUN = 128
 # The marks around a turn, and what both begin with, as written inside texts.
 BEGIN, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 MARK, PARTED = "<|im_", "< |im_"
@@ -44,13 +46,20 @@ def perspectives(turns: DataFrame, segment: int | None = None) -> DataFrame:
         name = plain(F.translate(x["role"], "\r\n", "  "))
         return F.when(x["role"] == "system", F.lit(f"{BEGIN}system{MIDDLE}")).when(x["role"] == F.col("perspective"), F.lit(f"{BEGIN}assistant{MIDDLE}")).otherwise(F.concat(F.lit(f"{BEGIN}user name="), name, F.lit(MIDDLE)))
 
+    spans_of = "array<struct<start:bigint,end:bigint>>"
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans_of).alias("spans"))
+
     def step(state, x):
         first = state["at"] + F.length(head(x))
-        own = F.when((x["role"] == F.col("perspective")) & (x["role"] != "system"), F.array(F.struct(first.alias("start"), (first + F.length(x["text"])).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+        own = F.when((x["role"] == F.col("perspective")) & (x["role"] != "system"), F.array(F.struct(first.alias("start"), (first + F.length(x["text"])).alias("end")))).otherwise(F.array().cast(spans_of))
         return F.struct((first + F.length(x["text"]) + len(END)).alias("at"), F.concat(state["spans"], own).alias("spans"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    spans = F.aggregate("said", none, step)["spans"]
+    # spans are found within runs of turns, and moved by the lengths of the runs before, so that work grows with the dialogue and not with its square
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("said") / RUN).cast("int") - 1), lambda i: F.aggregate(F.slice("said", i * RUN + 1, RUN), none, step))
+    seen = seen.withColumn("runs", runs)
+    moved = F.aggregate("runs", F.array(F.lit(0).cast("long")), lambda sums, r: F.concat(sums, F.array(F.element_at(sums, -1) + r["at"])))
+    seen = seen.withColumn("moved", moved)
+    spans = F.flatten(F.transform("runs", lambda r, i: F.transform(r["spans"], lambda x: F.struct((x["start"] + F.get("moved", i)).alias("start"), (x["end"] + F.get("moved", i)).alias("end")))))
     text = F.array_join(F.transform("said", lambda x: F.concat(head(x), x["text"], F.lit(END))), "")
     out = seen.select("conv_id", "perspective", "segment", F.size("said").cast("long").alias("n_turns"), text.alias("text"), spans.alias("spans"))
     return out.select("conv_id", "perspective", "segment", "n_turns", F.size("spans").cast("long").alias("n_own"), "text", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("mask"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("mask_chars"))

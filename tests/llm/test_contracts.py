@@ -335,6 +335,10 @@ def test_long_dialogues_and_forged_marks(spark):
         assert [r.text[a:b] for a, b in spans] == own
         heads = re.findall(r"<\|im_start\|>(.*)\n", r.text)
         assert len(heads) == 600 == r.text.count("<|im_end|>") and heads.count("assistant") == 200
+    long = spark.range(60_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'a', 'b') as role", "concat('t', id) as text")
+    r = chat_format.perspectives(long).where("perspective = 'b'").first()
+    a, b = map(int, r.mask.rsplit(",", 1)[1].split(":"))
+    assert (r.n_turns, r.n_own, r.text[a:b]) == (60_000, 30_000, "t59999")
 
 
 def plain_contamination(rows, items):
