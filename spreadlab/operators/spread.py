@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from spreadlab.session import spool
 
 #: Rows of edges, values and visits (24 bytes each) of one simulation that a task may hold.
-ROWS = 6_000_000
+ROWS = 2_000_000
 #: Tables of changes that are read one by one before they are made one.
 DELTAS = 8
 _KIND = {"min": np.minimum, "max": np.maximum}
