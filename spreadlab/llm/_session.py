@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from spreadlab.session import shared_dir, spool  # noqa: F401
 
@@ -72,3 +72,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on rows of this session travel to Python workers in batches of about that size at most.
+
+    Several stages in one session then leave little behind in the executors' memory; a longer text is a batch of its own.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -38,7 +38,7 @@ from spreadlab.llm import _text as T
 from spreadlab.llm._session import partitions_of, shared_dir, shipped, unused
 
 #: Distinct words from which a block is closed after a text; bits of a block's number within its partition; words of which ids are gathered at once.
-LOCAL, SUB, RUN = 400_000, 24, 1 << 18
+LOCAL, SUB, RUN = 150_000, 24, 1 << 17
 _SPACES = str.maketrans("\n\t\r", "   ")
 _TOKENIZERS: dict[str, object] = {}
 # Fixed values of the dictionary files, and of a packed answer's head: bucket, words, check of the words, bytes packed and unpacked.
@@ -125,9 +125,10 @@ def requests(batches, local: int, n: int):
     part = sub = 0
 
     def block():
-        words, held = np.array(list(numbers), object), []
-        for bucket, places in buckets(list(numbers), n):
-            raw = "\n".join(words[places]).encode()
+        words, held = list(numbers), []
+        spelt = np.array(words, object)
+        for bucket, places in buckets(words, n):
+            raw = "\n".join(spelt[places]).encode()
             held.append((bucket, part << SUB | sub, struct.pack("<I", len(raw)) + codec.compress(raw, asbytes=True)))
             if len(held) >= 256:
                 yield _asked(held)
@@ -269,10 +270,14 @@ def dictionary(folder: str, block: int, slots: int, words: list[str], width: int
 def encoded(batches, folder: str, local: int, slots: int, width: int, field: str, part_field: str):
     """(rows, ids of their texts as a list array) in runs of about RUN words.
 
-    The texts of a block are held as the numbers of their words until its last one is read.
+    The texts of a block are held as the numbers of their words until its last one is read; the rows go without them.
     """
     numbers, held, sub, part = Numbers(), [], 0, 0
 
+    def keep(lo: int, texts: list):
+        rest = batch.drop_columns([field, part_field])
+        held.append((rest.take(pa.array(np.arange(lo, lo + len(texts)))), texts))  # a copy: a slice would hold the whole batch
+
     def block():
         first, size, ids = dictionary(folder, part << SUB | sub, slots, list(numbers), width)
         for rows, texts in held:
@@ -296,12 +301,12 @@ def encoded(batches, folder: str, local: int, slots: int, width: int, field: str
             words = cut(x.as_py() or "")
             texts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             if len(numbers) >= local:
-                held.append((batch.slice(done, len(texts)), texts))
+                keep(done, texts)
                 yield from block()
                 done, texts, held, sub = done + len(texts), [], [], sub + 1
                 numbers.clear()
         if texts:
-            held.append((batch.slice(done, len(texts)), texts))
+            keep(done, texts)
     if held:
         yield from block()
 
@@ -320,8 +325,7 @@ def encode_texts(batches, path: str, field: str, part_field: str, names: list[st
     """The rows, with n_tokens, ids_sha256, decoded_sha256 and token_ids in place of the text."""
     table = pieces(path)
     for rows, ids in encoded(batches, field=field, part_field=part_field, **kw):
-        own = rows.drop_columns([field, part_field])
-        yield pa.RecordBatch.from_arrays([*own.columns, *_digests(ids, table), ids], [*own.schema.names, *names])
+        yield pa.RecordBatch.from_arrays([*rows.columns, *_digests(ids, table), ids], [*rows.schema.names, *names])
 
 
 def digest(batches, path: str, **kw):
