@@ -7,7 +7,8 @@
 5. bpe: texts become token ids, which are decoded again to vouch for them.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.  A
-stage's docs are a Parquet table, so it may read them several times.
+stage's docs are a Parquet table, so it may read them several times.  Stages that hand texts to Python workers set the
+session's Arrow batches to a few MB, as all five share the executors' memory.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from pyspark.sql import functions as F
 
 from spreadlab.llm import bpe, jaccard, secret_scan, toxicity
 from spreadlab.llm import decontaminate as benchmark_filter
-from spreadlab.llm._session import spool
+from spreadlab.llm._session import small_batches, spool
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject_toxic(docs, toxicity.fit(docs, labels, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -34,12 +37,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secret_scan.mask_secrets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
