@@ -565,10 +565,13 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _told_apart(rows: DataFrame) -> tuple[DataFrame, dict]:
     """rows (doc_id, n, fp) with a name for each set, and the names of sets that had shared theirs: of 64-bit names a few in 10 ** 10."""
     one = F.struct("sum", "n")
-    shared_names = rows.groupBy("fp").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo != hi").select("fp")
-    found = sorted(map(tuple, rows.join(shared_names, "fp", "left_semi").select("fp", "sum", "n").distinct().limit(MAX_FREQUENT + 1).collect()))
-    if len(found) > MAX_FREQUENT:
+    shared_names = rows.groupBy("fp").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo != hi").select("fp").limit(MAX_FREQUENT + 1).collect()
+    if not shared_names:
+        return rows.select("doc_id", "n", "fp"), {}
+    if len(shared_names) > MAX_FREQUENT:
         raise ValueError("too many sets share a name")
+    few = F.broadcast(rows.sparkSession.createDataFrame(shared_names, "fp long"))
+    found = sorted(map(tuple, rows.join(few, "fp", "left_semi").select("fp", "sum", "n").distinct().collect()))
     others = {}
     for before, (fp, check, n) in zip([None, *found], found, strict=False):
         if before and before[0] == fp:  # the first one keeps the name
