@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadlab.llm import chat_format, decontaminate, jaccard
+from spreadlab.llm import chat_format, decontaminate, filter_audit, importance, jaccard, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,21 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = filter_audit.document_flags(_table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.with_labels(flagged, _table(spark, sf_dir, "labels")))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality_rules.verdicts(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+    return entries.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -89,6 +104,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op9_bpe": op9_bpe,
     "op10_token_store": op10_token_store,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_importance": op13_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE_SQL, "op6_ngram_jaccard": jaccard.ORACLE_SQL, "op8_chat_perspectives": chat_format.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op8_chat_perspectives": chat_format.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_quality_rules": quality_rules.ORACLE_SQL,
+    "op13_importance": importance.ORACLE_SQL,
+}
