@@ -47,6 +47,7 @@ def plain_memory() -> None:
 
 def release() -> None:
     """Free pages of this process go back to the machine."""
+    gc.enable()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -39,6 +39,8 @@ from spreadlab.llm._session import partitions_of, shared_dir, shipped, unused
 
 #: Distinct words from which a block is closed after a text; bits of a block's number within its partition; words of which ids are gathered at once.
 LOCAL, SUB, RUN = 150_000, 24, 1 << 17
+#: Words of any kind from which a block is closed, so that repetitive texts are not held without end (4 bytes a word).
+MOST = 1 << 24
 _SPACES = str.maketrans("\n\t\r", "   ")
 _TOKENIZERS: dict[str, object] = {}
 # Fixed values of the dictionary files, and of a packed answer's head: bucket, words, check of the words, bytes packed and unpacked.
@@ -119,10 +121,10 @@ def buckets(words: list[str], n: int):
         yield int(bucket[places[0]]), places
 
 
-def requests(batches, local: int, n: int):
+def requests(batches, local: int, most: int, n: int):
     """(bucket, block, words) of each block: its distinct words of each bucket, packed."""
     codec, numbers = pa.Codec("zstd", 1), Numbers()
-    part = sub = 0
+    part = sub = read = 0
 
     def block():
         words, held = list(numbers), []
@@ -139,11 +141,13 @@ def requests(batches, local: int, n: int):
     for batch in batches:
         for x in _column(batch, "text"):
             part = _column(batch, "part")[0].as_py()
-            deque(map(numbers.__getitem__, cut(x.as_py() or "")), maxlen=0)
-            if len(numbers) >= local:
+            words = cut(x.as_py() or "")
+            deque(map(numbers.__getitem__, words), maxlen=0)
+            read += len(words)
+            if len(numbers) >= local or read >= most:
                 yield from block()
                 numbers.clear()
-                sub += 1
+                sub, read = sub + 1, 0
     if numbers:
         yield from block()
 
@@ -267,19 +271,20 @@ def dictionary(folder: str, block: int, slots: int, words: list[str], width: int
     return first, size, np.concatenate(ids) if ids else np.zeros(0, f"<u{width}")
 
 
-def encoded(batches, folder: str, local: int, slots: int, width: int, field: str, part_field: str):
+def encoded(batches, folder: str, local: int, most: int, slots: int, width: int, field: str, part_field: str):
     """(rows, ids of their texts as a list array) in runs of about RUN words.
 
     The texts of a block are held as the numbers of their words until its last one is read; the rows go without them.
     """
-    numbers, held, sub, part = Numbers(), [], 0, 0
+    numbers, held, sub, part, read = Numbers(), [], 0, 0, 0
 
     def keep(lo: int, texts: list):
         rest = batch.drop_columns([field, part_field])
         held.append((rest.take(pa.array(np.arange(lo, lo + len(texts)))), texts))  # a copy: a slice would hold the whole batch
 
     def block():
-        first, size, ids = dictionary(folder, part << SUB | sub, slots, list(numbers), width)
+        none = np.zeros(0, np.int64)
+        first, size, ids = dictionary(folder, part << SUB | sub, slots, list(numbers), width) if numbers else (none, none, none)
         for rows, texts in held:
             lo = 0
             while lo < len(texts):
@@ -300,10 +305,11 @@ def encoded(batches, folder: str, local: int, slots: int, width: int, field: str
             part = _column(batch, part_field)[0].as_py()
             words = cut(x.as_py() or "")
             texts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            if len(numbers) >= local:
+            read += len(words)
+            if len(numbers) >= local or read >= most:
                 keep(done, texts)
                 yield from block()
-                done, texts, held, sub = done + len(texts), [], [], sub + 1
+                done, texts, held, sub, read = done + len(texts), [], [], sub + 1, 0
                 numbers.clear()
         if texts:
             keep(done, texts)
@@ -350,16 +356,16 @@ def read_back(batches, table: list[str], ids_field: str, out_field: str):
 # ---- Spark -----------------------------------------------------------------------------------
 
 
-def dictionaries(rows: DataFrame, path: str, local: int) -> dict:
+def dictionaries(rows: DataFrame, path: str, local: int, most: int = MOST) -> dict:
     """Encodes the distinct words of rows (part, text) and writes each block's; what ``encoded`` needs to read them."""
     vouch(path)
     width, n, folder = (2 if len(pieces(path)) <= 1 << 16 else 4), partitions_of(rows), shared_dir(rows.sparkSession)
-    asked = rows.select("part", "text").mapInArrow(shipped(requests, local=local, n=n), "bucket int, block long, words binary")
+    asked = rows.select("part", "text").mapInArrow(shipped(requests, local=local, most=most, n=n), "bucket int, block long, words binary")
     got = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shipped(encode_words, path=path, width=width), "block long, bucket int, answer binary")
     slot = F.pmod(F.shiftright("block", SUB) + 7919 * F.col("block").bitwiseAND((1 << SUB) - 1), F.lit(n)).cast("int")
     got = got.withColumn("slot", slot).repartition(n, "slot").sortWithinPartitions("slot", "block", "bucket")
     got.mapInArrow(shipped(write_dictionaries, folder=folder), "files long").groupBy().sum("files").first()
-    return {"folder": folder, "local": local, "slots": n, "width": width}
+    return {"folder": folder, "local": local, "most": most, "slots": n, "width": width}
 
 
 NEW = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<int>"}

@@ -12,8 +12,8 @@ can speak as somebody else.
 
 Nulls, ties and odd rows: a null text is empty; a null role is the participant ``unknown``; turns come in the order of
 turn, role and text, a null turn first and in segment 0; repeated rows are rendered as often as they come; a
-conversation of system turns alone has no participant and no row; a null conv_id is a conversation of
-its own.  An empty table gives an empty result.
+conversation of system turns alone has no participant and no row; a turn without conv_id belongs to no other, so each
+is a conversation of its own.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +37,12 @@ def perspectives(turns: DataFrame, segment: int | None = None) -> DataFrame:
     """(conv_id, perspective, segment, n_turns, n_own, text, mask, mask_chars) for each participant and segment."""
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), plain(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     rows = rows.withColumn("segment", (F.coalesce(F.floor(F.col("turn") / segment), F.lit(0)) if segment else F.lit(0)).cast("long"))
+    alone = rows.where("conv_id is null and role != 'system'").select("conv_id", "segment", F.array(F.struct("turn", "role", "text")).alias("said"), F.col("role").alias("perspective"))
+    rows = rows.where("conv_id is not null")
     people = rows.where("role != 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
     parts = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     parts = parts.withColumn("said", F.concat(F.filter("said", lambda x: x["turn"].isNull()), F.filter("said", lambda x: x["turn"].isNotNull())))
-    seen = parts.withColumnRenamed("conv_id", "__conv").join(people, F.col("__conv").eqNullSafe(people["conv_id"]))
+    seen = parts.join(people, "conv_id").unionByName(alone)
 
     def head(x):
         name = plain(F.translate(x["role"], "\r\n", "  "))
@@ -67,18 +69,18 @@ def perspectives(turns: DataFrame, segment: int | None = None) -> DataFrame:
 
 #: DuckDB SQL for the rows of op8.
 ORACLE_SQL = """
-WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text, 0::BIGINT AS segment FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
+WITH r AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text, 0::BIGINT AS segment FROM conversations),
+p AS (SELECT DISTINCT conv_id, lone, role AS perspective FROM r WHERE role <> 'system'),
 x AS (
-  SELECT r.conv_id, perspective, segment, turn, role, text, role = perspective AND role <> 'system' AS own,
+  SELECT r.conv_id, r.lone, perspective, segment, turn, role, text, role = perspective AND role <> 'system' AS own,
     '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || replace(translate(role, chr(13) || chr(10), '  '), '<|im_', '< |im_') END || chr(10) AS head
-  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.lone IS NOT DISTINCT FROM p.lone),
 y AS (
-  SELECT *, row_number() OVER w AS k, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
-  FROM x WINDOW w AS (PARTITION BY conv_id, perspective, segment ORDER BY turn NULLS FIRST, role, text))
+  SELECT *, row_number() OVER w AS k, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, lone, perspective, segment ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+  FROM x WINDOW w AS (PARTITION BY conv_id, lone, perspective, segment ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, perspective, segment, count(*)::BIGINT AS n_turns, (count(*) FILTER (own))::BIGINT AS n_own,
   string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS text,
   coalesce(string_agg(start::BIGINT::VARCHAR || ':' || (start + length(text))::BIGINT::VARCHAR, ',' ORDER BY k) FILTER (own), '') AS mask,
   coalesce((sum(length(text)) FILTER (own)), 0)::BIGINT AS mask_chars
-FROM y GROUP BY conv_id, perspective, segment
+FROM y GROUP BY conv_id, lone, perspective, segment
 """

@@ -54,6 +54,8 @@ WINDOW = 1 << 21
 SAMPLE, SEEN = 256, 4
 #: Members of a list that are compared with each other in one group, and members of a star that are compared with its hub in one.
 BLOCK, GROUP = 1024, 256
+#: Bytes of texts that are sent on at once, and stars (or groups of one) of a class that one row names.
+SENT, TARGETS = 4 << 20, 4096
 #: Bytes up to which a side of a join is broadcast; else both sides shuffle.
 BROADCAST = 32 << 20
 #: What a check of one candidate costs, in rows of a list.
@@ -378,19 +380,23 @@ def _light(key, salt, kind, fp):
 
 def send_texts(batches, n_words: int, **names):
     """(hub, salt, fp, text) for each target (hub, salt) of a wanted class fp, where the text's set still is that class (an id may have several texts)."""
-    sent: set[int] = set()
+    sent: set[tuple[int, int]] = set()
     for batch in batches:
-        wanted, to = _column(batch, "fp").to_numpy(), _column(batch, "targets")
+        wanted, to, part = _column(batch, "fp").to_numpy(), _column(batch, "targets"), _column(batch, "part").to_pylist()
         for lo, hi, buf, at in T.chunks(_column(batch, "text")):
             g, bounds = T.shingle_sets(buf, at, n_words)
             same = class_of(g, bounds, **names).view(np.int64) == wanted[lo:hi]
-            rows = np.array([i for i in (np.flatnonzero(same) + lo).tolist() if not (wanted[i] in sent or sent.add(wanted[i]))], np.int64)
+            rows = np.array([i for i in (np.flatnonzero(same) + lo).tolist() if not ((x := (int(wanted[i]), part[i])) in sent or sent.add(x))], np.int64)
             if len(rows):
                 own = to.take(pa.array(rows))
                 flat, row = own.flatten(), rows[pc.list_parent_indices(own).to_numpy()]
-                for k in range(0, len(row), 1024):
-                    take = pa.array(row[k : k + 1024])
-                    yield pa.record_batch({"hub": flat.field("hub").slice(k, 1024), "salt": flat.field("salt").slice(k, 1024), "fp": _column(batch, "fp").take(take), "text": _column(batch, "text").take(take)})
+                after = np.cumsum(np.diff(at)[row - lo])  # by bytes: a long text travels in a batch of its own for each target
+                k = 0
+                while k < len(row):
+                    n = max(1, min(1024, int(np.searchsorted(after, (after[k - 1] if k else 0) + SENT, side="right")) - k))
+                    take = pa.array(row[k : k + n])
+                    yield pa.record_batch({"hub": flat.field("hub").slice(k, n), "salt": flat.field("salt").slice(k, n), "fp": _column(batch, "fp").take(take), "text": _column(batch, "text").take(take)})
+                    k += n
 
 
 def classes_of(batches, n_words: int, **names):
@@ -477,9 +483,9 @@ def verify(batches, n_words: int, num: int, den: int):
     for batch in batches:
         hub, salt, fp = (_column(batch, c).to_pylist() for c in ("hub", "salt", "fp"))
         good = np.zeros(len(hub), bool)
-        for lo in range(0, len(hub), 64):
-            g, at = _sets(_column(batch, "text").slice(lo, 64), n_words)
-            for i in range(lo, min(lo + 64, len(hub))):
+        for lo, hi, buf, cut in T.chunks(_column(batch, "text")):
+            g, at = T.shingle_sets(buf, cut, n_words)
+            for i in range(lo, hi):
                 x = g[at[i - lo] : at[i - lo + 1]]
                 if fp[i] == hub[i]:
                     star, own = (hub[i], salt[i]), x.copy()
@@ -494,16 +500,6 @@ def verify(batches, n_words: int, num: int, den: int):
         yield pa.RecordBatch.from_arrays([_column(batch, "hub").filter(keep), _column(batch, "fp").filter(keep)], ["a", "b"])
 
 
-def _sets(column, n_words):
-    g, bounds, base = [], [np.zeros(1, np.int64)], 0
-    for _, _, buf, at in T.chunks(column):
-        x, y = T.shingle_sets(buf, at, n_words)
-        g.append(x)
-        bounds.append(y[1:] + base)
-        base += len(x)
-    return np.concatenate(g), np.concatenate(bounds)
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, num: int = 80, den: int = 100, name_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; see the module's text."""
     spark = docs.sparkSession
@@ -611,13 +607,14 @@ def _compared(docs: DataFrame, classes: DataFrame, names: dict, pairs: DataFrame
     both = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.ceil(F.greatest("k_a", "k_b") / GROUP).alias("groups"))
     both = both.withColumn("salt", F.pmod(F.xxhash64("member"), "groups"))
     sent = both.select(F.explode(F.array("hub", "member")).alias("fp"), "hub", "salt").distinct()
-    targets = sent.groupBy("fp").agg(F.collect_list(F.struct("hub", "salt")).alias("targets"))  # a class' stars, and groups of its own
-    wanted = spool(classes.join(targets, "fp").select(F.col("rep").alias("doc_id"), "fp", "targets"), "wanted")
+    sent = sent.join(degree, "fp").withColumn("part", F.pmod(F.xxhash64("hub", "salt"), F.ceil(F.col("k") / TARGETS)).cast("int"))
+    targets = sent.groupBy("fp", "part").agg(F.collect_list(F.struct("hub", "salt")).alias("targets"))  # a class' stars, and groups of its own, TARGETS or so in a row
+    wanted = spool(classes.join(targets, "fp").select(F.col("rep").alias("doc_id"), "fp", "part", "targets"), "wanted")
     size, unnamed = wanted.agg(F.sum(48 + 24 * F.size("targets")), F.count_if(F.col("doc_id").isNull())).first()
-    texts = docs.join(_sized(wanted.where("doc_id is not null"), size or 0), "doc_id").select("fp", "targets", "text")
+    texts = docs.join(_sized(wanted.where("doc_id is not null"), size or 0), "doc_id").select("fp", "part", "targets", "text")
     if unnamed:  # classes that only rows without id hold
         own = docs.where("doc_id is null").select("text").mapInArrow(shipped(classes_of, n_words=n_words, **names), "fp long, text string")
-        texts = texts.unionByName(own.join(wanted.where("doc_id is null").select("fp", "targets"), "fp").select("fp", "targets", "text"))
+        texts = texts.unionByName(own.join(wanted.where("doc_id is null").select("fp", "part", "targets"), "fp").select("fp", "part", "targets", "text"))
     texts = texts.mapInArrow(shipped(send_texts, n_words=n_words, **names), "hub long, salt long, fp long, text string")
     stars = texts.repartition(partitions_of(docs), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("fp") != F.col("hub"))
     return stars.mapInArrow(shipped(verify, n_words=n_words, num=num, den=den), "a long, b long")

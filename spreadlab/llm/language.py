@@ -5,12 +5,13 @@ scores by its log frequency in each language.  An unknown one scores at each of
 the longest known n-gram that starts there, of five characters down to one, its ends marked.
 The language with the largest sum wins; the score is its share of the likelihood.
 
-Learning uses at most ``max_rows`` documents with a language, those first by a hash of their id, which bounds the model.
+Learning uses at most ``max_rows`` documents with a language, those first by a hash of their id, and of these as many as have ``max_bytes``
+together (a text that is too long for what is left is passed over), which bounds the model.
 All their words and n-grams are learned, unless ``max_words`` or ``max_grams`` (of each length) ask for the most frequent alone.
 
 Nulls, ties and odd rows: a null text, or one without any letter, gives ``und`` and score 0; so does every
 text if nothing could be learned.  Equal sums give the language first by name.  Rows with null lang
-or id teach nothing; repeated rows count as often as they come.  An empty table gives an empty result.
+or id teach nothing; repeated rows teach once.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from spreadlab.llm.toxicity import remainder
 
 #: Bound of the learned sample, and characters of the longest n-grams.
 MAX_ROWS, LONGEST = 4_000, 5
+#: Bytes of the sample's texts, which bound the words that reach the driver and the model that is broadcast.
+MAX_BYTES = 64 << 20
 
 
 def _words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
@@ -137,11 +140,19 @@ def apply(batches, model):
             yield pa.record_batch({"doc_id": ids.slice(lo, hi - lo), "lang_pred": pa.array([langs[b] if x else "und" for b, x in zip(best.tolist(), letters.tolist(), strict=True)], pa.string()), "score": pa.array(np.where(letters, share, 0.0))})
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, **limits):
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, **limits):
     """Model from rows of docs for which ``usable`` holds, or None if there is nothing to learn from; limits: max_words, max_grams."""
     named = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), usable.alias("usable")).where("usable and lang is not null and doc_id is not null")
-    turn = named.select("doc_id").distinct().select("doc_id", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").limit(max_rows).select("doc_id")
-    counts = named.join(F.broadcast(turn), "doc_id", "left_semi").select("lang", "text").mapInArrow(shipped(count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    named = named.withColumn("mark", F.xxhash64("text"))
+    first = named.select("doc_id", "lang", "mark", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct().withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "lang", "mark").limit(max_rows).collect()
+    chosen, left = [], max_bytes
+    for r in first:  # a text that is too long for what is left is passed over
+        if r.size <= left:
+            chosen.append((r.doc_id, r.lang, r.mark))
+            left -= r.size
+    turn = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string, mark long")
+    taught = named.join(F.broadcast(turn), ["doc_id", "lang", "mark"]).groupBy("doc_id", "lang", "mark").agg(F.first("text").alias("text"))  # repeated rows teach once
+    counts = taught.select("lang", "text").mapInArrow(shipped(count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     got = counts.orderBy("lang", "word").toArrow()
     return build(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_numpy(), **limits) if len(got) else None
 

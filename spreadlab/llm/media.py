@@ -37,6 +37,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MANIFEST = "manifest"
 #: Bytes after which a new archive is begun, and of one range.
 ARCHIVE, RANGE = 64 << 20, 16 << 20
+#: Ranges that the driver plans at most, about; beyond that they become longer.
+RANGES = 100_000
 #: Bytes of payload in one Arrow batch.
 BATCH = 4 << 20
 
@@ -126,7 +128,6 @@ def plan(options: dict) -> list[tuple[str, int, int]]:
     """(archive, first byte, byte after the last): ranges of each archive by its size; no archive is opened on the driver."""
     from pyarrow import fs, parquet
 
-    size = int(options.get("rangebytes", RANGE))
     files, root = filesystem(options["path"])
     if files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.Directory:
         table = parquet.read_table(f"{root}/{MANIFEST}", columns=["name", "size"], filesystem=files)
@@ -134,6 +135,7 @@ def plan(options: dict) -> list[tuple[str, int, int]]:
     else:  # archives of another origin
         found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
         archives = sorted((f.base_name, f.size) for f in found if f.base_name.endswith(".zip") and not f.base_name.startswith("."))
+    size = max(int(options.get("rangebytes", RANGE)), -(-sum(whole for _, whole in archives) // RANGES))
     return [(name, at, min(at + size, whole)) for name, whole in archives for at in range(0, whole, size)] or [("", 0, 0)]
 
 
@@ -144,20 +146,24 @@ def read_range(options: dict, name: str, start: int, end: int):
     tries = int(options.get("tries", 4))
     files, root = filesystem(options["path"])
     path = f"{root}/{name}"
-    with files.open_input_file(path) as f:
-        members = [m for m in zipfile.ZipFile(f).infolist() if start <= m.header_offset < end]
-    held, size, file = [], 0, None
-    for m in members:
+    file = None
+
+    def tried(read):
+        """read of the open archive; after an error of the store it is opened anew, ``tries`` times in all."""
+        nonlocal file
         for left in reversed(range(tries)):
             try:
                 file = file or files.open_input_file(path)
-                data = member_at(file, m)
-                break
-            except (OSError, ValueError):
+                return read(file)
+            except (OSError, ValueError, zipfile.BadZipFile):
                 file = None
                 if not left:
                     raise
                 time.sleep(0.1 * (tries - left))
+
+    held, size = [], 0
+    for m in tried(lambda f: [m for m in zipfile.ZipFile(f).infolist() if start <= m.header_offset < end]):
+        data = tried(lambda f, m=m: member_at(f, m))
         held.append((name, m.header_offset, m.filename, data))
         size += len(data)
         if size >= BATCH:

@@ -26,8 +26,8 @@ from spreadlab.llm.toxicity import remainder
 
 #: Random Fourier features, width of the kernel in standard deviations, ridge, bins of the calibration.
 FEATURES, WIDTH, RIDGE, BINS = 256, 4.0, 1e-3, 1000
-#: Partial sums of the normal equations that reach the driver.
-SUMS = 8
+#: Partial sums of the normal equations that reach the driver, and that a task adds on the way there.
+SUMS, FAN = 8, 32
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32, 9, 10, 11, 12, 13), "stop": b".,;:?'\"-()", "line": (10,), "high": range(128, 256), "bang": b"!", "bar": b"|"}
 STATISTICS = 18
 
@@ -163,7 +163,13 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id
     n = total[0]
     mean = total[1 : 1 + STATISTICS] / n
     scale = np.sqrt(np.maximum(total[1 + STATISTICS :] / n - mean**2, 1e-8))
-    parts = taught.mapInArrow(shipped(equations, mean=mean, scale=scale), "part binary").repartition(SUMS).mapInArrow(shipped(add), "part binary").toArrow()
+    parts, many = taught.mapInArrow(shipped(equations, mean=mean, scale=scale), "part binary"), taught.rdd.getNumPartitions()
+    while True:  # a tree: no task adds more than some FAN parts
+        many = max(SUMS, -(-many // FAN))
+        parts = parts.repartition(many).mapInArrow(shipped(add), "part binary")
+        if many == SUMS:
+            break
+    parts = parts.toArrow()
     system = np.sum([np.frombuffer(x) for x in parts["part"].to_pylist()], axis=0).reshape(FEATURES + 1, FEATURES + 2)
     ridge = np.eye(FEATURES + 1) * RIDGE * n
     ridge[-1, -1] = 1e-9

@@ -43,8 +43,10 @@ EXPRESSIONS = {
     "access": re.compile(rb"AKIA[A-Z0-9]+"),
     "github": re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
 }
+#: Where an expression fails, it fails at all further hits in the same run of these characters: what follows the run decides.
+RUNS = {"jwt": re.compile(rb"[A-Za-z0-9_-]++")}
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _HEX = re.compile(rb"[0-9a-f]+")
@@ -92,10 +94,14 @@ def spans(text: bytes, keywords: ahocorasick.Automaton) -> list[tuple[int, int,
     found, after = [], dict.fromkeys(KINDS, 0)
     hits = sorted((end - back, kind) for end, (kind, back) in keywords.iter(text.lower().decode("latin-1")))
     for at, kind in hits:
-        if at >= after[kind] and (m := EXPRESSIONS[kind].match(text, at)):
+        if at < after[kind]:
+            continue
+        if m := EXPRESSIONS[kind].match(text, at):
             after[kind] = m.end()
             if HOLDS[kind](m):
                 found.append((at, KINDS.index(kind), m.end()))
+        elif kind in RUNS and text[at : at + 3] == b"eyJ":
+            after[kind] = RUNS[kind].match(text, at).end()
     end = 0
     for m in _SAMPLED.finditer(text[3::4]):
         for at in range(4 * m.start() + 3, 4 * m.end(), 4):
