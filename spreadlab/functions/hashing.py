@@ -1,13 +1,15 @@
-"""Integer hashes as Column expressions, safe under ANSI arithmetic.
+"""Integer hashes, safe under ANSI arithmetic.
 
-Each intermediate value is bound once by a lambda, so that expression trees stay linear in size.
+For whole tables, ``with_fmix64`` and its kin bind each intermediate value to a column of a projection of its own: these stay apart in the
+plan, as each is used more than once, and are compiled into one stage.  The same hashes as Column expressions, for use where there is
+no table to add columns to, bind values by lambdas, which Spark interprets row by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK31 = 0x7FFFFFFF
@@ -51,6 +53,54 @@ def fmix64(x: Column) -> Column:
     return let(multiply(second, FMIX[1]), fold)
 
 
+def with_fmix64(df: DataFrame, name: str, x: Column) -> DataFrame:
+    """df with the 64-bit finalizer of x as the signed BIGINT column ``name``, compiled."""
+    a, cross, low, rest = (f"_{name}_{part}" for part in ("a", "cross", "low", "rest"))
+    q = F.col(a)
+
+    def limb(k: int) -> Column:
+        return F.shiftrightunsigned(q, 16 * k).bitwiseAND(0xFFFF)
+
+    def shifted(y: Column) -> Column:
+        return F.shiftleft(y.bitwiseAND(0xFFFF), 16)
+
+    fold = q.bitwiseXOR(F.shiftrightunsigned(q, 33))
+    df = df.withColumn(a, x.cast("long")).withColumn(a, fold)
+    for k in FMIX:
+        # q * k modulo 2**64, from 16-bit limbs of q and 32-bit halves of k, so that no product overflows
+        top, bottom = k >> 32, k & M32
+        df = df.withColumns({cross: limb(1) * bottom, low: limb(0) * bottom, rest: limb(0) * top + shifted(limb(1) * top) + limb(2) * bottom + shifted(limb(3) * bottom)})
+        df = df.withColumns({low: F.col(low) + shifted(F.col(cross)), rest: F.col(rest) + F.shiftrightunsigned(F.col(cross), 16)})
+        df = df.withColumn(a, F.shiftleft((F.shiftrightunsigned(F.col(low), 32) + F.col(rest)).bitwiseAND(M32), 32).bitwiseOR(F.col(low).bitwiseAND(M32)))
+        df = df.withColumn(a, fold)
+    return df.withColumn(name, q).drop(a, cross, low, rest)
+
+
+def with_fmix31(df: DataFrame, name: str, x: Column) -> DataFrame:
+    """df with the low 31 bits of that."""
+    return with_fmix64(df, name, x).withColumn(name, F.col(name).bitwiseAND(MASK31))
+
+
+def joined(u: Column, v: Column) -> Column:
+    """A pair of 32-bit numbers as one of 64."""
+    return F.shiftleft(u.cast("long"), 32).bitwiseOR(v.cast("long"))
+
+
+def with_edge_hash(df: DataFrame, name: str, u: Column, v: Column) -> DataFrame:
+    """df with edge_hash of (u, v), compiled."""
+    return with_fmix31(df, name, joined(u, v))
+
+
+def with_edge_hash_undirected(df: DataFrame, name: str, u: Column, v: Column) -> DataFrame:
+    """df with edge_hash_undirected of (u, v), compiled."""
+    return with_fmix31(df, name, joined(F.least(u, v), F.greatest(u, v)))
+
+
+def with_edge_hash_crc32c(df: DataFrame, name: str, u: Column, v: Column) -> DataFrame:
+    """df with edge_hash_crc32c of (u, v), which looks up a table eight times."""
+    return df.withColumn(name, edge_hash_crc32c(u, v))
+
+
 def fmix31(x: Column) -> Column:
     """Its low 31 bits."""
     return fmix64(x).bitwiseAND(MASK31)
@@ -58,7 +108,7 @@ def fmix31(x: Column) -> Column:
 
 def edge_hash(u: Column, v: Column) -> Column:
     """Hash of a directed edge between 32-bit vertices, 0 to 2**31 - 1."""
-    return fmix31(F.shiftleft(u.cast("long"), 32).bitwiseOR(v.cast("long")))
+    return fmix31(joined(u, v))
 
 
 def edge_hash_undirected(u: Column, v: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadlab.functions.hashing import fmix31
+from spreadlab.functions.hashing import joined, with_fmix31
 from spreadlab.session import spool
 
 #: A 31-bit hash as a share of one.
@@ -64,9 +64,10 @@ def noisy_or(p: Column, c: Column) -> Column:
     return F.round(1.0 - F.pow(1.0 - p.cast("double"), c.cast("double")), 4)
 
 
-def unit_hash(u: Column, v: Column, seed: int) -> Column:
-    """A repeatable number in [0, 1) for each edge."""
-    return fmix31(F.shiftleft(u.cast("long"), 32).bitwiseOR(v.cast("long")).bitwiseXOR(F.lit(seed).cast("long"))) / F.lit(UNIT)
+def with_unit_hash(edges: DataFrame, name: str, seed: int) -> DataFrame:
+    """edges with a repeatable number in [0, 1) for each (s, t)."""
+    own = with_fmix31(edges, name, joined(F.col("s"), F.col("t")).bitwiseXOR(F.lit(seed).cast("long")))
+    return own.withColumn(name, F.col(name) / F.lit(UNIT))
 
 
 def weigh_constant(edges: DataFrame, p: float) -> DataFrame:
@@ -77,16 +78,16 @@ def weigh_constant(edges: DataFrame, p: float) -> DataFrame:
 def weigh_uniform(edges: DataFrame, a: float, b: float | None = None, seed: int = 42) -> DataFrame:
     """A probability between a and b (half of a if not given) for each edge, from its hash."""
     b = a / 2 if b is None else b
-    p = F.lit(a) + F.lit(b - a) * unit_hash(F.col("s"), F.col("t"), seed)
-    return edges.withColumn("w", noisy_or(F.greatest(F.lit(min(a, b)), F.least(F.lit(max(a, b)), p)), F.col("c")))
+    p = F.lit(a) + F.lit(b - a) * F.col("_unit")
+    return with_unit_hash(edges, "_unit", seed).withColumn("w", noisy_or(F.greatest(F.lit(min(a, b)), F.least(F.lit(max(a, b)), p)), F.col("c"))).drop("_unit")
 
 
 def weigh_normal(edges: DataFrame, mean: float, deviation: float | None = None, seed: int = 42) -> DataFrame:
     """A normal probability within [0, 1] for each edge: two hashes by the Box-Muller rule."""
     deviation = mean / 2 if deviation is None else deviation
-    s, t = F.col("s"), F.col("t")
-    z = F.sqrt(-2.0 * F.log(1.0 - unit_hash(s, t, seed))) * F.cos(2.0 * F.pi() * unit_hash(s, t, seed + 1))
-    return edges.withColumn("w", noisy_or(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(mean) + F.lit(deviation) * z)), F.col("c")))
+    z = F.sqrt(-2.0 * F.log(1.0 - F.col("_one"))) * F.cos(2.0 * F.pi() * F.col("_two"))
+    both = with_unit_hash(with_unit_hash(edges, "_one", seed), "_two", seed + 1)
+    return both.withColumn("w", noisy_or(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(mean) + F.lit(deviation) * z)), F.col("c"))).drop("_one", "_two")
 
 
 def csr_offsets(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadlab.functions import hashing as H
 
-HASHES = {"directed": H.edge_hash, "undirected": H.edge_hash_undirected, "crc32c": H.edge_hash_crc32c}
+HASHES = {"directed": H.with_edge_hash, "undirected": H.with_edge_hash_undirected, "crc32c": H.with_edge_hash_crc32c}
 
 
 def threshold(p: Column) -> Column:
@@ -17,7 +17,8 @@ def threshold(p: Column) -> Column:
 
 def graph(edges: DataFrame, p: str = "w", hash_mode: str = "directed") -> DataFrame:
     """(u, v, thr, h) of (s, t, w): what sampling needs of an edge."""
-    return edges.select(F.col("s").cast("long").alias("u"), F.col("t").cast("long").alias("v"), threshold(F.col(p)).alias("thr"), HASHES[hash_mode](F.col("s"), F.col("t")).alias("h"))
+    arcs = edges.select(F.col("s").cast("long").alias("u"), F.col("t").cast("long").alias("v"), threshold(F.col(p)).alias("thr"))
+    return HASHES[hash_mode](arcs, "h", F.col("u"), F.col("v"))
 
 
 def seeds(spark: SparkSession, n_sims: int, offset: int = 0, in_order: bool = False) -> DataFrame:
@@ -31,30 +32,66 @@ def seeds_from(values: list[int], spark: SparkSession, in_order: bool = False) -
     return spark.createDataFrame(list(enumerate(sorted(values) if in_order else values)), "r int, x long").coalesce(1)
 
 
+#: Bits of a simulation's number.
+BITS = 31
+#: Where (k, prefix) of an edge's hash and of a simulation's number stand in one BIGINT.
+_KEY = "shiftleft(cast(k as bigint), 32) | shiftright({0}, k)"
+
+
+def _bits() -> Column:
+    """The least k, or one more, with thr <= 2**k: a number whose xor with h is below thr has all bits of h from the k-th on.
+
+    The logarithm of a threshold is off by less than its distance to the next whole number, but for powers of two, which may get one
+    more; what is met is tested.
+    """
+    return F.when(F.col("thr") <= 1, 0).otherwise(F.least(F.ceil(F.log2(F.col("thr").cast("double"))), F.lit(BITS))).cast("int")
+
+
+def _keyed(edges: DataFrame) -> DataFrame:
+    """edges with _key.  What could be null becomes never live, as from columns that can be null Spark infers filters, for which hashes would be made twice."""
+    edges = edges.withColumns({"h": F.coalesce("h", F.lit(1 << BITS)), "thr": F.coalesce("thr", F.lit(0).cast("long"))})
+    return edges.withColumn("k", _bits()).withColumn("_key", F.coalesce(F.expr(_KEY.format("h")), F.lit(-1).cast("long"))).drop("k")
+
+
+def _prefixes(sims: DataFrame) -> DataFrame:
+    """sims, once for each k, with _key: what its number has in common with all hashes that agree from the k-th bit on."""
+    return sims.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BITS)))).withColumn("_key", F.expr(_KEY.format("x"))).drop("k")
+
+
 def live_edges(edges: DataFrame, sims: DataFrame) -> DataFrame:
     """(u, v, r): each edge in each simulation that has it.
 
-    sims has a row for each simulation, which the caller's parameter bounds, so it is broadcast; edges stay where they are.
+    (x xor h) < thr holds only where x and h agree in the bits that thr leaves zero, so that each edge looks up one prefix among those of the
+    simulations' numbers, and at most every other number it meets fails: work grows with edges and live edges, not with edges
+    times simulations.  sims has a row for each simulation, which the caller's parameter bounds, so its prefixes are broadcast; edges
+    stay where they are.
     """
-    return edges.join(F.broadcast(sims), F.col("x").bitwiseXOR(F.col("h")) < F.col("thr")).select("u", "v", "r")
+    met = _keyed(edges).join(F.broadcast(_prefixes(sims.select("r", "x"))), "_key")
+    return met.where(F.col("x").bitwiseXOR(F.col("h")) < F.col("thr")).select("u", "v", "r")
 
 
-def prune(edges: DataFrame, sims: DataFrame, parts: int) -> DataFrame:
-    """(part, u, v, thr, h): edges live in at least one simulation of each part; part = r div (sims / parts).
+def live_groups(edges: DataFrame, sims: DataFrame, group: Column, mark: Column) -> DataFrame:
+    """(edges' columns, grp, word): for each group of simulations in which an edge is live, the ``mark``s of those, or-ed.
 
-    Edges are read once and stay where they are: each is held against each part's numbers, which the caller's parameter bounds.
+    group and mark are expressions of sims' columns r and x.  Simulations of one prefix travel as one array, so an edge meets them in one row, and
+    nothing is shuffled.
     """
-    n = sims.count()
-    size = max(1, n // parts)
-    own: list[list[int]] = [[] for _ in range(parts)]
-    for r in sims.collect():  # a row for each simulation
-        own[min(r.r // size, parts - 1)].append(r.x)
+    own = _prefixes(sims.select("r", "x")).groupBy("_key").agg(F.collect_list(F.struct(F.col("x"), group.cast("int").alias("grp"), mark.cast("long").alias("mark"))).alias("_sims"))
+    met = _keyed(edges).join(F.broadcast(own), "_key").drop("_key")
+    met = met.withColumn("_live", F.filter("_sims", lambda s: s["x"].bitwiseXOR(F.col("h")) < F.col("thr"))).drop("_sims")
+    groups = F.array_distinct(F.transform("_live", lambda s: s["grp"]))
+    words = F.transform(groups, lambda g: F.struct(g.alias("grp"), F.aggregate(F.filter("_live", lambda s: s["grp"] == g), F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(s["mark"])).alias("word")))
+    return met.withColumn("_word", F.explode_outer(words)).where("_word is not null").select(*edges.columns, "_word.grp", "_word.word")
 
-    def live(k: int) -> Column:
-        numbers = F.array(*(F.lit(x).cast("long") for x in own[k])) if own[k] else F.array().cast("array<bigint>")
-        return F.when(F.exists(numbers, lambda x: x.bitwiseXOR(F.col("h")) < F.col("thr")), F.lit(k))
 
-    return edges.withColumn("part", F.explode(F.array_compact(F.array(*map(live, range(parts)))))).select("part", *edges.columns)
+def prune(edges: DataFrame, sims: DataFrame, parts: int) -> DataFrame:
+    """(part, u, v, thr, h): edges live in at least one simulation of each part; part = r div (sims / parts).
+
+    Edges are read once and stay where they are: each meets the simulations of its prefix.
+    """
+    size = max(1, sims.count() // parts)
+    part = F.least(F.floor(F.col("r") / size), F.lit(parts - 1))
+    return live_groups(edges, sims, part, F.lit(1)).select(F.col("grp").alias("part"), *edges.columns)
 
 
 def sampled_ratio(pruned: DataFrame, edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def registers(vertices: DataFrame, sims: DataFrame, n_sims: int, offset: int = 0
     """(x, r, val): leading zeros of the hash of ~(id * n_sims + r + n_sims + offset)."""
     rows = vertices.crossJoin(F.broadcast(sims.select("r")))  # a caller's number of simulations
     nonce = F.bitwise_not(F.col("id") * n_sims + F.col("r") + n_sims + offset)
-    return rows.select(F.col("id").alias("x"), "r", H.let(H.fmix64(nonce), H.leading_zeros).cast("int").alias("val"))
+    return H.with_fmix64(rows, "h", nonce).select(F.col("id").alias("x"), "r", H.leading_zeros(F.col("h")).cast("int").alias("val"))
 
 
 def registers_harmonic(vertices: DataFrame, sims: DataFrame, n_sims: int, offset: int = 0) -> DataFrame:
@@ -24,11 +24,11 @@ def registers_harmonic(vertices: DataFrame, sims: DataFrame, n_sims: int, offset
     rows = vertices.crossJoin(F.broadcast(sims.select("r")))
     nonce = F.bitwise_not(F.col("id") * n_sims + F.col("r") + n_sims + offset)
 
-    def step(state, _):
-        return H.let(H.fmix64(state["h"]), lambda h: H.let(H.leading_zeros(h), lambda z: F.struct(h.alias("h"), (state["inverse"] + F.when(z > 0, 1.0 / z).otherwise(0.0)).alias("inverse"), (state["zero"] | (z == 0)).alias("zero"))))
-
-    chain = F.aggregate(F.sequence(F.lit(1), F.lit(CHAIN)), F.struct(nonce.alias("h"), F.lit(0.0).alias("inverse"), F.lit(False).alias("zero")), step)
-    return rows.select(F.col("id").alias("x"), "r", chain.alias("c")).select("x", "r", F.when(F.col("c.zero"), 0.0).otherwise(CHAIN / F.col("c.inverse")).alias("val"))
+    rows = rows.select(F.col("id").alias("x"), "r", nonce.alias("h"), F.lit(0.0).alias("inverse"), F.lit(False).alias("zero"))
+    for _ in range(CHAIN):
+        rows = H.with_fmix64(rows, "h", F.col("h")).withColumn("z", H.leading_zeros(F.col("h")))
+        rows = rows.withColumns({"inverse": F.col("inverse") + F.when(F.col("z") > 0, 1.0 / F.col("z")).otherwise(0.0), "zero": F.col("zero") | (F.col("z") == 0)})
+    return rows.select("x", "r", F.when(F.col("zero"), 0.0).otherwise(CHAIN / F.col("inverse")).alias("val"))
 
 
 def propagate_registers(reg: DataFrame, live: DataFrame, blocked: DataFrame | None = None, max_rounds: int | None = None, active_rate: float = 0.0, total: int | None = None, local: bool | None = None) -> DataFrame:

@@ -123,9 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weights_uniform": lambda s, d: prep.weigh_uniform(counted(s, d), 0.0, 0.1),
     "weights_normal": lambda s, d: prep.weigh_normal(counted(s, d), 0.05, 0.025),
     "csr_offsets": lambda s, d: prep.csr_offsets(counted(s, d), vertices(s, d)),
-    "edge_hash": lambda s, d: counted(s, d).select("s", "t", H.edge_hash(F.col("s"), F.col("t")).alias("h")),
-    "edge_hash_symmetric": lambda s, d: counted(s, d).select("s", "t", H.edge_hash_undirected(F.col("s"), F.col("t")).alias("h")),
-    "edge_hash_crc32c": lambda s, d: counted(s, d).select("s", "t", H.edge_hash_crc32c(F.col("s"), F.col("t")).alias("h")),
+    "edge_hash": lambda s, d: H.with_edge_hash(counted(s, d).select("s", "t"), "h", F.col("s"), F.col("t")),
+    "edge_hash_symmetric": lambda s, d: H.with_edge_hash_undirected(counted(s, d).select("s", "t"), "h", F.col("s"), F.col("t")),
+    "edge_hash_crc32c": lambda s, d: H.with_edge_hash_crc32c(counted(s, d).select("s", "t"), "h", F.col("s"), F.col("t")),
     "thresholds": lambda s, d: prep.weigh_constant(counted(s, d), P).select("s", "t", sampling.threshold(F.col("w")).alias("thr")),
     "seeds_sorted": lambda s, d: sampling.seeds(s, 256, in_order=True),
     "live_edges": live,
