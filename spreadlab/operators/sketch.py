@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadlab.functions import hashing as H
-from spreadlab.operators.spread import propagate
+from spreadlab.operators import packed
+from spreadlab.operators.spread import fits, propagate
+from spreadlab.session import spool
 
 #: Values that one harmonic register is the mean of.
 CHAIN = 4
@@ -33,6 +35,17 @@ def registers_harmonic(vertices: DataFrame, sims: DataFrame, n_sims: int, offset
 
 def propagate_registers(reg: DataFrame, live: DataFrame, blocked: DataFrame | None = None, max_rounds: int | None = None, active_rate: float = 0.0, total: int | None = None, local: bool | None = None) -> DataFrame:
     """(x, r, val): the largest register among all that x reaches; blocked (v, r) are taken out of the graph."""
+    if blocked is not None and blocked.isEmpty():
+        blocked = None
+    whole = dict(reg.dtypes)["val"] not in ("double", "float")
+    if local is None:
+        local = fits(reg, live)
+    if not local and whole:
+        state = packed.from_rows(reg, "max")
+        if blocked is not None:
+            state = packed.blocked(state, packed.pack(blocked, "v"))
+        adj = packed.adjacency(spool(packed.pack(live, "u", "v"), "words"), "v", "u")
+        return packed.to_rows(packed.propagate(state, adj, "max", max_rounds, active_rate, total), "max", dict(reg.dtypes)["val"])
     if blocked is not None:
         gone = blocked.select(F.col("v").alias("x"), "r")
         reg = reg.join(gone, ["x", "r"], "left_anti")

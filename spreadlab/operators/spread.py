@@ -1,8 +1,8 @@
 """Fixpoints over live edges: cascades, labels and registers, all simulations at once.
 
 Simulations do not depend on each other.  Where a count shows that the rows of each of them fit a task (ROWS), one shuffle
-brings each simulation together and a fixpoint is one job.  Where they do not, rounds are Spark jobs: each sends and writes
-only what changed, in one join and one aggregation on (vertex, simulation), to the shared folder.  Both give the same rows.
+brings each simulation together and a fixpoint is one job.  Where they do not, rounds are Spark jobs on packed state (see
+``packed``); values of other kinds than registers and labels go by rounds of one row for each vertex and simulation.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from spreadlab.session import spool
+from spreadlab.operators import packed
+from spreadlab.session import shipped, spool
 
 #: Rows of edges, values and visits (24 bytes each) of one simulation that a task may hold.
 ROWS = 2_000_000
@@ -51,25 +52,21 @@ def relax(src: np.ndarray, dst: np.ndarray, val: np.ndarray, best, worst, max_ro
     return val, counts
 
 
-def _relaxed(best: str, whole: bool, max_rounds: int | None, report: bool):
+def relaxed(table: pa.Table, best: str, whole: bool, max_rounds: int | None, report: bool) -> pa.Table:
     """For applyInArrow: a simulation's rows (kind 0 edges x to y, 1 values y of x) to its values, or to changes by round."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kind, x, y, r = (table[c].to_numpy() for c in ("kind", "x", "y", "r"))
-        x = x.astype(np.int64)
-        edge = kind == 0
-        worst = (np.inf if best == "min" else -np.inf) if not whole else (np.iinfo(np.int64).max if best == "min" else np.iinfo(np.int64).min)
-        ends = y[edge].astype(np.int64)
-        ids, at = np.unique(np.concatenate([x, ends]), return_inverse=True)
-        val = np.full(len(ids), worst, np.int64 if whole else np.float64)
-        _KIND[best].at(val, at[: len(x)][~edge], y[~edge].astype(val.dtype))
-        val, counts = relax(at[: len(x)][edge], at[len(x) :], val, _KIND[best], worst, max_rounds)
-        if report:
-            return pa.table({"r": pa.array(np.full(len(counts), r[0], np.int32)), "round": pa.array(np.arange(len(counts), dtype=np.int64)), "n": pa.array(np.array(counts, np.int64))})
-        has = val != worst
-        return pa.table({"x": ids[has], "r": pa.array(np.full(int(has.sum()), r[0], np.int32)), "val": val[has]})
-
-    return run
+    kind, x, y, r = (table[c].to_numpy() for c in ("kind", "x", "y", "r"))
+    x = x.astype(np.int64)
+    edge = kind == 0
+    worst = (np.inf if best == "min" else -np.inf) if not whole else (np.iinfo(np.int64).max if best == "min" else np.iinfo(np.int64).min)
+    ends = y[edge].astype(np.int64)
+    ids, at = np.unique(np.concatenate([x, ends]), return_inverse=True)
+    val = np.full(len(ids), worst, np.int64 if whole else np.float64)
+    _KIND[best].at(val, at[: len(x)][~edge], y[~edge].astype(val.dtype))
+    val, counts = relax(at[: len(x)][edge], at[len(x) :], val, _KIND[best], worst, max_rounds)
+    if report:
+        return pa.table({"r": pa.array(np.full(len(counts), r[0], np.int32)), "round": pa.array(np.arange(len(counts), dtype=np.int64)), "n": pa.array(np.array(counts, np.int64))})
+    has = val != worst
+    return pa.table({"x": ids[has], "r": pa.array(np.full(int(has.sum()), r[0], np.int32)), "val": val[has]})
 
 
 def propagate(start: DataFrame, live: DataFrame, source: str, target: str, best: str, max_rounds: int | None = None, active_rate: float = 0.0, total: int | None = None, local: bool | None = None) -> DataFrame:
@@ -87,10 +84,10 @@ def propagate(start: DataFrame, live: DataFrame, source: str, target: str, best:
     rows = _tagged([live.select("r", F.col(source).alias("x"), F.col(target).cast("long" if whole else "double").alias("y")), start.select("r", "x", F.col("val").cast("long" if whole else "double").alias("y"))])
     if active_rate and total is not None:
         rows = spool(rows)
-        counts = rows.groupBy("r").applyInArrow(_relaxed(best, whole, max_rounds, True), "r int, round long, n long").groupBy("round").agg(F.sum("n").alias("n")).orderBy("round")
+        counts = rows.groupBy("r").applyInArrow(shipped(relaxed, best, whole, max_rounds, True), "r int, round long, n long").groupBy("round").agg(F.sum("n").alias("n")).orderBy("round")
         few = counts.where(F.col("n") <= active_rate * total).first()
         max_rounds = few["round"] + 1 if few else max_rounds
-    out = rows.groupBy("r").applyInArrow(_relaxed(best, whole, max_rounds, False), f"x long, r int, val {'long' if whole else 'double'}")
+    out = rows.groupBy("r").applyInArrow(shipped(relaxed, best, whole, max_rounds, False), f"x long, r int, val {'long' if whole else 'double'}")
     return spool(out.select("x", "r", F.col("val").cast(kind).alias("val")))
 
 
@@ -126,20 +123,16 @@ def reach(src: np.ndarray, dst: np.ndarray, seen: np.ndarray, now: np.ndarray, m
     return seen | now
 
 
-def _reached(max_rounds: int | None):
+def reached(table: pa.Table, max_rounds: int | None) -> pa.Table:
     """For applyInArrow: a simulation's rows (kind 0 edges x to y, 1 frontier x, 2 visited x) to all visited."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kind, x, y, r = (table[c].to_numpy() for c in ("kind", "x", "y", "r"))
-        edge = kind == 0
-        ids, at = np.unique(np.concatenate([x, y[edge]]), return_inverse=True)
-        marks = np.zeros((2, len(ids)), bool)
-        for k in (1, 2):
-            marks[k - 1, at[: len(x)][kind == k]] = True
-        out = reach(at[: len(x)][edge], at[len(x) :], marks[1], marks[0], max_rounds)
-        return pa.table({"v": ids[out], "r": pa.array(np.full(int(out.sum()), r[0], np.int32))})
-
-    return run
+    kind, x, y, r = (table[c].to_numpy() for c in ("kind", "x", "y", "r"))
+    edge = kind == 0
+    ids, at = np.unique(np.concatenate([x, y[edge]]), return_inverse=True)
+    marks = np.zeros((2, len(ids)), bool)
+    for k in (1, 2):
+        marks[k - 1, at[: len(x)][kind == k]] = True
+    out = reach(at[: len(x)][edge], at[len(x) :], marks[1], marks[0], max_rounds)
+    return pa.table({"v": ids[out], "r": pa.array(np.full(int(out.sum()), r[0], np.int32))})
 
 
 def cascade(live: DataFrame, frontier: DataFrame, visited: DataFrame | None = None, max_rounds: int | None = None, local: bool | None = None) -> DataFrame:
@@ -147,24 +140,10 @@ def cascade(live: DataFrame, frontier: DataFrame, visited: DataFrame | None = No
     tables = [live, frontier, *([] if visited is None else [visited])]
     if fits(*tables) if local is None else local:
         rows = _tagged([live.select("r", F.col("u").alias("x"), F.col("v").cast("long").alias("y")), *(t.select("r", F.col("v").alias("x"), F.lit(0).cast("long").alias("y")) for t in tables[1:])])
-        return spool(rows.groupBy("r").applyInArrow(_reached(max_rounds), "v long, r int"))
-    parts = [] if visited is None else [visited.select("v", "r")]
-
-    def fresh(rows: DataFrame) -> DataFrame:
-        for p in parts:
-            rows = rows.join(p, ["v", "r"], "left_anti")
-        return spool(rows)
-
-    now, done = fresh(frontier.select("v", "r").distinct()), 0
-    while not now.isEmpty():
-        parts.append(now)
-        if len(parts) > DELTAS:  # few tables to hold the frontier against
-            parts = [spool(reduce(DataFrame.unionByName, parts))]
-        if max_rounds is not None and done >= max_rounds:
-            break
-        done += 1
-        now = fresh(now.withColumnRenamed("v", "u").join(live, ["u", "r"]).select("v", "r").distinct())
-    return spool(reduce(DataFrame.unionByName, parts)) if parts else now
+        return spool(rows.groupBy("r").applyInArrow(shipped(reached, max_rounds), "v long, r int"))
+    adj = packed.adjacency(spool(packed.pack(live, "u", "v"), "words"))
+    old = None if visited is None else spool(packed.pack(visited, "v"), "visited")
+    return spool(packed.unpack(packed.cascade(adj, packed.pack(frontier, "v"), old, max_rounds), "v"))
 
 
 def at_seeds(vertices: list[int], sims: DataFrame) -> DataFrame:
@@ -178,16 +157,18 @@ def spread(visited: DataFrame, n_sims: int) -> DataFrame:
     return visited.agg((F.count("*") / F.lit(n_sims)).alias("spread"))
 
 
-def min_labels(live: DataFrame, both_ways: bool = False, max_rounds: int | None = None) -> DataFrame:
+def min_labels(live: DataFrame, both_ways: bool = False, max_rounds: int | None = None, local: bool | None = None) -> DataFrame:
     """(v, r, label) of the vertices with a live edge: the least vertex that reaches each; all others are labelled themselves.
 
     both_ways: edges carry labels back, too, so that labels name weak components.
     """
+    if local is False:
+        return packed.min_labels(spool(packed.pack(live, "u", "v"), "words"), both_ways, max_rounds)
     if both_ways:
         live = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v"), "r"))
     live = spool(live.distinct())
     ends = live.select(F.explode(F.array("u", "v")).alias("x"), "r").distinct().withColumn("val", F.col("x"))
-    return propagate(ends, live, "u", "v", "min", max_rounds).select(F.col("x").alias("v"), "r", F.col("val").alias("label"))
+    return propagate(ends, live, "u", "v", "min", max_rounds, local=local).select(F.col("x").alias("v"), "r", F.col("val").alias("label"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
