@@ -328,6 +328,14 @@ def reset(batches):
         yield pa.record_batch({"x": _column(batch, "x"), "grp": _column(batch, "grp"), "lanes": _lanes(lanes)})
 
 
+def newly(visited: DataFrame, before: DataFrame | None) -> DataFrame:
+    """What words visited (v, grp, word) have over those before."""
+    if before is None:
+        return visited
+    both = visited.join(before.select("v", "grp", F.col("word").alias("old")), ["v", "grp"], "left")
+    return both.select("v", "grp", F.col("word").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("word")).where("word != 0")
+
+
 def rebuilt(reg: DataFrame, first: DataFrame, forward: Adjacency, back: Adjacency, gone: DataFrame, visited: DataFrame, **stop) -> tuple[DataFrame, DataFrame]:
     """Registers without the visited (v, grp, word), from registers reg that had only ``gone`` of them in addition; and the lanes made anew (v, grp, word).
 

@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadlab.operators import sketch
+from spreadlab.operators import packed, sketch
 from spreadlab.operators import spread as S
 from spreadlab.operators.sampling import live_edges, prune
-from spreadlab.session import spool
+from spreadlab.session import shipped, spool
 from spreadlab.sources.results import RESULT
 
 
@@ -76,10 +76,11 @@ def _result(spark, rows) -> DataFrame:
     return spark.createDataFrame(rows, RESULT).coalesce(1)
 
 
-def component_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, batch: int = 64, by_reset: bool = False) -> DataFrame:
+def component_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, batch: int = 64, by_reset: bool = False, local: bool | None = None) -> DataFrame:
     """Gains are sizes of components that no seed covers yet, memoised once; by_reset zeroes covered sizes instead of skipping them."""
     spark, began, n = edges.sparkSession, time.time(), sims.count()
-    labels = spool(S.min_labels(live_edges(edges, sims)).repartitionByRange("v").sortWithinPartitions("v"))  # few row groups have a candidate
+    found = S.min_labels(live_edges(edges, sims), local=local) if local is not False else packed.min_labels(spool(packed.live_words(edges, sims), "words"))
+    labels = spool(found.repartitionByRange("v").sortWithinPartitions("v"))  # few row groups have a candidate
     sizes = spool(S.component_sizes(labels))
     bounds = S.vertex_gains(labels, sizes, vertices, n).select("v", (F.col("total") / n).alias("gain"))
     covered = spark.createDataFrame([], "r int, label long")
@@ -106,70 +107,127 @@ def component_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k:
     return _result(spark, rows)
 
 
-def sketch_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, eps: float = 0.3, tr: float = 0.01, active_rate: float = 0.0, rebuild: str = "error", early_stop: float | None = None, parts: int = 1, max_rounds: int | None = None, cascade_rounds: int | None = None) -> DataFrame:
+def fits_a_task(edges: DataFrame, sims: DataFrame, vertices: DataFrame, per_vertex: int) -> bool:
+    """Live edges of any simulation, and ``per_vertex`` rows for each vertex, are few enough for one task."""
+    most = live_edges(edges, sims).groupBy("r").count().agg(F.max("count")).first()[0] or 0
+    return most + per_vertex * vertices.count() <= S.ROWS
+
+
+class InTasks:
+    """A sketch's state in rows (vertex, simulation); each simulation's fixpoint runs in a task."""
+
+    def __init__(self, edges: DataFrame, vertices: DataFrame, sims: DataFrame, n: int, stop: dict, cascade_rounds: int | None):
+        self.live, self.first, self.sims, self.n, self.stop, self.cascade_rounds = spool(live_edges(edges, sims)), spool(sketch.registers(vertices, sims, n)), sims, n, stop, cascade_rounds
+
+    def registers(self, before: DataFrame | None = None, without: DataFrame | None = None, visited: DataFrame | None = None) -> DataFrame:
+        return sketch.propagate_registers(self.first, self.live, visited, local=True, **self.stop)
+
+    def estimates(self, reg: DataFrame, mask: dict[int, int]) -> DataFrame:
+        return sketch.estimates(reg, mask, self.n)
+
+    def own(self, reg: DataFrame, seed: int) -> dict[int, int]:
+        return {r.r: r.val for r in reg.where(F.col("x") == seed).collect()}  # a row for each simulation
+
+    def cascade(self, seed: int, visited: DataFrame | None) -> DataFrame:
+        return S.cascade(self.live, S.at_seeds([seed], self.sims), visited, self.cascade_rounds, True)
+
+    def size(self, visited: DataFrame) -> int:
+        return visited.count()
+
+
+class ByRounds:
+    """The same in packed rows (vertex, group of simulations); a fixpoint's rounds are jobs, and registers are made anew only where they can change."""
+
+    def __init__(self, edges: DataFrame, vertices: DataFrame, sims: DataFrame, n: int, stop: dict, cascade_rounds: int | None):
+        words = spool(packed.live_words(edges, sims), "words")
+        self.forward, self.back = packed.adjacency(words), packed.adjacency(words, "v", "u")
+        self.first, self.sims, self.n, self.stop, self.cascade_rounds = spool(packed.registers(vertices, n), "registers"), sims, n, stop, cascade_rounds
+
+    def registers(self, before: DataFrame | None = None, without: DataFrame | None = None, visited: DataFrame | None = None) -> DataFrame:
+        if before is not None and not self.stop.get("max_rounds") and not self.stop.get("active_rate"):  # before is a fixpoint, without some of the visited
+            return packed.rebuilt(before, self.first, self.forward, self.back, packed.newly(visited, without), visited)[0]
+        start = self.first if visited is None else packed.blocked(self.first, visited)
+        return packed.propagate(start, self.back, "max", **self.stop)
+
+    def estimates(self, reg: DataFrame, mask: dict[int, int]) -> DataFrame:
+        return packed.estimates(reg, mask, self.n)
+
+    def own(self, reg: DataFrame, seed: int) -> dict[int, int]:
+        return {r.r: r.val for r in packed.to_rows(reg.where(F.col("x") == seed), "max", "int").collect()}  # a row for each simulation
+
+    def cascade(self, seed: int, visited: DataFrame | None) -> DataFrame:
+        return packed.cascade(self.forward, packed.pack(S.at_seeds([seed], self.sims), "v"), visited, self.cascade_rounds)
+
+    def size(self, visited: DataFrame) -> int:
+        return packed.count(visited)
+
+
+def sketch_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, eps: float = 0.3, tr: float = 0.01, active_rate: float = 0.0, rebuild: str = "error", early_stop: float | None = None, parts: int = 1, max_rounds: int | None = None, cascade_rounds: int | None = None, local: bool | None = None) -> DataFrame:
     """Registers estimate gains; each choice is simulated, and registers are built anew where the estimate was poor.
 
     rebuild "error": if (estimate - gain) / gain > eps and |estimate - gain| / score > tr; "always": after each choice.
     early_stop: once the score grows by less than this factor, later seeds come from the mask alone.
     parts: edges are pruned to those live in each part of the simulations, and estimates are summed over parts.
+    local: simulations fit a task each; counted if not given.
     """
     spark, began, n = edges.sparkSession, time.time(), sims.count()
-    if parts > 1:
-        size = max(1, n // parts)
-        part = F.least(F.floor(F.col("r") / size), F.lit(parts - 1))
-        kept = prune(edges, sims, parts)
-        own = sims.withColumn("own", part)
-        live = spool(kept.join(F.broadcast(own), (F.col("part") == F.col("own")) & (F.col("x").bitwiseXOR(F.col("h")) < F.col("thr"))).select("u", "v", "r"))
-    else:
-        live = spool(live_edges(edges, sims))
-    first = spool(sketch.registers(vertices, sims, n))
-    total = first.count()
-    local = S.fits(first, first, live)  # registers or visits, and edges
-    reg = sketch.propagate_registers(first, live, None, max_rounds, active_rate, total, local)
+    if parts > 1:  # of an edge that is live in several parts one is enough, as a simulation is in one part
+        edges = spool(prune(edges, sims, parts).drop("part").distinct())
+    if local is None:
+        local = fits_a_task(edges, sims, vertices, 2)  # registers or visits
+    total = vertices.count() * n
+    state = (InTasks if local else ByRounds)(edges, vertices, sims, n, {"max_rounds": max_rounds, "active_rate": active_rate, "total": total}, cascade_rounds)
+    reg = state.registers()
     mask: dict[int, int] = {}
-    visited, taken, rows = None, [], []
+    visited, out, taken, rows = None, None, [], []
     score = base = old = 0.0
     for step in range(k):
-        known = vertices.select(F.col("id").alias("u")).join(sketch.estimates(reg, mask, n), "u", "left")  # all of a vertex's registers may be taken out
+        known = vertices.select(F.col("id").alias("u")).join(state.estimates(reg, mask), "u", "left")  # all of a vertex's registers may be taken out
         best = sketch.argmax(known.select("u", F.coalesce("total", F.lit(sum(mask.values()))).alias("total")), taken)
         if best is None:
             break
         seed, estimate = best.u, 2.0 ** (best.total / n)
         taken.append(seed)
-        own = {r.r: r.val for r in reg.where(F.col("x") == seed).collect()}  # a row for each simulation
+        own = state.own(reg, seed)
         stopped = early_stop is not None and old > 0 and score / old < early_stop
         if stopped:
             mask = {r: max(mask.get(r, 0), own.get(r, 0)) for r in mask.keys() | own.keys()}
             rows.append((step, seed, score, time.time() - began, 0.0))
             continue
-        visited = S.cascade(live, S.at_seeds([seed], sims), visited, cascade_rounds, local)
-        old, score = score, visited.count() / n
+        visited = state.cascade(seed, visited)
+        old, score = score, state.size(visited) / n
         gain = score - base
         err = (estimate - gain) / gain if gain else float("inf")
         rows.append((step, seed, score, time.time() - began, err * 100))
         if rebuild == "always" or err > eps and abs(estimate - gain) / score > tr:
-            reg = sketch.propagate_registers(first, live, visited, max_rounds, active_rate, total, local)
-            mask, base = {}, score
+            reg = state.registers(reg, out, visited)
+            out, mask, base = visited, {}, score
         else:
             mask = {r: max(mask.get(r, 0), own.get(r, 0)) for r in mask.keys() | own.keys()}
     return _result(spark, rows)
 
 
-def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, batch: int = 48) -> DataFrame:
-    """First gains from weak components, an upper bound; later ones from cascades of their own on top of the seeds' visits."""
+def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, batch: int = 48, local: bool | None = None) -> DataFrame:
+    """First gains from weak components, an upper bound; later ones from cascades of their own on top of the seeds' visits.
+
+    local: simulations fit a task each; counted if not given.
+    """
     spark, began, n = edges.sparkSession, time.time(), sims.count()
+    if local is None:
+        local = fits_a_task(edges, sims, vertices, 2)  # both ways of an edge are counted as visits
+    if not local:
+        return _mix_by_rounds(edges, vertices, sims, k, batch, n, began)
     live = spool(live_edges(edges, sims))
     labels = spool(S.min_labels(live, both_ways=True))
     bounds = S.vertex_gains(labels, S.component_sizes(labels), vertices, n).select("v", (F.col("total") / n).alias("gain"))
     visited = spark.createDataFrame([], "v long, r int")
-    local = S.fits(live, rows=S.ROWS - vertices.count())  # a simulation's edges, and as many visits as vertices
 
     def rescore(some: list[int], _: int) -> dict[int, float]:
-        return marginal_gains(live, sims, visited, some, n, local)
+        return marginal_gains(live, sims, visited, some, n)
 
     def commit(v: int) -> None:
         nonlocal visited
-        visited = S.cascade(live, S.at_seeds([v], sims), visited, local=local)
+        visited = S.cascade(live, S.at_seeds([v], sims), visited, local=True)
 
     rows, score = [], 0.0
     for step, v, gain, tries in lazy_greedy(bounds, k, rescore, commit, batch, exact=False):
@@ -178,46 +236,50 @@ def mix_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, b
     return _result(spark, rows)
 
 
-def _added():
-    """For applyInArrow: a simulation's rows (kind 0 edges x to y, 1 candidates x, 2 visited x) to (seed, n) of each candidate."""
+def _mix_by_rounds(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, batch: int, n: int, began: float) -> DataFrame:
+    """The same on packed state: the candidates of a batch are one cascade, kept apart by a tag."""
+    spark, words = edges.sparkSession, spool(packed.live_words(edges, sims), "words")
+    labels = spool(packed.min_labels(words, both_ways=True))
+    bounds = S.vertex_gains(labels, S.component_sizes(labels), vertices, n).select("v", (F.col("total") / n).alias("gain"))
+    adj, visited = packed.adjacency(words), None
+
+    def rescore(some: list[int], _: int) -> dict[int, float]:
+        start = packed.pack(S.at_seeds(some, sims), "v").withColumn("seed", F.col("v"))
+        reached = packed.cascade(adj, start, visited, tags=("seed",))
+        got = {r.seed: r.n for r in reached.groupBy("seed").agg(F.sum(F.bit_count("word")).alias("n")).collect()}  # a row for each candidate of the batch
+        return {v: got.get(v, 0) / n for v in some}
+
+    def commit(v: int) -> None:
+        nonlocal visited
+        visited = packed.cascade(adj, packed.pack(S.at_seeds([v], sims), "v"), visited)
 
-    def run(table: pa.Table) -> pa.Table:
-        kind, x, y = (table[c].to_numpy() for c in ("kind", "x", "y"))
-        edge = kind == 0
-        ids, at = np.unique(np.concatenate([x, y[edge]]), return_inverse=True)
-        src, dst, old = at[: len(x)][edge], at[len(x) :], np.zeros(len(ids), bool)
-        old[at[: len(x)][kind == 2]] = True
-        out = []
-        for one in at[: len(x)][kind == 1].tolist():
-            now = np.zeros(len(ids), bool)
-            now[one] = True
-            out.append((int(ids[one]), int(S.reach(src, dst, old, now).sum() - old.sum())))
-        seed, n = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"seed": pa.array(seed, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    return run
-
-
-def marginal_gains(live: DataFrame, sims: DataFrame, visited: DataFrame, some: list[int], n: int, local: bool | None = None) -> dict[int, float]:
-    """Mean number of vertices that each candidate adds to visited, all candidates in one cascade of (candidate, v, r)."""
-    now = S.at_seeds(some, sims)
+    rows, score = [], 0.0
+    for step, v, gain, tries in lazy_greedy(bounds, k, rescore, commit, batch, exact=False):
+        score += gain
+        rows.append((step, v, score, time.time() - began, float(tries)))
+    return _result(spark, rows)
+
+
+def added(table: pa.Table) -> pa.Table:
+    """For applyInArrow: a simulation's rows (kind 0 edges x to y, 1 candidates x, 2 visited x) to (seed, n) of each candidate."""
+    kind, x, y = (table[c].to_numpy() for c in ("kind", "x", "y"))
+    edge = kind == 0
+    ids, at = np.unique(np.concatenate([x, y[edge]]), return_inverse=True)
+    src, dst, old = at[: len(x)][edge], at[len(x) :], np.zeros(len(ids), bool)
+    old[at[: len(x)][kind == 2]] = True
+    out = []
+    for one in at[: len(x)][kind == 1].tolist():
+        now = np.zeros(len(ids), bool)
+        now[one] = True
+        out.append((int(ids[one]), int(S.reach(src, dst, old, now).sum() - old.sum())))
+    seed, n = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"seed": pa.array(seed, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def marginal_gains(live: DataFrame, sims: DataFrame, visited: DataFrame, some: list[int], n: int) -> dict[int, float]:
+    """Mean number of vertices that each candidate adds to visited; each simulation is a task's."""
     got = dict.fromkeys(some, 0)
-    if S.fits(live, visited) if local is None else local:
-        rows = S._tagged([live.select("r", F.col("u").alias("x"), F.col("v").cast("long").alias("y")), *(t.select("r", F.col("v").alias("x"), F.lit(0).cast("long").alias("y")) for t in (now, visited))])
-        for r in rows.groupBy("r").applyInArrow(_added(), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a row for each candidate of the batch
-            got[r.seed] = r.n
-        return {v: k / n for v, k in got.items()}
-    now = now.select(F.col("v").alias("seed"), "v", "r").join(visited, ["v", "r"], "left_anti")
-    parts = []
-    while True:
-        for p in parts:
-            now = now.join(p, ["seed", "v", "r"], "left_anti")
-        now = spool(now)
-        if now.isEmpty():
-            break
-        parts.append(now)
-        now = now.withColumnRenamed("v", "u").join(live, ["u", "r"]).select("seed", "v", "r").distinct().join(visited, ["v", "r"], "left_anti")
-    for p in parts:
-        for r in p.groupBy("seed").count().collect():  # a row for each candidate of the batch
-            got[r.seed] += r["count"]
+    rows = S._tagged([live.select("r", F.col("u").alias("x"), F.col("v").cast("long").alias("y")), *(t.select("r", F.col("v").alias("x"), F.lit(0).cast("long").alias("y")) for t in (S.at_seeds(some, sims), visited))])
+    for r in rows.groupBy("r").applyInArrow(shipped(added), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a row for each candidate of the batch
+        got[r.seed] = r.n
     return {v: k / n for v, k in got.items()}

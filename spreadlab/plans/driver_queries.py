@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadlab.functions import hashing as H
-from spreadlab.operators import prep, sampling, select, sketch
+from spreadlab.operators import packed, prep, sampling, select, sketch
 from spreadlab.operators import spread as S
 from spreadlab.plans import experiments
 from spreadlab.session import spool
@@ -55,8 +55,8 @@ def _greedy(result: DataFrame) -> DataFrame:
     return result.select("step", "seed", F.round("score", 6).alias("score"))
 
 
-def _select(method: Callable, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _greedy(method(spool(arcs(spark, d)), spool(vertices(spark, d)), sampling.seeds(spark, SIMS), 3, **options))
+def _select(method: Callable, k: int = 3, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _greedy(method(spool(arcs(spark, d)), spool(vertices(spark, d)), sampling.seeds(spark, SIMS), k, **options))
 
 
 def _labels(spark: SparkSession, d: str, both_ways: bool = False) -> DataFrame:
@@ -69,7 +69,36 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _registers(spark: SparkSession, d: str, kind: Callable = sketch.registers) -> DataFrame:
-    return kind(vertices(spark, d), sampling.seeds(spark, SIMS), SIMS)
+    return kind(spool(vertices(spark, d)), sampling.seeds(spark, SIMS), SIMS)
+
+
+def _words(spark: SparkSession, d: str, n: int = SIMS) -> DataFrame:
+    return spool(packed.live_words(arcs(spark, d), sampling.seeds(spark, n)), "words")
+
+
+def _cascade_words(spark: SparkSession, d: str) -> DataFrame:
+    """128 simulations in two words from first round to last."""
+    start = packed.pack(S.at_seeds(list(SEEDS), sampling.seeds(spark, 128)), "v")
+    out = packed.cascade(packed.adjacency(_words(spark, d, 128)), start)
+    return out.select("v", F.col("grp").cast("long").alias("grp"), "word", F.bit_count("word").cast("long").alias("sims"))
+
+
+def _estimates_lanes(spark: SparkSession, d: str) -> DataFrame:
+    """256 registers of a vertex in four rows; the mask has every third simulation."""
+    reg = packed.propagate(packed.registers(vertices(spark, d), 256), packed.adjacency(_words(spark, d, 256), "v", "u"), "max")
+    return packed.estimates(reg, {r: 4 for r in range(0, 256, 3)}, 256)
+
+
+def _registers_again(spark: SparkSession, d: str) -> DataFrame:
+    """Registers without what a first seed and then two more reach, made anew where these can matter."""
+    words = _words(spark, d)
+    first, forward, back = spool(packed.registers(vertices(spark, d), SIMS)), packed.adjacency(words), packed.adjacency(words, "v", "u")
+    reg, gone = packed.propagate(first, back, "max"), None
+    for seeds in (SEEDS[:1], SEEDS[1:]):
+        before = gone
+        gone = packed.cascade(forward, packed.pack(S.at_seeds(list(seeds), sampling.seeds(spark, SIMS)), "v"), before)
+        reg, _ = packed.rebuilt(reg, first, forward, back, packed.newly(gone, before), gone)
+    return packed.to_rows(reg, "max", "int")
 
 
 def _propagated(spark: SparkSession, d: str, blocked: tuple = ()) -> DataFrame:
@@ -93,13 +122,13 @@ def _fill_table(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for in_order in (False, True):
         rows = sampling.live_edges(edges, sampling.seeds(spark, 64, in_order=in_order)).join(nation, "u").groupBy("Dataset", "u", "v", F.floor(F.col("r") / 32).alias("g")).agg(F.count("*").alias("c"))
-        part = rows.groupBy("Dataset").agg((F.sum("c") / (32 * F.count("*"))).alias("Fillrate")).select("Dataset", F.lit("0.01").alias("Setting"), F.lit(256).alias("R"), F.lit("Sorted" if in_order else "Naive").alias("Approach"), "Fillrate")
+        part = rows.groupBy("Dataset").agg((F.sum("c") / (32 * F.count("*"))).alias("Fillrate")).select("Dataset", F.lit("0.01").alias("Setting"), F.lit(64).alias("R"), F.lit("Sorted" if in_order else "Naive").alias("Approach"), "Fillrate")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _pivot(spark: SparkSession, d: str) -> DataFrame:
-    rows = experiments.named(experiments.chosen(_fill_table(spark, d)), {"FRANCE": "Frankreich", "GERMANY": "Deutschland"})
+    rows = experiments.named(experiments.chosen(_fill_table(spark, d), 64), {"FRANCE": "Frankreich", "GERMANY": "Deutschland"})
     return experiments.pivot_means(rows, "Approach", "rate", "Fillrate").withColumn("rate", F.round(experiments.clipped("rate"), 9))
 
 
@@ -112,6 +141,23 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     return _cascade(spark, d, SEEDS).groupBy("v").agg(word.alias("word")).select("v", "word", F.bit_count("word").cast("long").alias("sims"))
 
 
+def _live_by_seed(spark: SparkSession, d: str, sims: DataFrame) -> DataFrame:
+    """(r, x, n): the edges that are live for each number."""
+    n = sampling.live_edges(arcs(spark, d), sims).groupBy("r").agg(F.count("*").alias("n"))
+    return sims.join(n, "r", "left").select("r", "x", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The fill rate for each combination of two numbers of simulations and two orders."""
+    edges = spool(arcs(spark, d, 0.01))
+
+    def run(p: dict) -> dict:
+        return {"filled": sampling.fill_rate(sampling.live_edges(edges, sampling.seeds(spark, p["n_sims"], in_order=bool(p["in_order"])))).first().filled}
+
+    rows = experiments.sweep([r.asDict() for r in experiments.combinations(spark, n_sims=[32, 64], in_order=[0, 1]).collect()], run)  # the caller's four
+    return spark.createDataFrame(rows, "n_sims long, in_order long, filled long").coalesce(1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_lines": lambda s, d: prep.clean(_lines(s, d)),
     "edge_multiplicity": lambda s, d: prep.multiplicity(pairs(s, d)),
@@ -127,7 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_hash_symmetric": lambda s, d: H.with_edge_hash_undirected(counted(s, d).select("s", "t"), "h", F.col("s"), F.col("t")),
     "edge_hash_crc32c": lambda s, d: H.with_edge_hash_crc32c(counted(s, d).select("s", "t"), "h", F.col("s"), F.col("t")),
     "thresholds": lambda s, d: prep.weigh_constant(counted(s, d), P).select("s", "t", sampling.threshold(F.col("w")).alias("thr")),
-    "seeds_sorted": lambda s, d: sampling.seeds(s, 256, in_order=True),
+    "seeds_sorted": lambda s, d: _live_by_seed(s, d, sampling.seeds(s, 256, in_order=True)),
     "live_edges": live,
     "partition_prune": lambda s, d: _pruned(s, d).select("part", "u", "v"),
     "sampled_ratio": lambda s, d: sampling.sampled_ratio(_pruned(s, d), arcs(s, d)).select("part", F.round("ratio", 9).alias("ratio")),
@@ -156,7 +202,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sketch_greedy_partitioned_k3": _select(select.sketch_greedy, rebuild="always", early_stop=1.001, parts=4),
     "mix_greedy_k3": _select(select.mix_greedy),
     "fillrate_pivot_margins": _pivot,
-    "param_sweep": lambda s, d: experiments.combinations(s, dataset=["a", "b"], k=[10, 50], method=["sketch"], n_sims=[64, 256], in_order=[0, 1]),
+    "param_sweep": _sweep,
+    "cascade_by_rounds": _cascade_words,
+    "labels_by_rounds": lambda s, d: packed.min_labels(_words(s, d)),
+    "labels_by_rounds_both_ways": lambda s, d: packed.min_labels(_words(s, d), True),
+    "sketch_estimates_by_rounds": _estimates_lanes,
+    "registers_rebuilt": _registers_again,
+    "greedy_components_by_rounds_k3": _select(select.component_greedy, local=False),
+    "sketch_greedy_by_rounds_k3": _select(select.sketch_greedy, local=False),
+    "mix_greedy_by_rounds_k3": _select(select.mix_greedy, local=False),
 }
 
 # ---- DuckDB ---------------------------------------------------------------------------------
@@ -234,6 +288,19 @@ def _seed_list(seeds: tuple) -> str:
     return ", ".join(map(str, seeds))
 
 
+def _reg_of(n: int) -> str:
+    """REG with n simulations, from what each vertex reaches."""
+    return f"""{_live(P, n)}, {VERTICES},
+walk AS (SELECT DISTINCT u AS src, u AS v, r FROM live UNION SELECT walk.src, live.v, walk.r FROM walk JOIN live ON walk.v = live.u AND walk.r = live.r),
+reg0 AS (SELECT id AS x, r, (CASE WHEN h = 0 THEN 64 ELSE 64 - length(bin(h)) END)::INT AS val FROM (SELECT id, r, {sql_fmix64(f'18446744073709551615 - (id * {n} + r + {n})::UBIGINT')} AS h FROM vertices, sims)),
+reg AS (SELECT x, r, max(val) AS val FROM (SELECT x, r, val FROM reg0 UNION ALL SELECT src, walk.r, val FROM walk JOIN reg0 ON reg0.x = walk.v AND reg0.r = walk.r) GROUP BY x, r)"""
+
+
+def _from_seeds(n: int) -> str:
+    """walk (v, r): what SEEDS reach in each of n simulations."""
+    return f"{_live(P, n)}, walk AS (SELECT s::BIGINT AS v, r FROM (SELECT unnest([{_seed_list(SEEDS)}]) AS s), sims UNION SELECT live.v, live.r FROM walk JOIN live ON walk.v = live.u AND walk.r = live.r)"
+
+
 def _harmonic() -> str:
     chain = [f"SELECT id, r, 0 AS k, 18446744073709551615 - (id * {SIMS} + r + {SIMS})::UBIGINT AS h FROM vertices, sims"]
     chain += [f"SELECT id, r, {k} AS k, {sql_fmix64('h')} AS h FROM h{k - 1}" for k in range(1, sketch.CHAIN + 1)]
@@ -273,7 +340,7 @@ def _mix_k3() -> str:
     return _greedy_sql(REACH, gain, lambda i: "") + out
 
 
-def _sketch_k3(rebuild: str) -> str:
+def _sketch_k3(rebuild: str, k: int = 3) -> str:
     """Visited sets are closed under reachability, so what is blocked simply drops out of reach at both ends."""
 
     def gain(i: int) -> str:
@@ -298,8 +365,8 @@ def _sketch_k3(rebuild: str) -> str:
             f"mask{i} AS (SELECT r, max(low) AS low FROM ({own}{old}) WHERE NOT (SELECT again FROM st{i}) GROUP BY r)"
         )
 
-    out = " UNION ALL ".join(f"SELECT {i - 1}::INT AS step, (SELECT v FROM s{i}) AS seed, round((SELECT score FROM st{i}), 6) AS score" for i in (1, 2, 3))
-    return _greedy_sql(REG, gain, after) + out
+    out = " UNION ALL ".join(f"SELECT {i - 1}::INT AS step, (SELECT v FROM s{i}) AS seed, round((SELECT score FROM st{i}), 6) AS score" for i in range(1, k + 1))
+    return _greedy_sql(REG, gain, after, k) + out
 
 
 def _fill_sql(in_order: bool) -> str:
@@ -342,7 +409,7 @@ x AS (SELECT line, string_split(trim(regexp_replace(value, '\s+', ' ', 'g')), '
     "edge_hash_symmetric": f"WITH {COUNTED} SELECT s, t, {sql_fmix31(sql_edge('least(s, t)', 'greatest(s, t)'))} AS h FROM counted",
     "edge_hash_crc32c": f"WITH {COUNTED} SELECT s, t, {sql_crc32c('s', 't')} AS h FROM counted",
     "thresholds": f"WITH {COUNTED} SELECT s, t, {_thr(_weight(str(P)))} AS thr FROM counted",
-    "seeds_sorted": f"WITH {_sims(256, True)} SELECT r, x FROM sims",
+    "seeds_sorted": f"WITH {_live(P, 256, True)} SELECT sims.r, x, count(u) AS n FROM sims LEFT JOIN live ON sims.r = live.r GROUP BY sims.r, x",
     "live_edges": f"WITH {_live()} SELECT u, v, r FROM live",
     "partition_prune": f"WITH {_live()} {_PARTS}",
     "sampled_ratio": f"WITH {_live()}, p AS ({_PARTS}) SELECT part, round(count(*)::DOUBLE / (SELECT count(*) FROM arcs), 9) AS ratio FROM p GROUP BY part",
@@ -371,5 +438,11 @@ x AS (SELECT line, string_split(trim(regexp_replace(value, '\s+', ' ', 'g')), '
     "sketch_greedy_partitioned_k3": _sketch_k3("always"),
     "mix_greedy_k3": _mix_k3(),
     "fillrate_pivot_margins": _pivot_sql(),
-    "param_sweep": "SELECT dataset, k::BIGINT AS k, 'sketch' AS method, n_sims::BIGINT AS n_sims, in_order::BIGINT AS in_order FROM (SELECT unnest(['a', 'b']) AS dataset), (SELECT unnest([10, 50]) AS k), (SELECT unnest([64, 256]) AS n_sims), (SELECT unnest([0, 1]) AS in_order)",
+    "param_sweep": " UNION ALL ".join(f"SELECT {n}::BIGINT AS n_sims, {order}::BIGINT AS in_order, (SELECT count(*) FROM (WITH {_live(0.01, n, bool(order))} SELECT u FROM live)) AS filled" for n in (32, 64) for order in (0, 1)),
+    "cascade_by_rounds": f"WITH RECURSIVE {_from_seeds(128)} SELECT v, (r // 64)::BIGINT AS grp, (sum(CASE WHEN r % 64 = 63 THEN -9223372036854775808::HUGEINT ELSE (1::BIGINT << (r % 64))::HUGEINT END))::BIGINT AS word, count(*) AS sims FROM walk GROUP BY v, r // 64",
+    "sketch_estimates_by_rounds": f"WITH RECURSIVE {_reg_of(256)} SELECT x AS u, sum(greatest(val, CASE WHEN r % 3 = 0 THEN 4 ELSE 0 END))::BIGINT AS total FROM reg GROUP BY x",
+    "greedy_components_by_rounds_k3": _components_k3(),
+    "sketch_greedy_by_rounds_k3": _sketch_k3("error"),
+    "mix_greedy_by_rounds_k3": _mix_k3(),
 }
+ORACLE_SQL |= {"labels_by_rounds": ORACLE_SQL["label_propagation"], "labels_by_rounds_both_ways": ORACLE_SQL["label_propagation_both_ways"], "registers_rebuilt": ORACLE_SQL["register_propagation_blocked"]}

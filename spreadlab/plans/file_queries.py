@@ -15,6 +15,8 @@ from spreadlab.sources import edges, results
 from spreadlab.sources.files import open_binary
 
 VARIANT_SIZE = 100
+#: Share of the registers that changes in the last round, and growth of the score from which later seeds come from the mask alone.
+RATE, GROWTH = 0.02, 1.35
 
 
 def _raw(spark: SparkSession, d: str) -> str:
@@ -90,9 +92,9 @@ def _rounds(spark: SparkSession, d: str, **stop) -> DataFrame:
 
 
 def _by_rate(spark: SparkSession, d: str) -> DataFrame:
-    """All values may change: one round."""
+    """Rounds until a fiftieth of the registers or fewer change."""
     reg = spool(D._registers(spark, d))
-    return sketch.propagate_registers(reg, spool(D.live(spark, d)), active_rate=1.0, total=reg.count())
+    return sketch.propagate_registers(reg, spool(D.live(spark, d)), active_rate=RATE, total=reg.count())
 
 
 def _in_rounds(spark: SparkSession, d: str) -> DataFrame:
@@ -110,11 +112,27 @@ def _fill_rounds(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("fill_rate", F.round("fill_rate", 9))
 
 
-def _variants(spark: SparkSession) -> DataFrame:
-    above, below = (sampling.variant_seeds(spark, 64, v, VARIANT_SIZE).withColumn("kind", F.lit(v)) for v in ("above", "below"))
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    above, below = (D._live_by_seed(spark, d, sampling.variant_seeds(spark, 64, v, VARIANT_SIZE)).withColumn("kind", F.lit(v)) for v in ("above", "below"))
     return above.unionByName(below)
 
 
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """The spread of the seeds that a file lists, up to its first token that is none."""
+    path = f"{shared_dir(spark)}/seeds"
+    results.write_seeds(_top(spark, d), path)
+    listed = results.parse_seeds("\n".join([*(r.value.split("\t")[0] for r in spark.read.text(path).collect()), "x 5"]))  # five seeds
+    return select.oracle(spool(D.arcs(spark, d)), sampling.seeds(spark, D.SIMS), listed)
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Rules for the files that a list names by URL: one for each nation."""
+    path = f"{shared_dir(spark)}/list"
+    name = F.concat(F.lit("https://data/"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("-")), F.when(F.col("n_regionkey") % 2 == 1, ".ungraph").otherwise(""), F.lit(".txt.gz"))
+    spark.read.parquet(f"{d}/nation.parquet").select(name.alias("value")).write.text(path)
+    return experiments.catalogue(spark, path).select("file", "is_undirected", "fix_ids")
+
+
 def _folder(spark: SparkSession, d: str) -> DataFrame:
     """Two raw files, prepared by their names' rules: nations with their regions, undirected, and the same with new ids."""
     raw, out = shared_dir(spark), shared_dir(spark)
@@ -145,26 +163,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_header": lambda s, d: edges.read_prepared(s, _weighted(s, d))[1],
     "prepared_outputs": _outputs,
     "csr_file": _csr,
-    "seed_list": lambda s, d: s.createDataFrame([(x,) for x in results.parse_seeds("3 1\n\t2 +9 x 5")], "seed long").coalesce(1),
+    "seed_list": _listed,
     "result_file": _result_file,
     "fill_rate_files": _fill_files,
     "report_file": _report,
     "fillrate_wide": _wide,
     "fill_rate_rounds": _fill_rounds,
-    "seeds_variants": lambda s, d: _variants(s),
+    "seeds_variants": _variants,
     "register_one_round": lambda s, d: _rounds(s, d, max_rounds=1),
     "register_active_rate": _by_rate,
     "register_ten_rounds": lambda s, d: _rounds(s, d, max_rounds=10),
     "register_by_rounds": _in_rounds,
     "sketch_estimates_harmonic_masked": _masked,
-    "sketch_greedy_early_stop_k3": D._select(select.sketch_greedy, rebuild="always", early_stop=1e9),
+    "sketch_greedy_early_stop_k3": D._select(select.sketch_greedy, 4, rebuild="always", early_stop=GROWTH),
     "weighted_order": lambda s, d: edges.raw_lines(s, f"{_weighted(s, d)}/part-*"),
     "prepared_folder": _folder,
     "weights_defaults": _defaults,
-    "seeds_offset": lambda s, d: sampling.seeds(s, 64, offset=VARIANT_SIZE),
+    "seeds_offset": lambda s, d: D._live_by_seed(s, d, sampling.seeds(s, 64, offset=VARIANT_SIZE)),
     "registers_offset": lambda s, d: sketch.registers(D.vertices(s, d), sampling.seeds(s, D.SIMS), D.SIMS, VARIANT_SIZE),
     "report_latex": _latex,
-    "catalogue": lambda s, d: experiments.catalogue(s).select("file", "is_undirected", "fix_ids"),
+    "catalogue": _catalogue,
 }
 
 # ---- DuckDB ---------------------------------------------------------------------------------
@@ -187,6 +205,23 @@ def _after(rounds: int) -> str:
     return f"WITH {', '.join([_REG0, *map(_round, range(1, rounds + 1))])} SELECT x, r, val FROM reg{rounds}"
 
 
+def _until(rounds: int = 12) -> str:
+    """The registers after the first round in which no more than RATE of them changed."""
+    counts = " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM reg{k - 1} a JOIN reg{k} b ON a.x = b.x AND a.r = b.r WHERE b.val > a.val" for k in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, x, r, val FROM reg{k}" for k in range(1, rounds + 1))
+    return f"WITH {', '.join([_REG0, *map(_round, range(1, rounds + 1))])}, changes AS ({counts}), last AS (SELECT min(k) AS k FROM changes WHERE n <= {RATE} * (SELECT count(*) FROM reg0)) SELECT x, r, val FROM ({every}) WHERE k = (SELECT k FROM last)"
+
+
+def _stopped() -> str:
+    """Four seeds; the last one's score is that of the third where that one had grown by less than GROWTH."""
+    return f"WITH q AS ({D._sketch_k3('always', 4)}) SELECT step, seed, CASE WHEN step = 3 AND (SELECT score FROM q WHERE step = 2) / (SELECT score FROM q WHERE step = 1) < {GROWTH} THEN (SELECT score FROM q WHERE step = 2) ELSE score END AS score FROM q"
+
+
+def _numbers(x: str, n: int = 64) -> str:
+    """(r, x, n) of the numbers x of r = 0 .. n - 1, with the edges that are live for each."""
+    return f"(WITH {D._arcs()}, own AS (SELECT r::INT AS r, {x} AS x FROM range({n}) q(r)) SELECT own.r, own.x, count(u) AS n FROM own LEFT JOIN arcs ON xor(own.x, h) < thr GROUP BY own.r, own.x)"
+
+
 def _pivot_wide() -> str:
     return f"WITH p AS ({D._pivot_sql()}) SELECT Dataset AS dataset, max(CASE WHEN Approach = 'Naive' THEN rate END) AS naive, max(CASE WHEN Approach = 'Sorted' THEN rate END) AS sorted FROM p GROUP BY Dataset"
 
@@ -212,29 +247,27 @@ ORACLE_SQL: dict[str, str] = {
     "weighted_header": f"WITH {D.COUNTED} SELECT greatest(max(s), max(t)) + 1 AS n, count(*) AS m FROM counted",
     "prepared_outputs": _outputs_sql(),
     "csr_file": f"WITH {D._arcs()} SELECT u, v, least(thr, 2147483647)::BIGINT AS thr FROM arcs",
-    "seed_list": "SELECT unnest([3, 1, 2, 9])::BIGINT AS seed",
+    "seed_list": f"WITH RECURSIVE {D._live()}, top AS (SELECT s, count(*) AS n FROM counted GROUP BY s ORDER BY n DESC, s LIMIT 5), walk AS (SELECT s AS v, r FROM top, sims UNION SELECT live.v, live.r FROM walk JOIN live ON walk.v = live.u AND walk.r = live.r) SELECT count(*) / {D.SIMS}.0::DOUBLE AS spread FROM walk",
     "result_file": f"WITH {D.COUNTED}, top AS (SELECT s, count(*) AS n FROM counted GROUP BY s ORDER BY n DESC, s LIMIT 5) SELECT printf('%d', s) || chr(9) || printf('%.2f', n / 3.0::DOUBLE) || chr(9) || '0.25' || chr(9) || (n % 7)::VARCHAR AS value FROM top",
     "fill_rate_files": _fill_files_sql(),
     "report_file": "SELECT replace(r_name, ' ', '-') || '.x_0.1_run' AS tag, r_regionkey::INT AS Split, r_regionkey / 4.0::DOUBLE AS Naive, r_regionkey / 8.0::DOUBLE AS Sorted, replace(r_name, ' ', '-') AS Dataset, '0.1' AS Setting FROM region",
     "fillrate_wide": _pivot_wide(),
     "fill_rate_rounds": _fill_two(),
-    "seeds_variants": f"SELECT r::INT AS r, {D.sql_fmix31(f'r + {VARIANT_SIZE}')} AS x, 'above' AS kind FROM range(64) q(r) UNION ALL SELECT r::INT, {D.sql_fmix31(f'18446744073709551615::UBIGINT - (r + {VARIANT_SIZE - 1})::UBIGINT')}, 'below' FROM range(64) q(r)",
+    "seeds_variants": f"SELECT r, x, n, 'above' AS kind FROM {_numbers(D.sql_fmix31(f'r + {VARIANT_SIZE}'))} UNION ALL SELECT r, x, n, 'below' FROM {_numbers(D.sql_fmix31(f'18446744073709551615::UBIGINT - (r + {VARIANT_SIZE - 1})::UBIGINT'))}",
     "register_one_round": _after(1),
-    "register_active_rate": _after(1),
+    "register_active_rate": _until(),
     "register_ten_rounds": _after(10),
     "register_by_rounds": D.ORACLE_SQL["register_propagation"],
     "sketch_estimates_harmonic_masked": f"WITH {D._harmonic()}, m AS (SELECT x, greatest(val, CASE WHEN r % 2 = 0 THEN 2.0 ELSE -1.0 END) AS val FROM reg) SELECT x AS u, CASE WHEN min(val) = 0 THEN 0.0 ELSE round(count(*) / sum(CASE WHEN val > 0 THEN 1.0::DOUBLE / val END), 9) END AS estimate FROM m GROUP BY x",
-    "sketch_greedy_early_stop_k3": f"WITH q AS ({D._sketch_k3('always')}) SELECT step, seed, CASE WHEN step = 2 THEN (SELECT score FROM q WHERE step = 1) ELSE score END AS score FROM q",
+    "sketch_greedy_early_stop_k3": _stopped(),
     "weighted_order": f"WITH {D.COUNTED} SELECT row_number() OVER (ORDER BY s, t) - 1 AS line, s || chr(9) || t || chr(9) || {D._weight('0.05')} AS value FROM counted",
     "prepared_folder": """WITH e AS (SELECT n_nationkey + 100 AS s, n_regionkey AS t, n_nationkey AS k FROM nation),
 p AS (SELECT key, min(p) AS p FROM (SELECT s AS key, 2 * k AS p FROM e UNION ALL SELECT t, 2 * k + 1 FROM e) GROUP BY key), ids AS (SELECT key, row_number() OVER (ORDER BY p, key) - 1 AS id FROM p)
 SELECT s::BIGINT AS s, t::BIGINT AS t, 0.01::DOUBLE AS w, 'nations.ungraph_0.01.txt' AS file FROM (SELECT s, t FROM e UNION ALL SELECT t, s FROM e)
 UNION ALL SELECT a.id, b.id, 0.01::DOUBLE, 'ego-twitter_0.01.txt' FROM e JOIN ids a ON a.key = s JOIN ids b ON b.key = t""",
     "weights_defaults": f"WITH {D.COUNTED} SELECT s, t, {D._weight(_UNIFORM_DEFAULT)} AS w, 'U' AS kind FROM counted UNION ALL SELECT s, t, {D._weight(_NORMAL)}, 'N' FROM counted",
-    "seeds_offset": f"SELECT r::INT AS r, {D.sql_fmix31(f'r + {VARIANT_SIZE + 1}')} AS x FROM range(64) q(r)",
+    "seeds_offset": f"SELECT r, x, n FROM {_numbers(D.sql_fmix31(f'r + {VARIANT_SIZE + 1}'))}",
     "registers_offset": f"WITH {D.COUNTED}, {D.VERTICES}, {D._sims()} SELECT id AS x, r, (CASE WHEN h = 0 THEN 64 ELSE 64 - length(bin(h)) END)::INT AS val FROM (SELECT id, r, {D.sql_fmix64(f'18446744073709551615 - (id * {D.SIMS} + r + {D.SIMS + VARIANT_SIZE})::UBIGINT')} AS h FROM vertices, sims)",
     "report_latex": f"WITH w AS ({_pivot_wide()}) SELECT 'dataset & naive & sorted ' || chr(92) || chr(92) AS line UNION ALL SELECT CASE WHEN dataset = 'Mean' THEN dataset ELSE chr(92) || 'tt{{' || dataset || '}}' END || ' & ' || printf('%.0f', naive * 100) || chr(92) || '% & ' || printf('%.0f', sorted * 100) || chr(92) || '% ' || chr(92) || chr(92) FROM w",
-    "catalogue": "SELECT * FROM (VALUES "
-    + ", ".join(f"('{f}', {'ungraph' in f or f.startswith('amazon')}, false)" for f in experiments.CATALOGUE)
-    + ") v(file, is_undirected, fix_ids)",
+    "catalogue": "SELECT replace(lower(n_name), ' ', '-') || CASE WHEN n_regionkey % 2 = 1 THEN '.ungraph' ELSE '' END || '.txt.gz' AS file, n_regionkey % 2 = 1 AS is_undirected, false AS fix_ids FROM nation",
 }
