@@ -16,7 +16,7 @@ from spreadlab.sources.files import open_binary
 
 VARIANT_SIZE = 100
 #: Share of the registers that changes in the last round, and growth of the score from which later seeds come from the mask alone.
-RATE, GROWTH = 0.02, 1.35
+RATE, GROWTH = 0.02, 1.7
 
 
 def _raw(spark: SparkSession, d: str) -> str:
