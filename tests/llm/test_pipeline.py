@@ -113,3 +113,10 @@ def test_secrets_are_masked_and_texts_encoded(stages):
     assert {r.doc_id for r in rows} == after.keys()
     for r in rows:
         assert r.token_ids == t.encode(after[r.doc_id], add_special_tokens=False).ids
+
+
+def test_the_session_is_left_as_it_was(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    assert P.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert spark.conf.get(setting) == before
