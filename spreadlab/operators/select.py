@@ -107,6 +107,47 @@ def component_greedy(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k:
     return _result(spark, rows)
 
 
+def component_greedy_indexed(edges: DataFrame, vertices: DataFrame, sims: DataFrame, k: int, local: bool | None = None) -> DataFrame:
+    """The same choices with exact gains at every step, from an inverted index of components.
+
+    The index has a component's members and size, sorted by label.  A choice covers at most one component in each simulation; their sizes are
+    taken off their members' gains, once, so a step is three jobs whatever the candidates: the largest gain, the chosen one's labels, and the
+    members' losses, of which only few parts of the index are read.
+    """
+    spark, began, n = edges.sparkSession, time.time(), sims.count()
+    found = S.min_labels(live_edges(edges, sims), local=local) if local is not False else packed.min_labels(spool(packed.live_words(edges, sims), "words"))
+    labels = spool(found.repartitionByRange("v").sortWithinPartitions("v"))
+    sizes = spool(S.component_sizes(labels))
+    index = spool(labels.join(sizes, ["r", "label"]).select("label", "r", "v", "cnt").repartitionByRange("label", "r").sortWithinPartitions("label", "r"), "index")
+    gains = spool(S.vertex_gains(labels, sizes, vertices, n), "gains")
+    covered: set[tuple[int, int]] = set()  # a component for each simulation and seed
+    losses: list[DataFrame] = []
+    rows, taken, score = [], [], 0.0
+    for step in range(k):
+        if len(losses) > 4:  # few tables to hold gains against
+            gains, losses = spool(_left(gains, losses), "gains"), []
+        best = sketch.argmax(_left(gains, losses), taken, key="v")
+        if best is None:
+            break
+        taken.append(best.v)
+        score += best.total / n
+        own = {(r.r, r.label) for r in labels.where(F.col("v") == best.v).collect()} - covered  # a row for each simulation
+        covered |= own
+        rows.append((step, best.v, score, time.time() - began, float(len(own))))
+        if own:
+            new = F.broadcast(spark.createDataFrame(sorted(own), "r int, label long"))
+            near = index.where(F.col("label").isin(sorted({x for _, x in own})))
+            losses.append(spool(near.join(new, ["r", "label"]).groupBy("v").agg(F.sum("cnt").alias("lost")), "losses"))
+    return _result(spark, rows)
+
+
+def _left(gains: DataFrame, losses: list[DataFrame]) -> DataFrame:
+    """gains (v, total) less all losses (v, lost)."""
+    for table in losses:
+        gains = gains.join(table, "v", "left").select("v", (F.col("total") - F.coalesce("lost", F.lit(0))).alias("total"))
+    return gains
+
+
 def fits_a_task(edges: DataFrame, sims: DataFrame, vertices: DataFrame, per_vertex: int) -> bool:
     """Live edges of any simulation, and ``per_vertex`` rows for each vertex, are few enough for one task."""
     most = live_edges(edges, sims).groupBy("r").count().agg(F.max("count")).first()[0] or 0

@@ -210,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sketch_estimates_by_rounds": _estimates_lanes,
     "registers_rebuilt": _registers_again,
     "greedy_components_by_rounds_k3": _select(select.component_greedy, local=False),
+    "greedy_components_index_k3": _select(select.component_greedy_indexed),
     "sketch_greedy_by_rounds_k3": _select(select.sketch_greedy, local=False),
     "mix_greedy_by_rounds_k3": _select(select.mix_greedy, local=False),
 }
@@ -443,6 +444,7 @@ x AS (SELECT line, string_split(trim(regexp_replace(value, '\s+', ' ', 'g')), '
     "cascade_by_rounds": f"WITH RECURSIVE {_from_seeds(128)} SELECT v, (r // 64)::BIGINT AS grp, (sum(CASE WHEN r % 64 = 63 THEN -9223372036854775808::HUGEINT ELSE (1::BIGINT << (r % 64))::HUGEINT END))::BIGINT AS word, count(*) AS sims FROM walk GROUP BY v, r // 64",
     "sketch_estimates_by_rounds": f"WITH RECURSIVE {_reg_of(256)} SELECT x AS u, sum(greatest(val, CASE WHEN r % 3 = 0 THEN 4 ELSE 0 END))::BIGINT AS total FROM reg GROUP BY x",
     "greedy_components_by_rounds_k3": _components_k3(),
+    "greedy_components_index_k3": _components_k3(),
     "sketch_greedy_by_rounds_k3": _sketch_k3("error"),
     "mix_greedy_by_rounds_k3": _mix_k3(),
 }

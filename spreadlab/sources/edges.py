@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadlab.session import shared_dir, spool
@@ -38,12 +39,14 @@ def read_weighted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def write_weighted(edges: DataFrame, path: str, n: int | None = None) -> None:
     """``path`` gets tab rows sorted by (s, t) in part files, and ``path``/_header the n and m line."""
-    if n is None:
-        n = edges.agg((F.greatest(F.max("s"), F.max("t")) + 1)).first()[0] or 0
-    spark = edges.sparkSession
-    rows = edges.orderBy("s", "t").select(F.concat_ws("\t", F.col("s").cast("string"), F.col("t").cast("string"), F.col("w").cast("string")).alias("value"))
+    spark, seen = edges.sparkSession, Observation(f"written-{uuid.uuid4().hex}")
+    rows = edges.orderBy("s", "t").observe(seen, F.max("s").alias("s"), F.max("t").alias("t"), F.count(F.lit(1)).alias("m"))  # counted as they are written
+    rows = rows.select(F.concat_ws("\t", F.col("s").cast("string"), F.col("t").cast("string"), F.col("w").cast("string")).alias("value"))
     rows.write.mode("overwrite").text(path)
-    spark.createDataFrame([(f"{n} {edges.count()}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_header")
+    told = seen.get
+    if n is None:
+        n = max(told["s"], told["t"]) + 1 if told["m"] else 0
+    spark.createDataFrame([(f"{n} {told['m']}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_header")
 
 
 def read_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -179,3 +179,11 @@ def test_workers_find_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.stdout.count("[0, ") == 2, done.stderr[-3000:]
+
+
+def test_an_index_of_components_gives_exact_gains(spark, some):
+    e, _, _, _ = some
+    ids, sims = spark.range(N).toDF("id"), sampling.seeds(spark, 8)
+    want = [(r.step, r.seed, round(r.score, 6)) for r in select.component_greedy(e, ids, sims, N + 1).collect()]
+    assert [(r.step, r.seed, round(r.score, 6)) for r in select.component_greedy_indexed(e, ids, sims, N + 1).collect()] == want
+    assert len(want) == N
