@@ -17,6 +17,8 @@ from spreadlab.sources.files import open_binary
 VARIANT_SIZE = 100
 #: Share of the registers that changes in the last round, and growth of the score from which later seeds come from the mask alone.
 RATE, GROWTH = 0.02, 1.7
+#: Ranges of sources, both ends included, that hold all vertices together.
+RANGES = ((None, D.OFFSET), (D.OFFSET + 1, D.OFFSET + 700), (D.OFFSET + 701, None))
 
 
 def _raw(spark: SparkSession, d: str) -> str:
@@ -46,11 +48,26 @@ def _outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _csr(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/graph.bin"
+    path = f"{shared_dir(spark)}/graph"
     edges.write_csr(D.arcs(spark, d), path)
     return edges.read_csr(spark, path)
 
 
+def _csr_one_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/graph.bin"
+    edges.write_csr_file(D.arcs(spark, d), path)
+    return edges.read_csr(spark, path)
+
+
+def _csr_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """What all vertices have, by three reads of ranges of sources: suppliers, the first customers, and the rest."""
+    path = f"{shared_dir(spark)}/graph"
+    edges.write_csr(D.arcs(spark, d), path)
+    reads = [edges.read_csr(spark, path, first=a, last=b).withColumn("part", F.lit(k)) for k, (a, b) in enumerate(RANGES)]
+    rows = reads[0].unionByName(reads[1]).unionByName(reads[2])
+    return rows.groupBy("part", "u").agg(F.count("*").alias("degree"), F.sum(F.col("v") * F.col("thr") % 1_000_003).alias("digest"))
+
+
 def _top(spark: SparkSession, d: str) -> DataFrame:
     """A result of five rows: the vertices of most edges."""
     degree = D.counted(spark, d).groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(5)
@@ -163,6 +180,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_header": lambda s, d: edges.read_prepared(s, _weighted(s, d))[1],
     "prepared_outputs": _outputs,
     "csr_file": _csr,
+    "csr_one_file": _csr_one_file,
+    "csr_ranges": _csr_ranges,
     "seed_list": _listed,
     "result_file": _result_file,
     "fill_rate_files": _fill_files,
@@ -247,6 +266,8 @@ ORACLE_SQL: dict[str, str] = {
     "weighted_header": f"WITH {D.COUNTED} SELECT greatest(max(s), max(t)) + 1 AS n, count(*) AS m FROM counted",
     "prepared_outputs": _outputs_sql(),
     "csr_file": f"WITH {D._arcs()} SELECT u, v, least(thr, 2147483647)::BIGINT AS thr FROM arcs",
+    "csr_one_file": f"WITH {D._arcs()} SELECT u, v, least(thr, 2147483647)::BIGINT AS thr FROM arcs",
+    "csr_ranges": f"WITH {D._arcs()} SELECT CASE WHEN u <= {D.OFFSET} THEN 0 WHEN u <= {D.OFFSET + 700} THEN 1 ELSE 2 END::INT AS part, u, count(*) AS degree, sum(v * least(thr, 2147483647)::BIGINT % 1000003)::BIGINT AS digest FROM arcs GROUP BY 1, 2",
     "seed_list": f"WITH RECURSIVE {D._live()}, top AS (SELECT s, count(*) AS n FROM counted GROUP BY s ORDER BY n DESC, s LIMIT 5), walk AS (SELECT s AS v, r FROM top, sims UNION SELECT live.v, live.r FROM walk JOIN live ON walk.v = live.u AND walk.r = live.r) SELECT count(*) / {D.SIMS}.0::DOUBLE AS spread FROM walk",
     "result_file": f"WITH {D.COUNTED}, top AS (SELECT s, count(*) AS n FROM counted GROUP BY s ORDER BY n DESC, s LIMIT 5) SELECT printf('%d', s) || chr(9) || printf('%.2f', n / 3.0::DOUBLE) || chr(9) || '0.25' || chr(9) || (n % 7)::VARCHAR AS value FROM top",
     "fill_rate_files": _fill_files_sql(),

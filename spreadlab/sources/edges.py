@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadlab.session import shared_dir, spool
+from spreadlab.sources import csr
 
 WEIGHTED = "s long, t long, w float"
 #: Blocks of input files (some 150 bytes each) that are broadcast at most; beyond that, joins shuffle.
@@ -54,50 +55,29 @@ def read_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return read_weighted(spark, path)[0], read_weighted(spark, f"{path}/_header")[1]
 
 
-def read_csr(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
-    """(u, v, thr) of a binary file: n, m, n + 1 offsets of 64 bits, then m pairs of 32 bits.
+def read_csr(spark: SparkSession, path: str, block: int | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(u, v, thr) of a folder of compressed rows or of one binary file; of the sources from ``first`` to ``last`` alone, if given.
 
-    Tasks read blocks of edges by position, each with the part of the offsets that it needs, found by bisection.
+    Tasks read ranges of ``block`` edges.  Where the session allows Python data sources to take filters, bounds of u are pushed down.
     """
-    from spreadlab.sources.files import open_binary
-
-    with open_binary(path) as f:
-        n, m = struct.unpack("<QQ", f.read(16))
-
-    def rows(parts):
-        import bisect
-        import struct as s
-
-        import numpy as np
-        import pyarrow as pa
+    spark.dataSource.register(csr.csr_edges())
+    options = {k: x for k, x in (("block", block), ("first", first), ("last", last)) if x is not None}
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("csr_edges").options(pushdown=pushdown, **options).load(path)
 
-        for part in parts:
-            with open_binary(path) as f:
 
-                class Offsets:
-                    def __len__(self):
-                        return n + 1
+def write_csr(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """(u, v, thr) to a folder of compressed rows: one shuffle by ranges of (u, v), then each task writes its part.
 
-                    def __getitem__(self, i):
-                        f.seek(16 + 8 * i)
-                        return s.unpack("<Q", f.read(8))[0]
-
-                offsets = Offsets()
-                for b in part.column(0).to_pylist():
-                    lo, hi = b * block, min(m, (b + 1) * block)
-                    first = bisect.bisect_right(offsets, lo) - 1
-                    last = bisect.bisect_left(offsets, hi)
-                    f.seek(16 + 8 * first)
-                    at = np.frombuffer(f.read(8 * (last - first + 1)), "<u8").astype(np.int64).clip(lo, hi)
-                    f.seek(16 + 8 * (n + 1) + 8 * lo)
-                    e = np.frombuffer(f.read(8 * (hi - lo)), np.dtype([("v", "<u4"), ("w", "<i4")]))
-                    yield pa.record_batch({"u": pa.array(np.repeat(np.arange(first, last), np.diff(at))), "v": pa.array(e["v"].astype(np.int64)), "thr": pa.array(e["w"].astype(np.int64))})
-
-    return spark.range(-(-m // block)).mapInArrow(rows, "u long, v long, thr long")
+    mode: overwrite or append.  The driver writes a manifest of the parts' names and sizes, and no edges.
+    """
+    edges.sparkSession.dataSource.register(csr.csr_edges())
+    rows = spool(edges.select(*(edges[c].cast("long").alias(c) for c in ("u", "v", "thr"))))  # ranges are sampled first: computed once
+    rows.repartitionByRange("u", "v").sortWithinPartitions("u", "v").write.format("csr_edges").mode(mode).save(path)
 
 
-def write_csr(edges: DataFrame, path: str) -> None:
-    """(u, v, thr) to one binary file (its format is of one file).
+def write_csr_file(edges: DataFrame, path: str) -> None:
+    """(u, v, thr) to one binary file, for programs that want one; write_csr is the way for large graphs.
 
     Tasks pack ranges of offsets and of sorted edges into files of the shared folder; the driver strings their bytes together.
     """

@@ -59,7 +59,7 @@ def test_weighted_files_round_trip(spark, tmp_path):
 
 def test_csr_files_round_trip(spark, tmp_path):
     rows = [(0, 1, 5), (0, 3, 6), (3, 0, 7), (2, 3, 8)]
-    E.write_csr(spark.createDataFrame(rows, "u long, v long, thr long"), f"{tmp_path}/g.bin")
+    E.write_csr_file(spark.createDataFrame(rows, "u long, v long, thr long"), f"{tmp_path}/g.bin")
     for block in (1, 3, 100):
         assert sorted(map(tuple, E.read_csr(spark, f"{tmp_path}/g.bin", block).collect())) == sorted(rows)
 
