@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadlab.functions import hashing as H
-from spreadlab.operators import contraction, packed, prep, sampling, select, sketch
+from spreadlab.operators import chains, contraction, packed, prep, sampling, select, sketch
 from spreadlab.operators import spread as S
 from spreadlab.plans import experiments
 from spreadlab.session import spool
@@ -207,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "labels_by_rounds": lambda s, d: packed.min_labels(_words(s, d)),
     "labels_by_rounds_both_ways": lambda s, d: packed.min_labels(_words(s, d), True),
     "labels_by_contraction": lambda s, d: contraction.weak_labels(spool(live(s, d))),
+    "labels_by_chains": lambda s, d: chains.directed_labels(spool(live(s, d))),
     "sketch_estimates_by_rounds": _estimates_lanes,
     "registers_rebuilt": _registers_again,
     "greedy_components_by_rounds_k3": _select(select.component_greedy, local=False),
@@ -448,4 +449,4 @@ x AS (SELECT line, string_split(trim(regexp_replace(value, '\s+', ' ', 'g')), '
     "sketch_greedy_by_rounds_k3": _sketch_k3("error"),
     "mix_greedy_by_rounds_k3": _mix_k3(),
 }
-ORACLE_SQL |= {"labels_by_rounds": ORACLE_SQL["label_propagation"], "labels_by_rounds_both_ways": ORACLE_SQL["label_propagation_both_ways"], "labels_by_contraction": ORACLE_SQL["label_propagation_both_ways"], "registers_rebuilt": ORACLE_SQL["register_propagation_blocked"]}
+ORACLE_SQL |= {"labels_by_rounds": ORACLE_SQL["label_propagation"], "labels_by_rounds_both_ways": ORACLE_SQL["label_propagation_both_ways"], "labels_by_contraction": ORACLE_SQL["label_propagation_both_ways"], "labels_by_chains": ORACLE_SQL["label_propagation"], "registers_rebuilt": ORACLE_SQL["register_propagation_blocked"]}
