@@ -6,7 +6,9 @@ longest chain every one of them knows the vertex that its chain comes from, its
 its root, the values go along, and what is left has only roots.  This is done again while it takes away more than one of SHARE vertices;
 the small rest goes by ordinary rounds, and labels come back down the chains.  The labels are those of ``spread.min_labels``.
 
-A cycle that nothing else leads to has no root: the rounds end when pointers have passed as many vertices as there are, which makes the least exact.
+A cycle that nothing else leads to has no root.  Each round closes some vertices of every chain that has a root and is still open, so one that
+closes none leaves only cycles and what hangs on them; one that lowers no value there either leaves each with the least of all that lead to it: the
+pointers' equal spans, laid end to end, go all the way round.
 Simulations are part of every key.  Arcs are grouped by (simulation, vertex) with partial sums; many arcs or chains at one vertex join a single row of
 it, which Spark's skew join deals out.  Repeated arcs and loops change nothing; no live arcs give no labels.
 """
@@ -33,10 +35,13 @@ def follow(links: DataFrame, n: int) -> tuple[DataFrame, int]:
     state, done, left = spool(links.select("r", "v", "p", "low", F.lit(True).alias("is_open")), "links"), 0, n
     while left and done <= n.bit_length():
         ahead = state.select("r", F.col("v").alias("p"), F.col("p").alias("q"), F.col("low").alias("lower"), F.col("is_open").alias("goes_on"))
-        went = state.where("is_open").join(ahead, ["r", "p"], "left").select("r", "v", F.coalesce("q", "p").alias("p"), F.least("low", "lower").alias("low"), F.coalesce("goes_on", F.lit(False)).alias("is_open"))
+        went = state.where("is_open").join(ahead, ["r", "p"], "left").select("r", "v", F.coalesce("q", "p").alias("p"), F.least("low", "lower").alias("low"), F.coalesce("goes_on", F.lit(False)).alias("is_open"), (F.col("lower") < F.col("low")).alias("fell"))
         seen = Observation(f"open-{uuid.uuid4().hex}")
-        state, done = spool(state.where("not is_open").unionByName(went).observe(seen, F.count_if("is_open").alias("n")), "links"), done + 1
-        left = seen.get["n"]
+        went = went.observe(seen, F.count_if("is_open").alias("n"), F.expr("count_if(is_open and fell) as fell")).drop("fell")
+        state, done = spool(state.where("not is_open").unionByName(went), "links"), done + 1
+        before, left, fell = left, seen.get["n"], seen.get["fell"]
+        if left == before and not fell:
+            break
     return state.select("r", "v", F.when(~F.col("is_open"), F.col("p")).alias("root"), "low"), done
 
 
