@@ -75,8 +75,9 @@ def estimates_harmonic(reg: DataFrame, mask: DataFrame | None = None) -> DataFra
     """
     value = F.col("val") if mask is None else F.greatest("val", F.coalesce("low", F.lit(-1.0)))
     rows = reg if mask is None else reg.join(F.broadcast(mask), "r", "left")
-    rows = rows.select(F.col("x").alias("u"), value.alias("m")).where("m >= 0")
-    out = rows.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.when(F.col("m") > 0, 1.0 / F.col("m"))).alias("inverse"), F.max((F.col("m") == 0).cast("int")).alias("zero"))
+    rows = rows.select(F.col("x").alias("u"), value.alias("m"))
+    # what is below 0 is left out here, not by a filter: Spark moves a filter to below the hashes, and writes all of them out once for each use of another
+    out = rows.groupBy("u").agg(F.count_if(F.col("m") >= 0).alias("n"), F.sum(F.when(F.col("m") > 0, 1.0 / F.col("m"))).alias("inverse"), F.max((F.col("m") == 0).cast("int")).alias("zero")).where("n > 0")
     return out.select("u", F.when((F.col("zero") == 1) | F.col("inverse").isNull(), 0.0).otherwise(F.col("n") / F.col("inverse")).alias("estimate"))
 
 

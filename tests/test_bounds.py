@@ -25,3 +25,15 @@ def test_bounds_are_never_below_what_is_reached(spark, local):
     got = {r.v: r.gain * 2 for r in select.reach_bounds(live, spark.range(9).toDF("id"), 2, local).collect()}
     reached = {0: 4, 1: 4, 2: 4, 3: 5, 4: 5, 5: 3, 6: 3, 7: 2, 8: 2}  # with one for the simulation that has no edge there
     assert all(got[v] >= n for v, n in reached.items()) and {v: got[v] for v in (5, 6, 7, 8)} == {5: 3, 6: 3, 7: 2, 8: 2}
+
+
+def test_harmonic_estimates_write_the_hashes_out_once(spark):
+    reg = sketch.registers_harmonic(spark.range(3).toDF("id"), sampling.seeds(spark, 4), 4)
+    out = sketch.estimates_harmonic(reg)
+    rows = {r.x: [] for r in reg.collect()}
+    for r in reg.collect():
+        rows[r.x].append(r.val)
+    want = {x: round(0.0 if min(v) == 0 else len(v) / sum(1 / y for y in v), 9) for x, v in rows.items()}
+    assert {r.u: round(r.estimate, 9) for r in out.collect()} == want
+    low = spark.createDataFrame([(1, 0, -1.0), (2, 0, -1.0), (2, 1, 4.0), (3, 0, None)], "x long, r int, val double")
+    assert {r.u: r.estimate for r in sketch.estimates_harmonic(low.select("x", "r", F.col("val"))).collect()} == {2: 4.0}
