@@ -49,6 +49,24 @@ def undirected(pairs: DataFrame) -> DataFrame:
     return pairs.select("s", "t").unionByName(pairs.select(F.col("t").alias("s"), F.col("s").alias("t")))
 
 
+def unordered(pairs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(s, t, c): each pair once whichever way it goes, the lesser end first (null last), with how often it comes.
+
+    parts: so many tasks share the pairs, which then move as they are; without it Spark counts in each task first and deals out what that leaves.
+    """
+    back = F.coalesce(F.col("s") > F.col("t"), F.col("s").isNull())
+    rows = pairs.select(F.when(back, F.col("t")).otherwise(F.col("s")).alias("s"), F.when(back, F.col("s")).otherwise(F.col("t")).alias("t"))
+    return multiplicity(rows if parts is None else rows.repartition(parts, "s", "t"))
+
+
+def both_ways(counts: DataFrame) -> DataFrame:
+    """(s, t, c) and (t, s, c) of counts by ``unordered``; a loop is one row, and counts twice: multiplicity(undirected(pairs)), of which half has been moved."""
+    loop = F.col("s").eqNullSafe(F.col("t"))
+    ways = F.when(loop, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    rows = counts.select("s", "t", F.when(loop, 2 * F.col("c")).otherwise(F.col("c")).alias("c"), F.explode(ways).alias("back"))
+    return rows.select(F.when(F.col("back"), F.col("t")).otherwise(F.col("s")).alias("s"), F.when(F.col("back"), F.col("s")).otherwise(F.col("t")).alias("t"), "c")
+
+
 def multiplicity(pairs: DataFrame) -> DataFrame:
     """(s, t, c): each pair once, with how often it comes."""
     return pairs.groupBy("s", "t").agg(F.count("*").alias("c"))
@@ -110,7 +128,7 @@ def count(lines: DataFrame, is_undirected: bool = False, fix_ids: bool = False,
         pairs = relabel(pairs, dense_ids(pairs))
     else:
         pairs = pairs.select("line", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"))
-    return multiplicity(undirected(pairs) if is_undirected else pairs.select("s", "t"))
+    return both_ways(unordered(pairs)) if is_undirected else multiplicity(pairs.select("s", "t"))
 
 
 def weigh(edges: DataFrame, weighting: tuple) -> DataFrame:

@@ -106,6 +106,22 @@ def fill_rate(live: DataFrame, lanes: int = 32) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("filled"), (F.count("*") * lanes).alias("taken")).select("filled", "taken", (F.col("filled") / F.when(F.col("taken") > 0, F.col("taken"))).alias("fill_rate"))
 
 
+def filled_groups(edges: DataFrame, sims: DataFrame, *group: str) -> DataFrame:
+    """(edges' columns, group, c): how many simulations of each group have an edge, where the group is among those the edge looks up; c may be 0.
+
+    sims (x, group): a group's simulations of one prefix come as one array, so an edge meets a group in one row, and nothing is grouped by edges.
+    """
+    own = _prefixes(sims.select("x", *group)).groupBy("_key", *group).agg(F.collect_list("x").alias("_xs"))
+    met = _keyed(edges).join(F.broadcast(own), "_key")
+    return met.select(*edges.columns, *group, F.size(F.filter("_xs", lambda x: x.bitwiseXOR(F.col("h")) < F.col("thr"))).alias("c"))
+
+
+def fill_rates(groups: DataFrame, *by: str, lanes: int = 32) -> DataFrame:
+    """(by, filled, taken, fill_rate) of rows (c): as ``fill_rate``, over the groups of ``lanes`` simulations of which some have an edge."""
+    out = groups.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("filled"), (F.count_if(F.col("c") > 0) * lanes).alias("taken"))
+    return out.select(*by, "filled", "taken", (F.col("filled") / F.when(F.col("taken") > 0, F.col("taken"))).alias("fill_rate"))
+
+
 def fill_rate_of_rounds(start: DataFrame, live: DataFrame, max_rounds: int = 20, lanes: int = 32, active_rate: float = 0.0) -> DataFrame:
     """One row (filled, taken, fill_rate) over the rounds of register propagation: in each, the live edges to vertices of which a register has
     changed in the round before (all vertices in the first).

@@ -18,26 +18,44 @@ from spreadlab.plans import experiments
 from spreadlab.session import spool
 
 OFFSET, P, SIMS, SEEDS = 1_000_000, 0.002, 8, (1, 2, 3)
+#: Line items for each task that joins or counts pairs.
+ROWS = 1_000_000
 
 # ---- Spark ----------------------------------------------------------------------------------
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
+def pairs(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    """(line, s, t) of each line item; parts: so many tasks share the join."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
     items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_linenumber")
+    if parts is not None:
+        orders, items = orders.repartition(parts, "o_orderkey"), items.repartition(parts, "l_orderkey")
     return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), (F.col("o_custkey") + OFFSET).alias("s"), F.col("l_suppkey").alias("t"))
 
 
-def counted(spark: SparkSession, d: str) -> DataFrame:
-    return prep.multiplicity(prep.undirected(pairs(spark, d)))
+def half(spark: SparkSession, d: str) -> DataFrame:
+    """(s, t, c) of each pair once; so many tasks join and count them that each has about ROWS line items, however many there are."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()  # from the files' footers
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines // ROWS))
+    return prep.unordered(pairs(spark, d, parts), parts)
 
 
-def arcs(spark: SparkSession, d: str, p: float = P) -> DataFrame:
-    return sampling.graph(prep.weigh_constant(counted(spark, d), p))
+def counted(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
+    return prep.both_ways(half(spark, d) if known is None else known)
 
 
-def vertices(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select(F.explode(F.array("s", "t")).alias("id")).distinct()
+def arcs(spark: SparkSession, d: str, p: float = P, known: DataFrame | None = None) -> DataFrame:
+    return sampling.graph(prep.weigh_constant(counted(spark, d, known), p))
+
+
+def vertices(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
+    return (pairs(spark, d) if known is None else known).select(F.explode(F.array("s", "t")).alias("id")).distinct()
+
+
+def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Arcs and vertices (a written table) of pairs that are joined and counted once; arcs are made as they are read, from half as many rows."""
+    known = spool(half(spark, d), "pairs")
+    return arcs(spark, d, known=known), spool(vertices(spark, d, known), "vertices")
 
 
 def live(spark: SparkSession, d: str, p: float = P, n: int = SIMS, in_order: bool = False) -> DataFrame:
@@ -56,7 +74,7 @@ def _greedy(result: DataFrame) -> DataFrame:
 
 
 def _select(method: Callable, k: int = 3, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _greedy(method(spool(arcs(spark, d)), spool(vertices(spark, d)), sampling.seeds(spark, SIMS), k, **options))
+    return lambda spark, d: _greedy(method(*graph(spark, d), sampling.seeds(spark, SIMS), k, **options))
 
 
 def _labels(spark: SparkSession, d: str, both_ways: bool = False) -> DataFrame:
@@ -85,14 +103,17 @@ def _cascade_words(spark: SparkSession, d: str) -> DataFrame:
 
 def _estimates_lanes(spark: SparkSession, d: str) -> DataFrame:
     """256 registers of a vertex in four rows; the mask has every third simulation."""
-    reg = packed.propagate(packed.registers(vertices(spark, d), 256), packed.adjacency(_words(spark, d, 256), "v", "u"), "max")
+    edges, ids = graph(spark, d)
+    words = spool(packed.live_words(edges, sampling.seeds(spark, 256)), "words")
+    reg = packed.propagate(packed.registers(ids, 256), packed.adjacency(words, "v", "u"), "max")
     return packed.estimates(reg, {r: 4 for r in range(0, 256, 3)}, 256)
 
 
 def _registers_again(spark: SparkSession, d: str) -> DataFrame:
     """Registers without what a first seed and then two more reach, made anew where these can matter."""
-    words = _words(spark, d)
-    first, forward, back = spool(packed.registers(vertices(spark, d), SIMS)), packed.adjacency(words), packed.adjacency(words, "v", "u")
+    edges, ids = graph(spark, d)
+    words = spool(packed.live_words(edges, sampling.seeds(spark, SIMS)), "words")
+    first, forward, back = spool(packed.registers(ids, SIMS)), packed.adjacency(words), packed.adjacency(words, "v", "u")
     reg, gone = packed.propagate(first, back, "max"), None
     for seeds in (SEEDS[:1], SEEDS[1:]):
         before = gone
@@ -111,20 +132,28 @@ def _cascade(spark: SparkSession, d: str, seeds: tuple, rounds: int | None = Non
     return S.cascade(spool(live(spark, d)), S.at_seeds(list(seeds), sampling.seeds(spark, SIMS)), max_rounds=rounds)
 
 
+def _lanes(sims: DataFrame) -> DataFrame:
+    """sims, with the 32 that a simulation is one of."""
+    return sims.withColumn("g", F.floor(F.col("r") / 32))
+
+
+def _both_orders(spark: SparkSession, n: int) -> DataFrame:
+    """(r, x, g, Approach): n simulations as they come, and by their numbers."""
+    naive, ordered = (_lanes(sampling.seeds(spark, n, in_order=k)) for k in (False, True))
+    return naive.withColumn("Approach", F.lit("Naive")).unionByName(ordered.withColumn("Approach", F.lit("Sorted")))
+
+
 def _fill(spark: SparkSession, d: str, in_order: bool) -> DataFrame:
-    return sampling.fill_rate(live(spark, d, 0.01, 64, in_order)).select("filled", "taken", F.round("fill_rate", 9).alias("fill_rate"))
+    sims = _lanes(sampling.seeds(spark, 64, in_order=in_order))
+    return sampling.fill_rates(sampling.filled_groups(arcs(spark, d, 0.01), sims, "g")).select("filled", "taken", F.round("fill_rate", 9).alias("fill_rate"))
 
 
 def _fill_table(spark: SparkSession, d: str) -> DataFrame:
     """(Dataset, Setting, R, Approach, Fillrate): fill rates of the arcs of each nation's suppliers."""
     edges = arcs(spark, d, 0.01)
     nation = spark.read.parquet(f"{d}/supplier.parquet").join(F.broadcast(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("u"), F.col("n_name").alias("Dataset"))
-    out = None
-    for in_order in (False, True):
-        rows = sampling.live_edges(edges, sampling.seeds(spark, 64, in_order=in_order)).join(nation, "u").groupBy("Dataset", "u", "v", F.floor(F.col("r") / 32).alias("g")).agg(F.count("*").alias("c"))
-        part = rows.groupBy("Dataset").agg((F.sum("c") / (32 * F.count("*"))).alias("Fillrate")).select("Dataset", F.lit("0.01").alias("Setting"), F.lit(64).alias("R"), F.lit("Sorted" if in_order else "Naive").alias("Approach"), "Fillrate")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rates = sampling.fill_rates(sampling.filled_groups(edges.join(nation, "u"), _both_orders(spark, 64), "Approach", "g"), "Dataset", "Approach").where("taken > 0")
+    return rates.select("Dataset", F.lit("0.01").alias("Setting"), F.lit(64).alias("R"), "Approach", F.col("fill_rate").alias("Fillrate"))
 
 
 def _pivot(spark: SparkSession, d: str) -> DataFrame:
