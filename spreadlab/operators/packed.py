@@ -1,7 +1,7 @@
 """Fixpoints by rounds of Spark jobs on packed state, for graphs of any size.
 
 64 simulations are a group.  A row is a vertex and a group, with a BIGINT word (a bit for each simulation: visited, live) or with 64 lanes (a
-byte array with a register or a label for each).  A live arc is one row for each group, with the word of the simulations that have it.
+byte array with a register or a label for each; where there are fewer simulations than that in all, rows have a lane for each of these).  A live arc is one row for each group, with the word of the simulations that have it.
 
 Arcs and state are written in buckets of the key that rounds join on, so that a round moves messages alone: those of words are or-ed, those of lanes
 reduced lane by lane, in each task before the shuffle and after it.  A vertex with more than HEAVY arcs in a group has them dealt over several
@@ -149,26 +149,28 @@ def _united(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 # ---- lanes -----------------------------------------------------------------------------------
 
 
-def matrix(column: pa.Array, best: str) -> np.ndarray:
-    """A row of LANES values for each byte array; nulls change nothing."""
+def matrix(column: pa.Array, best: str, width: int | None = None) -> np.ndarray:
+    """A row of values for each byte array, all of which have as many; nulls change nothing.  width: how many, where all may be null."""
     kind, worst, _ = KINDS[best]
     n = len(column)
-    out = np.full((n, LANES), worst, kind)
-    if n:
-        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
-        data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-        out[np.diff(at) > 0] = data.view(kind).reshape(-1, LANES)
+    if not n:
+        return np.full((0, width or LANES), worst, kind)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    width = width or int(np.diff(at).max()) // kind.itemsize or LANES
+    out = np.full((n, width), worst, kind)
+    out[np.diff(at) > 0] = data.view(kind).reshape(-1, width)
     return out
 
 
 def _lanes(values: np.ndarray) -> pa.Array:
-    width = values.dtype.itemsize * LANES
+    width = values.dtype.itemsize * values.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer((np.arange(len(values) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def bits(words: np.ndarray) -> np.ndarray:
-    """A row of LANES booleans for each word."""
-    return (words.view(np.uint64)[:, None] >> np.arange(LANES, dtype=np.uint64)) & np.uint64(1) == 1
+def bits(words: np.ndarray, width: int = LANES) -> np.ndarray:
+    """A row of booleans for each word, of its first ``width`` bits."""
+    return (words.view(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1) == 1
 
 
 def _runs(x: np.ndarray, grp: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def messages(batches, best: str):
     kind, worst, join = KINDS[best]
     for batch in batches:
         lanes = matrix(_column(batch, "lanes"), best)
-        use = bits(_numbers(batch, "word"))
+        use = bits(_numbers(batch, "word"), lanes.shape[1])
         if best == "max":
             use &= lanes != BLOCKED
         lanes[~use] = worst
@@ -220,7 +222,7 @@ def reduced(batches, best: str, known: tuple[str, ...]):
             continue
         x, grp = _numbers(batch, "x"), _numbers(batch, "grp")
         lanes = matrix(_column(batch, "lanes"), best)
-        old = reduce(join, [matrix(_column(batch, c), best) for c in known]) if known else np.full(lanes.shape, worst, kind)
+        old = reduce(join, [matrix(_column(batch, c), best, lanes.shape[1]) for c in known]) if known else np.full(lanes.shape, worst, kind)
         start = _runs(x, grp)
         x, grp, lanes, old = x[start], grp[start], join.reduceat(lanes, start, axis=0), old[start]
         if held is not None:
@@ -293,7 +295,7 @@ def first_registers(batches, n_sims: int, offset: int):
     for batch in batches:
         ids = _numbers(batch, "id").astype(np.int64)
         for g in range(-(-n_sims // LANES)):
-            r = np.arange(g * LANES, (g + 1) * LANES)
+            r = np.arange(g * LANES, g * LANES + min(n_sims, LANES))
             h = fmix64((~(ids[:, None] * n_sims + r + n_sims + offset)).view(np.uint64))
             lanes = leading_zeros(h).astype("i1")
             lanes[:, r >= n_sims] = -1
@@ -309,7 +311,7 @@ def block(batches):
     """Registers whose word has their lane become BLOCKED."""
     for batch in batches:
         lanes = matrix(_column(batch, "lanes"), "max")
-        lanes[bits(_column(batch, "word").fill_null(0).to_numpy())] = BLOCKED
+        lanes[bits(_column(batch, "word").fill_null(0).to_numpy(), lanes.shape[1])] = BLOCKED
         yield pa.record_batch({"x": _column(batch, "x"), "grp": _column(batch, "grp"), "lanes": _lanes(lanes)})
 
 
@@ -323,8 +325,9 @@ def reset(batches):
     """Lanes that the word of ``affected`` has go back to the first register, those of ``word`` become BLOCKED."""
     for batch in batches:
         lanes, first = matrix(_column(batch, "lanes"), "max"), matrix(_column(batch, "first"), "max")
-        lanes = np.where(bits(_column(batch, "affected").fill_null(0).to_numpy()), first, lanes)
-        lanes[bits(_column(batch, "word").fill_null(0).to_numpy())] = BLOCKED
+        width = lanes.shape[1]
+        lanes = np.where(bits(_column(batch, "affected").fill_null(0).to_numpy(), width), first, lanes)
+        lanes[bits(_column(batch, "word").fill_null(0).to_numpy(), width)] = BLOCKED
         yield pa.record_batch({"x": _column(batch, "x"), "grp": _column(batch, "grp"), "lanes": _lanes(lanes)})
 
 
@@ -391,7 +394,7 @@ def summed(batches, low: np.ndarray):
     for batch in batches:
         lanes = matrix(_column(batch, "lanes"), "max").astype(np.int64)
         lanes[lanes == BLOCKED] = -1
-        own = low[_numbers(batch, "grp")]
+        own = low[_numbers(batch, "grp")][:, : lanes.shape[1]]
         yield pa.record_batch({"u": _column(batch, "x"), "total": pa.array(np.maximum(lanes - own, 0).sum(axis=1))})
 
 
@@ -404,12 +407,12 @@ def estimates(reg: DataFrame, mask: dict[int, int], n_sims: int) -> DataFrame:
     return own.groupBy("u").agg((F.sum("total") + sum(mask.values())).alias("total"))
 
 
-def first_labels(batches):
-    """(x, grp, lanes): x itself in the lanes of its word."""
+def first_labels(batches, width: int):
+    """(x, grp, lanes): x itself in the lanes of its word, of which all are among the first ``width``."""
     worst = KINDS["min"][1]
     for batch in batches:
         x = _numbers(batch, "x")
-        yield pa.record_batch({"x": _column(batch, "x"), "grp": _column(batch, "grp"), "lanes": _lanes(np.where(bits(_numbers(batch, "word")), x[:, None], worst))})
+        yield pa.record_batch({"x": _column(batch, "x"), "grp": _column(batch, "grp"), "lanes": _lanes(np.where(bits(_numbers(batch, "word"), width), x[:, None], worst))})
 
 
 def min_labels(words: DataFrame, both_ways: bool = False, max_rounds: int | None = None) -> DataFrame:
@@ -418,6 +421,8 @@ def min_labels(words: DataFrame, both_ways: bool = False, max_rounds: int | None
         back = words.select(F.col("v").alias("u"), F.col("u").alias("v"), "grp", "word")
         words = spool(_union([words, back], "u", "v", "grp", "word").groupBy("u", "v", "grp").agg(F.bit_or("word").alias("word")), "words")
     ends = words.select(F.explode(F.array("u", "v")).alias("x"), "grp", "word").groupBy("x", "grp").agg(F.bit_or("word").alias("word"))
-    start = ends.select(F.col("x").cast("long").alias("x"), "grp", "word").mapInArrow(shipped(first_labels), _STATE)
+    used = words.agg(F.max("grp").alias("grp"), F.bit_or("word").alias("word")).first()
+    width = LANES if used.grp else max(1, ((used.word or 0) % 2**64).bit_length())
+    start = ends.select(F.col("x").cast("long").alias("x"), "grp", "word").mapInArrow(shipped(first_labels, width), _STATE)
     out = propagate(start, adjacency(words), "min", max_rounds)
     return to_rows(out, "min", "long").select(F.col("x").alias("v"), "r", F.col("val").alias("label"))
