@@ -89,8 +89,12 @@ def with_unit_hash(edges: DataFrame, name: str, seed: int) -> DataFrame:
 
 
 def weigh_constant(edges: DataFrame, p: float) -> DataFrame:
-    """(s, t, c, w) with one probability for each try."""
-    return edges.withColumn("w", noisy_or(F.lit(p), F.col("c")))
+    """(s, t, c, w) with one probability for each try.
+
+    Most pairs come once, and their weight is a constant of the plan, as rounding goes by decimals for each row.
+    """
+    once = noisy_or(F.lit(p), F.lit(1))
+    return edges.withColumn("w", F.when(F.col("c") == 1, once).otherwise(noisy_or(F.lit(p), F.col("c"))))
 
 
 def weigh_uniform(edges: DataFrame, a: float, b: float | None = None, seed: int = 42) -> DataFrame:

@@ -26,3 +26,14 @@ def test_fill_rates_need_no_groups_of_edges(spark):
     assert "Aggregate" not in groups.select("u", "c")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # edges alone are not grouped
     none = sampling.filled_groups(edges.where("thr < 0"), sims.withColumn("g", F.lit(0)), "g")
     assert [tuple(r) for r in sampling.fill_rates(none).collect()] == [(0, 0, None)]
+
+
+@pytest.mark.parametrize("p", [0.0, 0.002, 0.01, 0.05, 1 / 3, 0.99996, 1.0])
+def test_weight_of_a_pair_that_comes_once_is_a_constant(spark, p):
+    counts = spark.createDataFrame([(1, 2, c) for c in [None, *range(1, 40)]], "s long, t long, c long")
+    own = prep.weigh_constant(counts, p)
+    want = counts.select("c", prep.noisy_or(F.lit(p), F.col("c")).alias("w"))
+    assert {r.c: r.w for r in own.collect()} == {r.c: r.w for r in want.collect()}
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    once = own.where("c = 1").first().w
+    assert f"= 1) THEN {once}" in plan.replace(") then", ") THEN")  # known before any row is read
