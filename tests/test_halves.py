@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spreadlab.operators import prep, sampling
+from spreadlab.plans import driver_queries
 
 
 @pytest.mark.parametrize("parts", [None, 3])
@@ -37,3 +38,14 @@ def test_weight_of_a_pair_that_comes_once_is_a_constant(spark, p):
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     once = own.where("c = 1").first().w
     assert f"= 1) THEN {once}" in plan.replace(") then", ") THEN")  # known before any row is read
+
+
+def test_edges_meet_their_suppliers_without_a_sort(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many suppliers
+    try:
+        plan = driver_queries._fill_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "ShuffledHashJoin" in line or "SortMergeJoin" in line]
+    assert len(joins) == 2 and "ShuffledHashJoin [u#" in joins[0], joins  # the other is of orders and line items
