@@ -1,5 +1,7 @@
 """Edges counted once for both ways, and fill rates without a table of live simulations."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,18 @@ def test_edges_meet_their_suppliers_without_a_sort(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     joins = [line for line in plan.splitlines() if "ShuffledHashJoin" in line or "SortMergeJoin" in line]
     assert len(joins) == 2 and "ShuffledHashJoin [u#" in joins[0], joins  # the other is of orders and line items
+
+
+def test_larger_tables_have_more_tasks_of_fill_rates_not_larger_ones(spark, monkeypatch):
+    d, query = "/root/testdata/sf0.001", driver_queries.QUERIES["fill_rate_sorted"]
+    want, lines = query(spark, d).collect(), spark.read.parquet(f"{d}/lineitem.parquet").count()
+    monkeypatch.setattr(driver_queries, "ROWS", 500)
+    parts = -(-lines // 500)
+    own = query(spark, d)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", own._jdf.queryExecution().executedPlan().toString())
+    assert parts >= 10 and [int(n) for _, n in dealt] == [parts] * 3, dealt  # orders, line items, pairs; whatever spark.sql.shuffle.partitions is
+    task = F.spark_partition_id().alias("task")
+    for rows in (driver_queries.pairs(spark, d, parts).groupBy(task).agg(F.count("*").alias("n")), driver_queries.half(spark, d).groupBy(task).agg(F.sum("c").alias("n"))):
+        sizes = [r.n for r in rows.collect()]
+        assert sum(sizes) == lines and len(sizes) == parts and max(sizes) < 2 * 500, sizes
+    assert own.collect() == want
