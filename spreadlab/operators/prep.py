@@ -50,13 +50,10 @@ def undirected(pairs: DataFrame) -> DataFrame:
 
 
 def unordered(pairs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(s, t, c): each pair once whichever way it goes, the lesser end first (null last), with how often it comes.
-
-    parts: so many tasks share the pairs, which then move as they are; without it Spark counts in each task first and deals out what that leaves.
-    """
+    """(s, t, c): each pair once whichever way it goes, the lesser end first (null last), with how often it comes; parts as in ``multiplicity``."""
     back = F.coalesce(F.col("s") > F.col("t"), F.col("s").isNull())
     rows = pairs.select(F.when(back, F.col("t")).otherwise(F.col("s")).alias("s"), F.when(back, F.col("s")).otherwise(F.col("t")).alias("t"))
-    return multiplicity(rows if parts is None else rows.repartition(parts, "s", "t"))
+    return multiplicity(rows, parts)
 
 
 def both_ways(counts: DataFrame) -> DataFrame:
@@ -67,9 +64,13 @@ def both_ways(counts: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("back"), F.col("t")).otherwise(F.col("s")).alias("s"), F.when(F.col("back"), F.col("s")).otherwise(F.col("t")).alias("t"), "c")
 
 
-def multiplicity(pairs: DataFrame) -> DataFrame:
-    """(s, t, c): each pair once, with how often it comes."""
-    return pairs.groupBy("s", "t").agg(F.count("*").alias("c"))
+def multiplicity(pairs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(s, t, c): each pair once, with how often it comes.
+
+    parts: so many tasks share the pairs, which then move as they are; without it Spark counts in each task first and deals out what that leaves.
+    """
+    rows = pairs if parts is None else pairs.repartition(parts, "s", "t")
+    return rows.groupBy("s", "t").agg(F.count("*").alias("c"))
 
 
 def summary(edges: DataFrame) -> DataFrame:

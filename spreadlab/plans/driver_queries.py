@@ -24,19 +24,23 @@ ROWS = 1_000_000
 # ---- Spark ----------------------------------------------------------------------------------
 
 
+def tasks(spark: SparkSession, d: str) -> int:
+    """So many tasks that each has about ROWS line items, however many there are."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()  # from the files' footers
+    return max(spark.sparkContext.defaultParallelism, -(-lines // ROWS))
+
+
 def pairs(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
-    """(line, s, t) of each line item; parts: so many tasks share the join."""
-    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
-    items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_linenumber")
-    if parts is not None:
-        orders, items = orders.repartition(parts, "o_orderkey"), items.repartition(parts, "l_orderkey")
+    """(line, s, t) of each line item; parts: so many tasks share the join, ``tasks`` if not given."""
+    parts = tasks(spark, d) if parts is None else parts
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_linenumber").repartition(parts, "l_orderkey")
     return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), (F.col("o_custkey") + OFFSET).alias("s"), F.col("l_suppkey").alias("t"))
 
 
 def half(spark: SparkSession, d: str) -> DataFrame:
-    """(s, t, c) of each pair once; so many tasks join and count them that each has about ROWS line items, however many there are."""
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()  # from the files' footers
-    parts = max(spark.sparkContext.defaultParallelism, -(-lines // ROWS))
+    """(s, t, c) of each pair once, joined and counted by ``tasks``."""
+    parts = tasks(spark, d)
     return prep.unordered(pairs(spark, d, parts), parts)
 
 
@@ -69,6 +73,12 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), value.alias("value"))
 
 
+def _relabelled(spark: SparkSession, d: str) -> DataFrame:
+    parts = tasks(spark, d)
+    known = pairs(spark, d, parts)
+    return prep.multiplicity(prep.relabel(known, prep.dense_ids(known)), parts)
+
+
 def _greedy(result: DataFrame) -> DataFrame:
     return result.select("step", "seed", F.round("score", 6).alias("score"))
 
@@ -190,10 +200,10 @@ def _sweep(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_lines": lambda s, d: prep.clean(_lines(s, d)),
-    "edge_multiplicity": lambda s, d: prep.multiplicity(pairs(s, d)),
+    "edge_multiplicity": lambda s, d: (lambda n: prep.multiplicity(pairs(s, d, n), n))(tasks(s, d)),
     "undirected_edges": counted,
     "dense_relabel": lambda s, d: prep.dense_ids(pairs(s, d)),
-    "relabelled_edges": lambda s, d: (lambda p: prep.multiplicity(prep.relabel(p, prep.dense_ids(p))))(pairs(s, d)),
+    "relabelled_edges": _relabelled,
     "graph_summary": lambda s, d: prep.summary(counted(s, d)),
     "weights_const": lambda s, d: prep.weigh_constant(counted(s, d), 0.05),
     "weights_uniform": lambda s, d: prep.weigh_uniform(counted(s, d), 0.0, 0.1),

@@ -66,3 +66,17 @@ def test_larger_tables_have_more_tasks_of_fill_rates_not_larger_ones(spark, monk
         sizes = [r.n for r in rows.collect()]
         assert sum(sizes) == lines and len(sizes) == parts and max(sizes) < 2 * 500, sizes
     assert own.collect() == want
+
+
+@pytest.mark.parametrize("name, steps", [("edge_multiplicity", 3), ("relabelled_edges", 3), ("registers_init", 2)])
+def test_larger_tables_have_more_tasks_of_pairs(spark, monkeypatch, name, steps):
+    d, query = "/root/testdata/sf0.001", driver_queries.QUERIES[name]
+    want, lines = query(spark, d).collect(), spark.read.parquet(f"{d}/lineitem.parquet").count()
+    monkeypatch.setattr(driver_queries, "ROWS", 500)
+    parts = -(-lines // 500)
+    plans, write = [], driver_queries.spool
+    monkeypatch.setattr(driver_queries, "spool", lambda df, *rest: plans.append(df) or write(df, *rest))
+    own = query(spark, d)
+    dealt = [re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()) for df in [*plans, own]]
+    assert max(n.count(str(parts)) for n in dealt) == steps, dealt  # orders, line items, and pairs where they are counted
+    assert sorted(own.collect()) == sorted(want)
